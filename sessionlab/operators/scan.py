@@ -6,36 +6,49 @@ each slab also gets what the rows before it would have contributed (the last row
 last known value, the sum or maximum so far).  Those carries come from one summary row
 per slab, so only the summaries are ever ordered per session.
 
-A step reads its input twice (once for the summary, once for the rows), so the input is
-kept with ``persist``: it is computed once, spills to disk, keeps its partitioning, and a
-lost executor's part is recomputed from lineage.  ``release`` drops what was kept.
+A step reads its input twice (once for the summary, once for the rows), so the input is first
+written to the cluster's checkpoint folder (``cut``): it is computed once, both readers prune
+columns, the lineage stays short, and a lost executor costs nothing but its own tasks.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 SLAB = "_slab"
 
 
-_KEPT: list[DataFrame] = []
+_WRITTEN: list[str] = []
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Persist a frame that several branches of one plan read."""
-    if not df.is_cached:
-        _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return df
+def scratch(spark: SparkSession) -> str:
+    """The shared folder named by the session; a temporary one only where none is set (tests)."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionlab-"))
+    return context.getCheckpointDir()
 
 
-def release() -> None:
-    """Unpersist everything kept so far; frames still in use are simply computed again."""
-    while _KEPT:
-        _KEPT.pop().unpersist()
+def cut(df: DataFrame) -> DataFrame:
+    """Write a frame that several branches read, and return the written table."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _WRITTEN.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this process has cut; frames built on them must no longer be used."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 @dataclass(frozen=True)
@@ -69,9 +82,9 @@ def running_max(value: Column) -> Step:
     return Step("running_max", value)
 
 
-def slabs(df: DataFrame, keys: list[str], slab: Column) -> DataFrame:
-    """Add the slab number and co-locate the rows of one slab."""
-    return df.withColumn(SLAB, slab).repartition(*keys, SLAB)
+def slabs(df: DataFrame, slab: Column) -> DataFrame:
+    """Add the slab number."""
+    return df.withColumn(SLAB, slab)
 
 
 def ordinal_slab(order: str = "ordinal", rows: int = 65536) -> Column:
@@ -81,7 +94,7 @@ def ordinal_slab(order: str = "ordinal", rows: int = 65536) -> Column:
 
 def step(df: DataFrame, keys: list[str], order: list[str], **columns: Step) -> DataFrame:
     """Add one scanned column per keyword to a frame prepared by ``slabs``."""
-    df = keep(df)
+    df = cut(df)
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     local = W.partitionBy(*keys, SLAB).orderBy(*order)
     before = local.rowsBetween(W.unboundedPreceding, -1)
@@ -131,7 +144,7 @@ def step(df: DataFrame, keys: list[str], order: list[str], **columns: Step) -> D
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], slab: Column, name: str) -> DataFrame:
     """1-based position per key: position inside the slab plus the sizes of earlier slabs."""
-    placed = slabs(df, keys, slab)
+    placed = slabs(df, slab)
     return step(placed, keys, order, **{name: running_sum(F.lit(1))}).drop(SLAB)
 
 

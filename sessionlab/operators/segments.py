@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import schemas as S
-from .scan import SLAB, carry_here, keep, ordinal_slab, prev_row, running_max, running_sum, slabs, step
+from .scan import SLAB, carry_here, cut, ordinal_slab, prev_row, running_max, running_sum, slabs, step
 
 BOUNDARY_KINDS = [S.SESSION_START, S.SESSION_END, S.RESET, S.TELEPORT, S.CORRECTION]
 MS = 1_000_000
@@ -26,7 +26,7 @@ def model_gate(protocol: Column, model: Column) -> Column:
 def with_identity(obs: DataFrame, rows: int = 65536) -> DataFrame:
     """Carry the identity of the latest session start to every later event of the session."""
     started = F.when(F.col("kind") == S.SESSION_START, F.struct("player", "protocol", "model"))
-    out = step(slabs(obs.withColumn("_start", started), KEY, ordinal_slab(rows=rows)),
+    out = step(slabs(obs.withColumn("_start", started), ordinal_slab(rows=rows)),
                KEY, ORDER, _who=carry_here(F.col("_start")))
     kept = [c for c in obs.columns if c not in ("player", "protocol", "model")]
     return (out.select(*kept, F.col("_who.player").alias("player"), F.col("_who.protocol").alias("protocol"),
@@ -42,7 +42,7 @@ def ordinal_guard(obs: DataFrame, arrival: str = "arrival", rows: int = 65536) -
     every event above it is accepted.  ``arrival`` is the delivery position in the session.
     """
     valid = (F.col("ordinal") > 0) & (F.col("session") > 0)
-    framed = slabs(obs.filter(valid), KEY, ordinal_slab(arrival, rows))
+    framed = slabs(obs.filter(valid), ordinal_slab(arrival, rows))
     out = step(framed, KEY, [arrival], last_accepted=running_max(F.col("ordinal")))
     late = F.coalesce(F.col("ordinal") <= F.col("last_accepted"), F.lit(False))
     jump = F.coalesce(F.col("ordinal") > F.col("last_accepted") + 1, F.lit(False))
@@ -95,8 +95,8 @@ def segmented(obs: DataFrame, gap_ns: int = 750 * MS, queue_ns: int = 100 * MS,
     def last(value, frame):
         return F.last(value, ignorenulls=True).over(frame)
 
-    local = keep(
-        slabs(base, KEY, ordinal_slab(rows=rows))
+    local = cut(
+        slabs(base, ordinal_slab(rows=rows))
         .withColumn("_prev", last(F.when(move, F.struct("ns", "packet", "ordinal")), before))
         .withColumn("_hard_at", last(F.when(hard, ordinal), before))
         .withColumn("_n", F.sum(move.cast("long")).over(here))
@@ -139,8 +139,8 @@ def segmented(obs: DataFrame, gap_ns: int = 750 * MS, queue_ns: int = 100 * MS,
     joined = local.filter(~hard).join(state, (F.col("session") == F.col("_js")) & (F.col(SLAB) == F.col("_jb")))
     opens = F.col("_open") | (F.col("_head") & F.col("head_open"))
     seg = F.coalesce("_seg", F.when(F.col("_head_at").isNotNull(), F.col("head_seg")), "in_seg")
-    cut = F.coalesce("_cut_at", "in_cut", F.lit(-1))
-    inside = (seg["ordinal"] > cut) & ((move & ~F.col("_drop")) | (kind == S.ATTACK))
+    ended = F.coalesce("_cut_at", "in_cut", F.lit(-1))
+    inside = (seg["ordinal"] > ended) & ((move & ~F.col("_drop")) | (kind == S.ATTACK))
     return joined.select(
         "session", "ordinal", "ns", "kind", "packet", "yaw", "has_look", "ground",
         F.when(~opens, F.coalesce("_prev", F.struct("pm.ns", "pm.packet", "pm.ordinal"))["ns"]).alias("prev_ns"),
@@ -168,6 +168,6 @@ def clip_guard(obs: DataFrame, trials: DataFrame) -> DataFrame:
 
 def activity_islands(df: DataFrame, keys: list[str], order: list[str], at: str, gap, slab: Column) -> DataFrame:
     """Island number per key: a new island starts when the step in ``at`` exceeds ``gap``."""
-    framed = step(slabs(df, keys, slab), keys, order, _before=prev_row(F.col(at)))
+    framed = step(slabs(df, slab), keys, order, _before=prev_row(F.col(at)))
     new = (F.col("_before").isNull() | (F.col(at) - F.col("_before") > gap)).cast("long")
     return step(framed.withColumn("_new", new), keys, order, island=running_sum(F.col("_new"))).drop("_before", "_new", SLAB)

@@ -17,7 +17,7 @@ def anchored_streak(samples: DataFrame, window_ms: float, needed: int, rows: int
     anchor is sequential, so runs between clean samples are folded, and a step longer than the
     window certainly starts a new run.
     """
-    framed = step(slabs(samples.select("session", "ordinal", "ns", "suspicious"), KEY, ordinal_slab(rows=rows)), KEY, ORDER,
+    framed = step(slabs(samples.select("session", "ordinal", "ns", "suspicious"), ordinal_slab(rows=rows)), KEY, ORDER,
                   _before=carry(F.col("ns")))
     fresh = ~F.col("suspicious") | F.coalesce(F.col("ns") - F.col("_before") > int(window_ms * 1e6), F.lit(True))
     runs = step(framed.withColumn("_fresh", fresh.cast("long")), KEY, ORDER, run=running_sum(F.col("_fresh")))
@@ -28,7 +28,7 @@ def anchored_streak(samples: DataFrame, window_ms: float, needed: int, rows: int
 
 def sliding_streak(samples: DataFrame, window_ms: float, needed: int, rows: int = 65536) -> DataFrame:
     """Alert on every ``needed``-th suspicious sample of a run; a longer step or a clean sample ends the run."""
-    framed = step(slabs(samples.select("session", "ordinal", "ns", "suspicious"), KEY, ordinal_slab(rows=rows)), KEY, ORDER,
+    framed = step(slabs(samples.select("session", "ordinal", "ns", "suspicious"), ordinal_slab(rows=rows)), KEY, ORDER,
                   _before=carry(F.col("ns")), _n=running_sum(F.col("suspicious").cast("long")))
     late = ~F.coalesce((F.col("ns") - F.col("_before")).between(0, int(window_ms * 1e6)), F.lit(False))
     runs = step(framed.withColumn("_late", late), KEY, ORDER,

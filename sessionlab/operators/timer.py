@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .folds import BudgetFold, EpisodeFold, fold_sorted
-from .scan import keep, ordinal_slab, slabs, sql, step, carry_here
+from .scan import cut, ordinal_slab, slabs, sql, step, carry_here
 from .segments import MS, segmented
 
 WINDOW_NS, WINDOWS, GUARD_NS = 5_000 * MS, 34, 5_000 * MS
@@ -18,7 +18,7 @@ def timer_episodes(obs: DataFrame, bucket_ns: int = WINDOW_NS, buckets: int = WI
     Each segment is folded on its own.  Segment starts chain (the ending move starts the next episode),
     which no fixed grid reproduces; the fold only does searches and counts on sorted arrays.
     """
-    rows_in = keep(segmented(obs, gap_ns, queue_ns, rows, attacks=False))
+    rows_in = cut(segmented(obs, gap_ns, queue_ns, rows, attacks=False))
     unclear = rows_in.filter("unclear").select("session", "stretch").distinct().withColumn("_redo", F.lit(True))
     units = (rows_in.join(unclear, ["session", "stretch"], "left").filter("inside OR _redo")
              .selectExpr("session", "CASE WHEN _redo THEN -2 - stretch ELSE segment END AS unit", "ordinal", "ns", "packet"))
@@ -46,11 +46,12 @@ def assess_episodes(episodes: DataFrame, reference: DataFrame, alpha: float = 0.
     its size is checked before use.
     """
     ref = reference.selectExpr("score").limit(4097).agg(F.array_sort(F.collect_list("score")).alias("ref"))
-    ref = ref.selectExpr("assert_true(size(ref) BETWEEN 1 AND 4096, 'reference must hold 1 to 4096 scores') AS ok", "ref")
+    ref = ref.selectExpr("CASE WHEN assert_true(size(ref) BETWEEN 1 AND 4096, 'reference must hold 1 to 4096 scores') IS NULL THEN ref END AS ref")
     return sql(f"""
       WITH numbered AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY start_ns) AS episode FROM {{episodes}}),
-      ranked AS (SELECT n.*, size(ref) AS n_ref, (1 + size(filter(ref, r -> r >= score))) / (size(ref) + 1) AS tail_p,
-          {alpha}D / (episode * (episode + 1)) AS alpha_spent FROM numbered n CROSS JOIN {{ref}}),
+      ranked AS (SELECT *, size(ref) AS n_ref, (1 + size(filter(ref, r -> r >= score))) / (size(ref) + 1) AS tail_p,
+          {alpha}D / (episode * (episode + 1)) AS alpha_spent 
+        FROM (SELECT *, (SELECT ref FROM {{ref}}) AS ref FROM numbered)),
       judged AS (SELECT *, tail_p <= alpha_spent AND score >= {least_score} AND excess_ms >= {least_excess} AS eligible FROM ranked)
       SELECT session, start_ns, episode, score, packets, excess_ms, tail_p, alpha_spent, eligible,
         CASE WHEN eligible THEN 'sustained_timer_excess' WHEN 1 / (n_ref + 1) > alpha_spent THEN 'insufficient_reference'
@@ -65,9 +66,9 @@ def timer_budget(obs: DataFrame, credit_ms: float = 250, lead_ms: float = 250, s
     base = obs.filter("kind IN (1,2,3,10,11,14)").selectExpr(
         "session", "ordinal", "ns", "kind", "packet",
         f"kind = 11 AND coalesce(available AND world <> '' AND sampled_ns - ns BETWEEN 0 AND {int(queue_ms * 1e6)}, false) AS usable")
-    cut = step(slabs(base, ["session"], ordinal_slab(rows=rows)), ["session"], ["ordinal"],
+    reset = step(slabs(base, ordinal_slab(rows=rows)), ["session"], ["ordinal"],
                unit=carry_here(F.expr("CASE WHEN NOT usable THEN ordinal END")))
-    units = cut.filter("usable").withColumn("unit", F.coalesce("unit", F.lit(-1)))
+    units = reset.filter("usable").withColumn("unit", F.coalesce("unit", F.lit(-1)))
     return fold_sorted(
         units, ["session", "unit"], ["ordinal"],
         lambda: BudgetFold(credit_ms, lead_ms, sustain_ms, warmup_ms, gap_ms, cost_ms, least_packets, least_ms, least_over),

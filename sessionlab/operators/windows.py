@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from .. import schemas as S
 from ..functions.columns import angle_wrap
 from .folds import fold_sorted
-from .scan import keep
+from .scan import cut
 from .segments import MS, segmented
 from .window_fold import WindowFold
 
@@ -33,7 +33,7 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
     """
     if span_ns <= gap_ns:
         raise ValueError("a window must be longer than the largest gap inside a segment")
-    rows_in = keep(segmented(obs, gap_ns, queue_ns, rows))
+    rows_in = cut(segmented(obs, gap_ns, queue_ns, rows))
     seg = rows_in.filter("inside")
     ready = F.col("start_ns") + guard_ns
     slot = lambda c: F.floor((c - ready) / span_ns).cast("long")
@@ -79,6 +79,7 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
         F.max(closing).alias("_closed"),
         (F.coalesce(F.min("attack_dt") <= 0, F.lit(False)) | (moves > max_moves) | (attacks > max_attacks)).alias("_dirty"),
     )
+    windows = cut(windows)
     redo = (windows.filter("_dirty").select("session", "stretch")
             .union(rows_in.filter("unclear").select("session", "stretch")).distinct())
     clean = windows.filter("_closed").join(redo, ["session", "stretch"], "left_anti")

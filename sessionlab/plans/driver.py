@@ -47,13 +47,17 @@ def raw_events(spark: SparkSession, sf: str) -> DataFrame:
         F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+def numbered(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with their ordinal per user, numbered in day slabs, never over a whole user at once."""
+    return number_rows(raw_events(spark, sf), ["session"], ["ns", "event_id"],
+                       F.floor(F.col("ns") / DAY).cast("long"), "ordinal")
+
+
 def obs_events(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as observations; the ordinal is numbered in day slabs, never over a whole user at once."""
-    numbered = number_rows(raw_events(spark, sf), ["session"], ["ns", "event_id"],
-                           F.floor(F.col("ns") / DAY).cast("long"), "ordinal")
+    """Events as observations."""
     k, t = F.col("k"), F.col("event_type")
     kind = F.when(t == "purchase", 7).when(t != "error", 11).when(k >= 90, 14).otherwise(4)
-    return numbered.select(
+    return numbered(spark, sf).select(
         "session", "ordinal", "ns", "epoch_ms", "event_id", "value", "k", kind.alias("kind"),
         F.when(k == 13, F.col("event_id") - 1000000).otherwise(F.col("event_id")).alias("packet"),
         F.col("event_id").alias("batch"), (F.col("ns") + k * 1000000).alias("sampled_ns"),
@@ -63,6 +67,53 @@ def obs_events(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("value") * 0.01).alias("x"), (64 - k * F.lit(0.01)).alias("y"), (k * F.lit(0.02)).alias("z"))
 
 
+EV_SQL = """
+ev AS (SELECT user_id AS session, event_id, event_type, value, epoch_us(ts)*1000 AS ns, epoch_us(ts)//1000 AS epoch_ms,
+    CAST(json_extract(props,'$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events)
+"""
+
+# Event columns as other observation kinds; the expressions are read by both engines.
+BASE = ["session", "ordinal", "ns", "epoch_ms", "event_id", "k"]
+CONTEXT = ["value < 400 AS available", "concat('w', cast(session % 3 AS string)) AS world"]
+VIEWS = {
+    "digs": BASE + CONTEXT + [
+        "CASE WHEN event_type IN ('purchase','click') THEN 5 WHEN event_type = 'signup' AND k >= 92 THEN 10 "
+        "WHEN event_type = 'signup' AND k < 30 THEN 5 WHEN event_type = 'view' THEN 6 ELSE 4 END AS kind",
+        "CASE WHEN event_type = 'purchase' THEN 0 WHEN event_type = 'click' THEN 2 WHEN event_type = 'signup' THEN 1 END AS action",
+        "CASE WHEN k = 13 THEN event_id - 1000000 ELSE event_id END AS packet", "event_id - k % 7 AS batch",
+        "ns + k * 2100000 AS sampled_ns", "CASE WHEN k % 10 = 9 THEN 1 ELSE 0 END AS bx", "0 AS by", "0 AS bz",
+        "CASE WHEN event_type = 'view' AND k >= 70 THEN 's1' ELSE 's0' END AS state_key",
+        "CAST(0.0000005 AS DOUBLE) * (1 + session % 3) AS damage"],
+    "combat": BASE + CONTEXT + [
+        "CASE WHEN event_type = 'purchase' THEN 7 WHEN event_type = 'error' THEN 4 WHEN event_type = 'signup' AND k >= 97 THEN 10 ELSE 8 END AS kind",
+        "CASE WHEN k = 13 THEN event_id - 1000000 ELSE event_id END AS packet", "event_id - (k % 4) * 20 AS batch",
+        "ns + k * 1020000 AS sampled_ns", "concat('t', cast(session % 7 AS string)) AS target", "CAST(session % 7 AS INT) AS target_id",
+        "'player' AS target_kind", "'no_snapshot' AS reason", "CAST(k AS INT) AS ping", "true AS rotation", "k % 2 = 0 AS target_player",
+        "CAST(0.002 AS DOUBLE) * (event_id % 5) + CASE WHEN k >= 93 THEN 1 ELSE 0 END AS eye_x", "CAST(1 AS DOUBLE) AS eye_y", "CAST(0 AS DOUBLE) AS eye_z",
+        "CAST(2 AS DOUBLE) + CAST(0.5 AS DOUBLE) * (session % 4) AS low_x", "CAST(0 AS DOUBLE) AS low_y", "CAST(-0.3 AS DOUBLE) AS low_z",
+        "CAST(2.6 AS DOUBLE) + CAST(0.5 AS DOUBLE) * (session % 4) AS high_x", "CAST(2 AS DOUBLE) AS high_y", "CAST(0.3 AS DOUBLE) AS high_z",
+        "CASE WHEN session % 5 = 0 THEN CAST(90 AS DOUBLE) ELSE CAST(-90 AS DOUBLE) END + CAST(0.01 AS DOUBLE) * (k % 3) AS yaw", "CAST(0 AS DOUBLE) AS pitch"],
+    "motion": BASE + CONTEXT + [
+        "CASE WHEN event_type = 'purchase' THEN 7 WHEN event_type <> 'error' THEN 11 WHEN k >= 97 THEN 14 WHEN k < 3 THEN 12 ELSE 4 END AS kind",
+        "CASE WHEN k = 13 THEN event_id - 1000000 ELSE event_id END AS packet", "event_id - (k % 4) * 20 AS batch", "ns + k * 1020000 AS sampled_ns",
+        "true AS target_player", "CAST(k AS INT) AS ping", "k % 6 <> 5 AS has_pos", "k % 2 = 0 AS has_look", "k % 3 = 0 AS ground",
+        "CAST(0.1 AS DOUBLE) * (event_id % 7) AS x", "64 - CAST(0.08 AS DOUBLE) * (event_id % 5) AS y", "CAST(0.05 AS DOUBLE) * (event_id % 3) AS z",
+        "k * CAST(3.6 AS DOUBLE) AS yaw", "k * CAST(0.9 AS DOUBLE) - 45 AS pitch",
+        "session % 2 = 0 AS flat", "session % 2 = 0 AS source", "session % 2 = 0 AS destination", "k < 95 AS clear", "k % 5 < 3 AS item",
+        "k % 11 <> 0 AS sprint", "CAST(0.1 AS DOUBLE) AS speed", "CASE WHEN k = 50 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS friction",
+        "CAST(0.42 AS DOUBLE) AS jump", "k AS token", "CAST(0.1 AS DOUBLE) * (k % 9) AS vx", "CAST(0.2 AS DOUBLE) AS vy", "CAST(0 AS DOUBLE) AS vz", "k % 2 = 0 AS additive"],
+    "impulses": BASE + ["CASE WHEN event_type = 'signup' THEN 12 WHEN event_type = 'view' THEN 13 ELSE 4 END AS kind", "k % 5 AS token"],
+}
+
+
+def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return numbered(spark, sf).selectExpr(*VIEWS[name])
+
+
+def view_sql(name: str) -> str:
+    return EV_SQL + f", {name} AS (SELECT {', '.join(VIEWS[name])} FROM ev)"
+
+
 # Segments: flags per valid move, then the open / dropped rules, then the running segment.
 SEGMENT_SQL = OBS_SQL + f""",
 s0 AS (SELECT *, kind=11 AND ok AS mv, kind NOT IN (7,11) OR NOT ok AS hard FROM (

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.scan import release
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -17,13 +14,7 @@ def query(name: str, sql: str | None = None):
     def add(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-
-        @wraps(fn)
-        def run(spark, sf):
-            release()
-            return fn(spark, sf)
-
-        QUERIES[name] = run
+        QUERIES[name] = fn
         if sql is not None:
             SQL[name] = sql
         return fn
