@@ -67,6 +67,7 @@ def ray_hits_box(eye, direction, low, high, pad: float, far: float = 3.05) -> Co
 
 
 def num3(x: Column) -> Column:
+    """Three decimals without grouping; a tie of the shortest decimal form rounds up."""
     return F.format_string("%.3f", x)
 
 

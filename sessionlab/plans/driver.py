@@ -106,6 +106,24 @@ VIEWS = {
 }
 
 
+_MOTION_KIND = next(e for e in VIEWS["motion"] if e.endswith(" AS kind"))
+VIEWS["full"] = (
+    [e for e in VIEWS["motion"] if e != _MOTION_KIND]
+    + ["CASE WHEN event_type = 'purchase' THEN 7 WHEN event_type <> 'error' THEN 11 WHEN k >= 99 THEN 14 WHEN k < 20 THEN 12 WHEN k < 40 THEN 13 ELSE 4 END AS kind"]
+    + [e for e in VIEWS["combat"] if e.split(" AS ")[-1][:4] in ("eye_", "low_", "high")])
+
+
+def trials(spark: SparkSession, sf: str) -> DataFrame:
+    """Each user's events as one recorded trial."""
+    return raw_events(spark, sf).groupBy(F.col("session").alias("trial_id")).agg(
+        F.min("ns").alias("start_observed_ns"), F.max("ns").alias("end_observed_ns"), F.lit(86_400_000).cast("long").alias("guard_ms"),
+        F.count(F.lit(1)).alias("records"))
+
+
+TRIALS_SQL = """trials AS (SELECT user_id AS trial_id, min(epoch_us(ts))*1000 AS start_observed_ns, max(epoch_us(ts))*1000 AS end_observed_ns,
+  CAST(86400000 AS BIGINT) AS guard_ms, count(*) AS records FROM events GROUP BY user_id)"""
+
+
 def view(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return numbered(spark, sf).selectExpr(*VIEWS[name])
 
