@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .scan import cut, halo, sql
 
 MS = 1_000_000
-LOW_QUANTILE = "element_at(array_sort(collect_list({x})), CAST(floor((count({x}) - 1) * {q}) AS INT) + 1)"
+LOW_QUANTILE = "get(array_sort(collect_list({x})), CAST(floor((count({x}) - 1) * {q}D) AS INT))"
 
 # The registered dataset features; labels and identifiers are never among them.
 DATASET_FEATURES = [
@@ -89,13 +89,13 @@ def dataset_windows(obs: DataFrame, trials: DataFrame, seconds: float = 5) -> Da
           CASE WHEN uses THEN sqrt(pow(dx - o.dx * (0.91D * friction), 2) + pow(dz - o.dz * (0.91D * friction), 2)) END AS input,
           CASE WHEN kind = 7 AND available THEN sqrt({padded}) END AS distance FROM flags)
       SELECT trial, bucket, min(t0) + bucket * {int(seconds * 1e9)} AS start_ns,
-        count_if(mv) / {seconds} AS movement_pps, {q('dt', 0.5)} AS dt_p50_ms, {q('dt', 0.95)} AS dt_p95_ms, stddev_pop(dt) AS dt_std_ms,
+        count_if(mv) / {float(seconds)}D AS movement_pps, {q('dt', 0.5)} AS dt_p50_ms, {q('dt', 0.95)} AS dt_p95_ms, stddev_pop(dt) AS dt_std_ms,
         count_if(mv AND batch = p.batch) / greatest(1, count_if(mv) - 1) AS same_batch_fraction,
         count_if(mv AND has_pos) / count_if(mv) AS position_fraction, {q('hstep', 0.95)} AS hstep_p95, {q('ady', 0.95)} AS abs_dy_p95,
         {q('yaw_d', 0.95)} AS yaw_change_p95, {q('pitch_d', 0.95)} AS pitch_change_p95,
         CASE WHEN count_if(air) > 0 THEN count_if(air AND ground AND dy < -0.03D) / count_if(air) END AS air_ground_fraction,
         {q('gravity', 0.95)} AS gravity_error_p95, {q('input', 0.95)} AS item_input_p95,
-        count_if(kind = 7) / {seconds} AS attack_pps, {q('distance', 0.95)} AS attack_distance_p95,
+        count_if(kind = 7) / {float(seconds)}D AS attack_pps, {q('distance', 0.95)} AS attack_distance_p95,
         count_if(kind = 12) AS impulse_count, count_if(kind = 13) AS ack_count
       FROM parts GROUP BY trial, bucket HAVING min(coalesce(dt, 0)) >= 0""", cells=cells)
 
@@ -114,7 +114,7 @@ def trial_features(obs: DataFrame, episodes: DataFrame, least: int = 100) -> Dat
           lag(CASE WHEN has_look THEN yaw END) OVER (PARTITION BY trial, has_look ORDER BY ordinal) AS look FROM moves),
       parts AS (SELECT *, CASE WHEN has_pos THEN sqrt(pow(x - p.x, 2) + pow(z - p.z, 2)) END AS hstep,
           CASE WHEN has_pos THEN abs(y - p.y) END AS vstep, CASE WHEN has_look THEN abs(pmod(yaw - look + 180, 360) - 180) END AS turn FROM placed),
-      per_trial AS (SELECT trial, first(packets) AS packets, first(score) AS score, first(counts) AS counts, first(bucket_ns) / 1e9 AS seconds,
+      per_trial AS (SELECT trial, first(packets) AS packets, first(score) AS score, first(counts) AS counts, first(bucket_ns) / 1e9D AS seconds,
           count(dt) AS n, avg(dt) AS mean, percentile(dt, 0.5) AS mid, stddev_pop(dt) AS sd, avg(CAST(dt < 1 AS DOUBLE)) AS burst,
           percentile(hstep, 0.95) AS h95, percentile(vstep, 0.95) AS v95, coalesce(percentile(turn, 0.95), 0) AS t95,
           avg(CAST(ground AS DOUBLE)) AS grounded, count(hstep) AS n_steps FROM parts GROUP BY trial)

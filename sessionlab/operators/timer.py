@@ -34,7 +34,7 @@ def score_episodes(found: DataFrame, bucket_ns: int, buckets: int, guard_ns: int
     return found.selectExpr(
         "session", "start_ns", f"start_ns + {guard_ns} AS first_window_ns", "end_ns", "counts",
         "aggregate(counts, 0L, (a, c) -> a + c) AS packets",
-        f"array_max(transform(sequence(1, {buckets - 2}), i -> array_min(slice(counts, i, 3)))) / {seconds} AS score",
+        f"array_max(transform(sequence(1, {buckets - 2}), i -> array_min(slice(counts, i, 3)))) / {seconds}D AS score",
     ).selectExpr("*", f"CAST(packets * 50 - {int(buckets * seconds * 1000)} AS DOUBLE) AS excess_ms")
 
 

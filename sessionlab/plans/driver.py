@@ -29,9 +29,9 @@ obs AS (
     CASE WHEN event_type='purchase' THEN 7 WHEN event_type<>'error' THEN 11 WHEN k>=90 THEN 14 ELSE 4 END AS kind,
     CASE WHEN k=13 THEN event_id-1000000 ELSE event_id END AS packet,
     event_id AS batch, ns+k*1000000 AS sampled_ns, value<400 AS available,
-    'w'||CAST(session%3 AS VARCHAR) AS world, k*3.6 AS yaw, k*0.9-45 AS pitch,
+    'w'||CAST(session%3 AS VARCHAR) AS world, k*3.6::DOUBLE AS yaw, k*0.9::DOUBLE-45 AS pitch,
     k%2=0 AS has_look, k%3=0 AS ground, k%5<>0 AS has_pos,
-    value*0.01 AS x, 64-k*0.01 AS y, k*0.02 AS z
+    value*0.01::DOUBLE AS x, 64-k*0.01::DOUBLE AS y, k*0.02::DOUBLE AS z
   FROM (SELECT user_id AS session, event_id, event_type, value, epoch_us(ts)*1000 AS ns, epoch_us(ts)//1000 AS epoch_ms,
           CAST(json_extract(props,'$.k') AS BIGINT) AS k,
           row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal

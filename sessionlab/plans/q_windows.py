@@ -181,7 +181,7 @@ def q_reorder(spark, sf):
     return reorder_violations(obs, D.trials(spark, sf), 864000, 25)
 
 
-@query("trial_features", f"""WITH {EP_SQL}, one AS (SELECT session, segment, a, b, CAST(sum(c) AS BIGINT) AS packets, max(m)/86400.0 AS score, stddev_pop(c/86400.0) AS wstd FROM mins GROUP BY ALL
+@query("trial_features", f"""WITH {EP_SQL}, one AS (SELECT * FROM (SELECT session, segment, a, b, CAST(sum(c) AS BIGINT) AS packets, max(m)/86400.0 AS score, stddev_pop(c/86400.0) AS wstd FROM mins GROUP BY session, segment, a, b)
    QUALIFY row_number() OVER (PARTITION BY session ORDER BY a)=1),
  mv AS (SELECT o.*, one.packets, one.score, one.wstd FROM obs o JOIN one USING (session) WHERE o.kind=11 AND ns>=one.a+{D.DAY} AND ns<one.a+{11 * D.DAY}),
  d AS (SELECT *, (ns-lag(ns) OVER (PARTITION BY session ORDER BY ordinal))/1e6 AS dt, lag({{'x':x,'y':y,'z':z}}) OVER (PARTITION BY session,has_pos ORDER BY ordinal) AS p,
