@@ -106,25 +106,25 @@ def scored(spark, sf):
     return cut(s.filter("excluded IS NULL").selectExpr("id", "y AS label").join(split, "id").join(su.withColumnRenamed("sample_id", "id"), "id"))
 
 
-@query("score", SCORED_SQL + " SELECT sample_id, ordinal, round(margin,6) AS margin FROM mg")
+@query("score", SCORED_SQL + " SELECT sample_id, ordinal, round(margin,9) AS margin FROM mg")
 def q_score(spark, sf):
-    return r6(margins(spark, sf).select("sample_id", "ordinal", "margin"))
+    return margins(spark, sf).selectExpr("sample_id", "ordinal", "round(margin, 9) AS margin")
 
 
-@query("sustained", SCORED_SQL + " SELECT sample_id, round(score,6) AS score, windows FROM su")
+@query("sustained", SCORED_SQL + " SELECT sample_id, round(score,9) AS score, windows FROM su")
 def q_sustained(spark, sf):
-    return r6(M.sustained(margins(spark, sf), 3, ["sample_id"], "ordinal"))
+    return M.sustained(margins(spark, sf), 3, ["sample_id"], "ordinal").withColumn("score", F.round("score", 9))
 
 
-@query("build_reference", SCORED_SQL + ' SELECT "group", round(score,6) AS score FROM rf')
+@query("build_reference", SCORED_SQL + ' SELECT "group", round(score,9) AS score FROM rf')
 def q_reference(spark, sf):
-    return r6(M.build_reference(scored(spark, sf)))
+    return M.build_reference(scored(spark, sf)).withColumn("score", F.round("score", 9))
 
 
-@query("calibrate", SCORED_SQL + " SELECT id, round(score,6) AS score, round(greatest(0,(SELECT max(score)-8 FROM rf)),6) AS threshold, score>greatest(0,(SELECT max(score)-8 FROM rf)) AS candidate FROM sc")
+@query("calibrate", SCORED_SQL + " SELECT id, round(score,9) AS score, round(greatest(0,(SELECT max(score)-8 FROM rf)),9) AS threshold, score>greatest(0,(SELECT max(score)-8 FROM rf)) AS candidate FROM sc")
 def q_calibrate(spark, sf):
     s = scored(spark, sf)
-    return r6(M.calibrate(s, M.build_reference(s).withColumn("score", F.col("score") - 8), 0.0).select("id", "score", "threshold", "candidate"))
+    return M.calibrate(s, M.build_reference(s).withColumn("score", F.col("score") - 8), 0.0).selectExpr("id", "round(score, 9) AS score", "round(threshold, 9) AS threshold", "candidate")
 
 
 @query("tail_rank", """WITH r AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_discount=0), s AS (SELECT o_orderkey, round(o_totalprice/4,0) AS score FROM orders),
