@@ -26,8 +26,8 @@ def live_obs(spark, sf):
     """The observation view as a file stream; it is written once, because ordinals need the whole table."""
     written = f"{scratch(spark)}/obs-{uuid.uuid4().hex}"
     obs = D.obs_events(spark, sf).withColumn("ts", F.timestamp_millis("epoch_ms"))
-    obs.repartitionByRange(3, "ns").write.parquet(written)
-    return spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(written)
+    obs.write.parquet(written)
+    return spark.readStream.schema(obs.schema).parquet(written)
 
 
 @query("stream_behavior_windows", f"WITH {D.WINDOW_SQL} SELECT {WINDOW_COLUMNS} FROM windows")

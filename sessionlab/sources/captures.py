@@ -32,7 +32,7 @@ BODIES = {
          *[("?", n) for n in ("available", "source", "destination", "clear", "flat", "item", "sprint")], ("d", "speed"), ("d", "friction"), ("d", "jump")],
     12: [("Q", "token"), ("d", "vx"), ("d", "vy"), ("d", "vz"), ("?", "additive")], 13: [("Q", "token")], 14: [],
 }
-COLUMNS = [f.name for f in S._fields(S.OBS_DDL)]
+COLUMNS = [part.split()[0] for part in S.OBS_DDL.split(",")]
 
 
 def decode_record(raw: bytes) -> dict:

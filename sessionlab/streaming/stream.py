@@ -73,8 +73,8 @@ class LiveScore:
                 "event": w["event"], "epoch_ms": w["epoch_ms"], "id": f"{m['run']}:{w['session']}:{w['event']}:{m['detection']}"}
 
 
-def _stateful(obs: DataFrame, make, ddl: str, ttl_ms: int) -> DataFrame:
-    """One pickled state per session, dropped on session end or after ``ttl_ms`` without events.
+def _stateful(obs: DataFrame, make, ddl: str, ttl_ms: int, delay: str = "1 hour") -> DataFrame:
+    """One pickled state per session, dropped on session end or ``ttl_ms`` of event time after its last event.
 
     Within a trigger the events of a session are put in ordinal order; across triggers the ordinal rules decide.
     """
@@ -92,11 +92,12 @@ def _stateful(obs: DataFrame, make, ddl: str, ttl_ms: int) -> DataFrame:
                 state.remove()
         else:
             state.update((pickle.dumps(machine),))
-            state.setTimeoutDuration(ttl_ms)
+            state.setTimeoutTimestamp(max(int(pdf["epoch_ms"].max()), state.getCurrentWatermarkMs()) + ttl_ms)
         if rows:
             yield pd.DataFrame(rows, columns=names)
 
-    return obs.groupBy("session").applyInPandasWithState(run, ddl, "machine binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = obs.withColumn("ts", F.timestamp_millis("epoch_ms")).withWatermark("ts", delay)
+    return timed.groupBy("session").applyInPandasWithState(run, ddl, "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_behavior_windows(obs: DataFrame, span_ns: int = 30_000_000_000, guard_ns: int = 5_000_000_000, gap_ns: int = 750_000_000,
