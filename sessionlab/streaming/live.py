@@ -45,8 +45,8 @@ def score_windows(windows: DataFrame, model: dict, gap_ms: int = 45_000, slab_ms
     ref = ", ".join(f"{r!r}D" for r in refs)
     held = need.sparkSession.sql(f"""
       WITH b AS (SELECT *, max(CASE WHEN low THEN event END) OVER (PARTITION BY session, _slab ORDER BY event ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low_at FROM {{n}}),
-      p AS (SELECT *, lag(struct(event, epoch_ms, segment, outside)) OVER (PARTITION BY session, _slab ORDER BY event) AS p FROM b WHERE NOT low),
-      f AS (SELECT *, CASE WHEN coalesce(p.segment = segment AND epoch_ms > p.epoch_ms AND epoch_ms - p.epoch_ms <= {gap_ms} AND NOT p.outside AND p.event > coalesce(low_at, -1), false) THEN 0 ELSE 1 END AS fresh FROM p),
+      linked AS (SELECT *, lag(struct(event, epoch_ms, segment, outside)) OVER (PARTITION BY session, _slab ORDER BY event) AS p FROM b WHERE NOT low),
+      f AS (SELECT *, CASE WHEN coalesce(p.segment = segment AND epoch_ms > p.epoch_ms AND epoch_ms - p.epoch_ms <= {gap_ms} AND NOT p.outside AND p.event > coalesce(low_at, -1), false) THEN 0 ELSE 1 END AS fresh FROM linked),
       i AS (SELECT *, sum(fresh) OVER (PARTITION BY session, _slab ORDER BY event) AS island FROM f)
       SELECT session, event, epoch_ms, outside, min(margin) OVER w AS sustained, count(*) OVER w = {n} AS ready, _own
       FROM i WINDOW w AS (PARTITION BY session, _slab, island ORDER BY event ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)""", n=need).filter("_own").drop("_own")
