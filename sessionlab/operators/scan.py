@@ -92,9 +92,12 @@ def ordinal_slab(order: str = "ordinal", rows: int = 65536) -> Column:
     return F.floor(F.col(order) / F.lit(rows)).cast("long")
 
 
-def step(df: DataFrame, keys: list[str], order: list[str], **columns: Step) -> DataFrame:
-    """Add one scanned column per keyword to a frame prepared by ``slabs``."""
-    df = cut(df)
+def step(df: DataFrame, keys: list[str], order: list[str], stored: bool = False, **columns: Step) -> DataFrame:
+    """Add one scanned column per keyword to a frame prepared by ``slabs``.
+
+    ``stored`` says that reading the frame twice is cheap: it is little more than a table scan.
+    """
+    df = df if stored else cut(df)
     rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     local = W.partitionBy(*keys, SLAB).orderBy(*order)
     before = local.rowsBetween(W.unboundedPreceding, -1)
@@ -142,10 +145,10 @@ def step(df: DataFrame, keys: list[str], order: list[str], **columns: Step) -> D
     )
 
 
-def number_rows(df: DataFrame, keys: list[str], order: list[str], slab: Column, name: str) -> DataFrame:
+def number_rows(df: DataFrame, keys: list[str], order: list[str], slab: Column, name: str, stored: bool = False) -> DataFrame:
     """1-based position per key: position inside the slab plus the sizes of earlier slabs."""
     placed = slabs(df, slab)
-    return step(placed, keys, order, **{name: running_sum(F.lit(1))}).drop(SLAB)
+    return step(placed, keys, order, stored, **{name: running_sum(F.lit(1))}).drop(SLAB)
 
 
 def halo(df: DataFrame, keys: list[str], at: str, width: int, back: int = 0, ahead: int = 0) -> DataFrame:

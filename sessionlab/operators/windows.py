@@ -33,7 +33,7 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
     """
     if span_ns <= gap_ns:
         raise ValueError("a window must be longer than the largest gap inside a segment")
-    rows_in = cut(segmented(obs, gap_ns, queue_ns, rows))
+    rows_in = segmented(obs, gap_ns, queue_ns, rows)
     seg = rows_in.filter("inside")
     ready = F.col("start_ns") + guard_ns
     slot = lambda c: F.floor((c - ready) / span_ns).cast("long")
@@ -82,6 +82,10 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
     windows = cut(windows)
     redo = (windows.filter("_dirty").select("session", "stretch")
             .union(rows_in.filter("unclear").select("session", "stretch")).distinct())
+    columns = ["session", "segment", "k", "start_ns", *S.BEHAVIOR_FEATURES]
+    if not redo.limit(1).count():
+        return windows.filter("_closed").select(*columns)
+    redo = cut(redo)
     clean = windows.filter("_closed").join(redo, ["session", "stretch"], "left_anti")
     folded = fold_sorted(
         rows_in.join(redo, ["session", "stretch"], "left_semi"), ["session", "stretch"], ["ordinal"],
@@ -89,4 +93,4 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
         "session bigint, segment bigint, k bigint, start_ns bigint, movement_pps double, movement_cv double,"
         "attack_pps double, attack_cv double, attack_repeat double, ground_fraction double, turn_mean double, attacks double",
     )
-    return clean.select("session", "segment", "k", "start_ns", *S.BEHAVIOR_FEATURES).unionByName(folded)
+    return clean.select(*columns).unionByName(folded)

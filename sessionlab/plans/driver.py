@@ -52,7 +52,7 @@ def raw_events(spark: SparkSession, sf: str) -> DataFrame:
 def numbered(spark: SparkSession, sf: str) -> DataFrame:
     """Events with their ordinal per user, numbered in day slabs, never over a whole user at once."""
     return number_rows(raw_events(spark, sf), ["session"], ["ns", "event_id"],
-                       F.floor(F.col("ns") / DAY).cast("long"), "ordinal")
+                       F.floor(F.col("ns") / DAY).cast("long"), "ordinal", stored=True)
 
 
 def obs_events(spark: SparkSession, sf: str) -> DataFrame:
