@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scan import cut, halo, sql
+from .scan import SLAB, cut, halo, running_sum, slabs, sql, step
 
 MS = 1_000_000
 LOW_QUANTILE = "get(array_sort(collect_list({x})), CAST(floor((count({x}) - 1) * {q}D) AS INT))"
@@ -30,13 +30,30 @@ def quantile_lower(x: str, q: float) -> str:
     return LOW_QUANTILE.format(x=x, q=q)
 
 
+def running_counts(df: DataFrame, keys: list[str], x: str, pieces: int = 4096) -> DataFrame:
+    """Distinct values of ``x`` per key with ``upto`` (rows at or below) and ``total``, for groups of any size.
+
+    Rows first shrink to counts of distinct values; the running count goes by slabs of the value range.
+    """
+    counts = cut(df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")))
+    ends = counts.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.sum("n").alias("total"))
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(pieces - 1), F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * pieces))).otherwise(F.lit(0))
+    placed = slabs(counts.join(ends, keys), cell.cast("long")).drop("_lo", "_hi")
+    return step(placed, keys, [x], upto=running_sum(F.col("n"))).drop(SLAB)
+
+
 def quantile_lower_by(df: DataFrame, keys: list[str], x: str, q: float) -> DataFrame:
-    """The same quantile for groups of any size: counts of distinct values, then a running count."""
-    counts = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n"))
-    names = ", ".join(keys)
-    return sql(f"""
-      WITH run AS (SELECT *, sum(n) OVER (PARTITION BY {names} ORDER BY {x}) AS upto, sum(n) OVER (PARTITION BY {names}) AS total FROM {{counts}})
-      SELECT {names}, min({x}) AS q FROM run WHERE upto > floor((total - 1) * {q}) GROUP BY {names}""", counts=counts)
+    """The same quantile for groups of any size."""
+    run = running_counts(df, keys, x)
+    return run.filter(F.col("upto") > F.floor((F.col("total") - 1) * q)).groupBy(*keys).agg(F.min(x).alias("q"))
+
+
+def median_by(df: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """Exact median (mean of the two middle values) for groups of any size."""
+    run = running_counts(df, keys, x)
+    at = lambda pos: F.min(F.when(F.col("upto") > pos, F.col(x)))
+    half = (F.col("total") - 1) / 2
+    return run.groupBy(*keys).agg(((at(F.floor(half)) + at(F.ceil(half))) / 2).alias("median"))
 
 
 def bucketed(obs: DataFrame, trials: DataFrame, seconds: float) -> DataFrame:
@@ -152,12 +169,16 @@ def attack_features(obs: DataFrame, least: int = 100, bin_ms: float = 5.0, slab_
 def feature_summary(windows: DataFrame, features: list[str], label: str = "label") -> DataFrame:
     """Windows, minimum, median and maximum of every feature and class."""
     long = windows.unpivot([label], features, "feature", "x")
-    return long.groupBy("feature", label).agg(F.count("x").alias("windows"), F.min("x").alias("minimum"),
-                                              F.expr("percentile(x, 0.5)").alias("median"), F.max("x").alias("maximum"))
+    long = cut(long)
+    ends = long.groupBy("feature", label).agg(F.count("x").alias("windows"), F.min("x").alias("minimum"), F.max("x").alias("maximum"))
+    return ends.join(median_by(long, ["feature", label], "x"), ["feature", label])
 
 
 def macro_report(windows: DataFrame, keys: list[str], least_windows: int = 3, least_attacks: float = 100) -> DataFrame:
-    """Median features per trial of a macro study, and whether its windows are adjacent and dense enough."""
+    """Median features per trial of a macro study, and whether its windows are adjacent and dense enough.
+
+    A trial holds at most ten thousand windows, so a median per trial is taken in place.
+    """
     return windows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("windows"), F.countDistinct("segment").alias("segments"),
         *[F.expr(f"percentile({c}, 0.5)").alias(c) for c in ("attack_pps", "attack_cv", "attack_repeat")],
