@@ -8,6 +8,7 @@ from ..operators.scan import carry_here, cut, prev_row, scratch, slabs, step
 from ..operators.relations import last_known
 from ..operators import admission as A
 from ..sources import captures as C, findings as L
+from ..operators.detectors import DetectorConfig
 from ..streaming import live, stream
 from . import driver as D
 from .q_windows import WINDOW_COLUMNS, r6, windows
@@ -114,9 +115,8 @@ def q_stream_acks(spark, sf):
     return run(stream.stream_match_acks(s(12), s(13), "2 days", "1 hour")).select("session", "token", "impulse", "ack")
 
 
-@query("stream_detect", f"SELECT count(*) >= 0 AS done FROM events")
+@query("stream_detect")
 def q_stream_detect(spark, sf):
-    from ..operators.detectors import DetectorConfig
     from .q_detectors import CLICK
     base = f"{scratch(spark)}/detect-{uuid.uuid4().hex}"
     written = base + "/in"
@@ -124,7 +124,7 @@ def q_stream_detect(spark, sf):
     obs = spark.readStream.schema(spark.read.parquet(written).schema).option("maxFilesPerTrigger", 1).parquet(written)
     cfg = DetectorConfig(enabled=("autoclicker",), autoclicker=CLICK)
     stream.stream_detect(obs, base + "/log", base + "/findings", base + "/state", cfg, 60 * D.DAY).awaitTermination()
-    return spark.read.parquet(base + "/findings").agg((F.count(F.lit(1)) >= 0).alias("done"))
+    return spark.read.parquet(base + "/findings")
 
 
 # --- order helpers ---------------------------------------------------------------------------------------------------

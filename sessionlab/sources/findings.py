@@ -50,6 +50,19 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     {"parquet": writer.parquet, "json": writer.json, "csv": lambda p: writer.option("header", "true").csv(p)}[fmt](path)
 
 
+def export_windows(windows: DataFrame, sheet: DataFrame, path: str) -> DataFrame:
+    """Write the windows of approved recordings as JSON lines and return the export's counts.
+
+    ``sheet`` is the checked review sheet (``admission.apply_review_sheet``); windows carry ``trial``.
+    """
+    from ..operators.admission import export_report
+
+    good = sheet.filter("error IS NULL").select(F.col("trial_id").alias("trial"), F.col("verified_label").alias("label"), "verification")
+    out = windows.join(good, "trial")
+    write_table(out, path, "json")
+    return export_report(windows.sparkSession.read.schema(out.schema).json(path), sheet)
+
+
 def read_review_sheet(spark: SparkSession, path: str) -> DataFrame:
     """CSV review sheet with its fixed columns."""
     return spark.read.schema("trial_id string, approved string, verified_label string, verification string, evidence string, notes string").csv(path, header=True)

@@ -54,6 +54,15 @@ def test_hashes(spark, tmp_path):
     assert {(r.path.split("/")[-1], r.problem) for r in C.verify_hashes(files, catalog).collect()} == {("b", "changed"), ("gone", "missing")}
 
 
+def test_export_keeps_only_approved_recordings(spark, tmp_path):
+    windows = spark.createDataFrame([("a", "p", 1.0), ("a", "p", 2.0), ("b", "q", 3.0)], "trial string, player_group string, movement_pps double")
+    sheet = spark.createDataFrame([("a", "legit", "legit_control", None), ("b", "legit", "x", "conflict")], "trial_id string, verified_label string, verification string, error string")
+    r = L.export_windows(windows, sheet, str(tmp_path / "out")).first()
+    assert (r.windows, r.players, r.skipped, r.exported) == (2, 1, 1, 1)
+    with pytest.raises(Exception, match="nonfinite"):
+        L.write_table(windows.selectExpr("trial", "CAST('NaN' AS DOUBLE) AS x"), str(tmp_path / "nan"), "json")
+
+
 def test_findings_and_sinks(spark, tmp_path):
     good = {"level": "new", "check": "c", "player": "p", "session": "1", "event": "2", "message": "m", "evidence": {"reason": "r"}, "epoch_ms": "1000"}
     (tmp_path / "in").mkdir()
