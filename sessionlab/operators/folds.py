@@ -65,6 +65,28 @@ class Streak(RowFold):
         return [hit]
 
 
+class SegmentFold(RowFold):
+    """Segments of valid moves and attacks between two hard resets, one event at a time."""
+
+    def __init__(self, gap_ns: int):
+        self.gap = gap_ns
+        self.last = self.packet = self.opened = None
+
+    def accept(self, row):
+        before = self.last
+        if row["kind"] == 11:
+            if self.packet is not None and row["packet"] <= self.packet:
+                self.last = self.packet = self.opened = None
+                return []
+            if before is None or not 0 <= row["ns"] - before < self.gap:
+                self.opened, before = (row["ordinal"], row["ns"]), None
+            self.last, self.packet = row["ns"], row["packet"]
+        if self.opened is None:
+            return []
+        kept = {c: row[c] for c in ("ordinal", "ns", "kind", "yaw", "has_look", "ground")}
+        return [{**kept, "prev_ns": before, "last_ns": self.last, "segment": self.opened[0], "start_ns": self.opened[1]}]
+
+
 class EpisodeFold:
     """Guard, then ``buckets`` equal buckets; the move that ends an episode starts the next."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import schemas as S
+from .folds import SegmentFold, fold_sorted
 from .scan import SLAB, carry_here, cut, ordinal_slab, prev_row, running_max, running_sum, slabs, step
 
 BOUNDARY_KINDS = [S.SESSION_START, S.SESSION_END, S.RESET, S.TELEPORT, S.CORRECTION]
@@ -63,7 +64,7 @@ def lifecycle_findings(guarded: DataFrame) -> DataFrame:
 
 
 def segmented(obs: DataFrame, gap_ns: int = 750 * MS, queue_ns: int = 100 * MS, rows: int = 65536,
-              attacks: bool = True) -> DataFrame:
+              attacks: bool = True) -> tuple[DataFrame, DataFrame]:
     """Cut each session into segments of trustworthy moves; attacks keep their delivery position.
 
     A segment starts at the first move after a reset.  Resets: boundary kinds, an invalid snapshot,
@@ -76,8 +77,9 @@ def segmented(obs: DataFrame, gap_ns: int = 750 * MS, queue_ns: int = 100 * MS,
 
     Returns valid moves and attacks with ``segment`` (ordinal of the opening move), ``start_ns``,
     ``prev_ns`` (previous move of the segment), ``last_ns`` (latest move so far), ``inside`` (kept and
-    in a segment), ``stretch`` (ordinal of the last boundary or invalid snapshot) and ``unclear``
-    (the slab's head repeats or lowers the packet number; only a fold gives its run of drops).
+    in a segment) and ``stretch`` (ordinal of the last boundary or invalid snapshot).  The second frame
+    lists the unclear stretches: a slab's head does not raise the packet number there, and only a fold
+    gives the drops that follow.
     """
     kind = F.col("kind")
     valid = kind.isin(S.ATTACK, S.MOVE) & snapshot_valid(queue_ns)
@@ -141,18 +143,28 @@ def segmented(obs: DataFrame, gap_ns: int = 750 * MS, queue_ns: int = 100 * MS,
     seg = F.coalesce("_seg", F.when(F.col("_head_at").isNotNull(), F.col("head_seg")), "in_seg")
     ended = F.coalesce("_cut_at", "in_cut", F.lit(-1))
     inside = (seg["ordinal"] > ended) & ((move & ~F.col("_drop")) | (kind == S.ATTACK))
-    return joined.select(
+    unclear = state.filter("head_bad").select(F.col("_js").alias("session"), F.coalesce("ph", F.lit(-1)).alias("stretch")).distinct()
+    rows_out = joined.select(
         "session", "ordinal", "ns", "kind", "packet", "yaw", "has_look", "ground",
         F.when(~opens, F.coalesce("_prev", F.struct("pm.ns", "pm.packet", "pm.ordinal"))["ns"]).alias("prev_ns"),
         F.coalesce("_last", "in_last").alias("last_ns"),
         F.coalesce("_hard_at", "ph", F.lit(-1)).alias("stretch"),
         seg["ordinal"].alias("segment"), seg["ns"].alias("start_ns"),
-        F.coalesce(inside, no).alias("inside"), F.coalesce("head_bad", no).alias("unclear"))
+        F.coalesce(inside, no).alias("inside"))
+    return rows_out, unclear
 
 
 def segment_obs(obs: DataFrame, gap_ns: int = 750 * MS, queue_ns: int = 100 * MS, rows: int = 65536) -> DataFrame:
-    """Only the rows of ``segmented`` that belong to a segment."""
-    return segmented(obs, gap_ns, queue_ns, rows).filter("inside").drop("inside", "packet", "stretch", "unclear")
+    """Only the rows of ``segmented`` that belong to a segment; unclear stretches are folded."""
+    rows_in, unclear = segmented(obs, gap_ns, queue_ns, rows)
+    columns = ["session", "ordinal", "ns", "kind", "yaw", "has_look", "ground", "prev_ns", "last_ns", "segment", "start_ns"]
+    plain = rows_in.filter("inside")
+    if not unclear.limit(1).count():
+        return plain.select(*columns)
+    unclear = cut(unclear)
+    folded = fold_sorted(rows_in.join(unclear, ["session", "stretch"], "left_semi"), ["session", "stretch"], ORDER, lambda: SegmentFold(gap_ns),
+                         "session bigint, ordinal bigint, ns bigint, kind int, yaw double, has_look boolean, ground boolean, prev_ns bigint, last_ns bigint, segment bigint, start_ns bigint")
+    return plain.join(unclear, ["session", "stretch"], "left_anti").select(*columns).unionByName(folded)
 
 
 def clip_guard(obs: DataFrame, trials: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .folds import BudgetFold, EpisodeFold, fold_sorted
-from .scan import cut, ordinal_slab, slabs, sql, step, carry_here
+from .scan import ordinal_slab, slabs, sql, step, carry_here
 from .segments import MS, segmented
 
 WINDOW_NS, WINDOWS, GUARD_NS = 5_000 * MS, 34, 5_000 * MS
@@ -18,9 +18,9 @@ def timer_episodes(obs: DataFrame, bucket_ns: int = WINDOW_NS, buckets: int = WI
     Each segment is folded on its own.  Segment starts chain (the ending move starts the next episode),
     which no fixed grid reproduces; the fold only does searches and counts on sorted arrays.
     """
-    rows_in = cut(segmented(obs, gap_ns, queue_ns, rows, attacks=False))
-    unclear = rows_in.filter("unclear").select("session", "stretch").distinct().withColumn("_redo", F.lit(True))
-    units = (rows_in.join(unclear, ["session", "stretch"], "left").filter("inside OR _redo")
+    rows_in, unclear = segmented(obs, gap_ns, queue_ns, rows, attacks=False)
+    marked = unclear.withColumn("_redo", F.lit(True))
+    units = (rows_in.join(marked, ["session", "stretch"], "left").filter("inside OR _redo")
              .selectExpr("session", "CASE WHEN _redo THEN -2 - stretch ELSE segment END AS unit", "ordinal", "ns", "packet"))
     found = fold_sorted(units, ["session", "unit"], ["ordinal"],
                         lambda: EpisodeFold(bucket_ns, buckets, guard_ns, gap_ns),

@@ -33,7 +33,7 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
     """
     if span_ns <= gap_ns:
         raise ValueError("a window must be longer than the largest gap inside a segment")
-    rows_in = segmented(obs, gap_ns, queue_ns, rows)
+    rows_in, unclear = segmented(obs, gap_ns, queue_ns, rows)
     seg = rows_in.filter("inside")
     ready = F.col("start_ns") + guard_ns
     slot = lambda c: F.floor((c - ready) / span_ns).cast("long")
@@ -81,7 +81,7 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
     )
     windows = cut(windows)
     redo = (windows.filter("_dirty").select("session", "stretch")
-            .union(rows_in.filter("unclear").select("session", "stretch")).distinct())
+            .union(unclear).distinct())
     columns = ["session", "segment", "k", "start_ns", *S.BEHAVIOR_FEATURES]
     if not redo.limit(1).count():
         return windows.filter("_closed").select(*columns)

@@ -4,6 +4,7 @@ from build import MS, event, frame, messy, moves
 from sessionlab import schemas as S
 from sessionlab.operators.features import attack_features, dataset_windows
 from sessionlab.operators.models import tail_rank
+from sessionlab.operators.segments import segment_obs
 from sessionlab.operators.stress import batch_receive, perturb_moves
 from sessionlab.operators.timer import assess_episodes, score_episodes, timer_budget, timer_episodes
 from sessionlab.operators.windows import behavior_windows
@@ -31,6 +32,12 @@ def test_sql_windows_equal_the_state_machine(spark, seed):
     assert sorted(tuple(round(v, 7) for v in r) for r in got) == want
 
 
+def test_segments_do_not_depend_on_the_slab_size(spark):
+    obs = frame(spark, messy(11))
+    small, large = (sorted(tuple(r) for r in segment_obs(obs, rows=n).filter("kind = 11").collect()) for n in (8, 100_000))
+    assert small == large and len(small) > 500
+
+
 def test_a_pause_restarts_the_window(spark):
     got = behavior_windows(frame(spark, moves(1500, pause_at=400))).collect()
     assert len(got) == 1 and got[0].movement_pps == 20
