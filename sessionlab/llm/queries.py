@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sessionlab.llm.language_id import language_id
+from sessionlab.llm.substring_dedup import substring_dedup
 from sessionlab.llm.suffix_dedup import suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,3 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query("op1_suffix_dedup")
 def op1(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents"), length=100).drop("kept")
+
+
+@query("op3_substring_dedup")
+def op3(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"), window=13).drop("kept")
+
+
+@query("op10_language_id")
+def op10(spark, sf_dir):
+    return language_id(table(spark, sf_dir, "documents"))
