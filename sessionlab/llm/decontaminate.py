@@ -20,8 +20,8 @@ BROADCAST_SEEDS = 1_000_000
 
 
 def tokens(text: str) -> Column:
-    """Runs of letters and digits, in lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Runs of letters and digits, in lower case; a text that begins or ends otherwise has an empty token there."""
+    return F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+")
 
 
 def seeds(words: Column, at: Column, mask: int) -> Column:
@@ -40,12 +40,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, misses: int =
     at every place, so every run of agreeing tokens as long as a mask's span and stride - 1 more is hit. Items of fewer tokens than the shortest mask's span are not searched.
     Null texts and ids have no overlaps; repeated rows give one row.
     """
-    item = benchmark.where("item_id is not null").select("item_id", tokens("text").alias("item")).distinct()
+    item = benchmark.where("item_id is not null").select("item_id", F.filter(tokens("text"), lambda w: w != "").alias("item")).distinct()
     places = item.withColumn("item_at", F.explode(F.sequence(F.lit(0), F.greatest(F.size("item") - 1, F.lit(0)))))
     hashed = places.withColumn("seed", F.explode(F.array(*[seeds(F.col("item"), F.col("item_at"), m) for m in range(len(MASKS))]))).where("seed is not null")
     known = stage(hashed.groupBy("seed").agg(F.collect_set(F.struct("item_id", "item", "item_at")).alias("at")), "seeds")
     few = known.select(F.sum(F.size("at"))).first()[0] or 0
-    words = docs.where("doc_id is not null").select("doc_id", tokens("text").alias("words")).where(F.size("words") > 0)
+    words = docs.where("doc_id is not null").select("doc_id", tokens("text").alias("words"))
     spots = words.withColumn("place", F.explode(F.sequence(F.lit(0), F.size("words") - 1, F.lit(stride))))
     own = spots.withColumn("seed", F.explode(F.array(*[seeds(F.col("words"), F.col("place"), m) for m in range(len(MASKS))]))).where("seed is not null")
     if few <= BROADCAST_SEEDS:
@@ -54,8 +54,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, misses: int =
         met = own.select("doc_id", "place", "seed").join(known, "seed").select("doc_id", "place", "at")
         hits = met.join(words, "doc_id")
     hit = hits.select("doc_id", "words", "place", F.explode("at").alias("t")).select("doc_id", "t.item_id", "t.item", (F.col("place") - F.col("t.item_at")).alias("start"), "words")
-    laid = hit.select("doc_id", "item_id", "item", "start", F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item") + F.least(F.col("start"), F.lit(0))).alias("part"), F.greatest(-F.col("start"), F.lit(0)).alias("skip"))
-    laid = laid.dropDuplicates(["doc_id", "item_id", "start", "part"])
+    laid = hit.select("doc_id", "item_id", "item", "start", F.slice("words", F.greatest(F.col("start"), F.lit(0)) + 1, F.size("item") + F.least(F.col("start"), F.lit(0))).alias("part"), F.greatest(-F.col("start"), F.lit(0)).alias("skip")).withColumn("of", F.xxhash64("part"))
+    laid = laid.dropDuplicates(["doc_id", "item_id", "start", "of"])
     agree = F.transform(F.col("part"), lambda w, i: (w == F.get(F.col("item"), i + F.col("skip"))).cast("int"))
     span = F.least(F.lit(window), F.size("item"))
     best = F.array_max(F.transform(F.sequence(F.lit(1), F.greatest(F.size("agree") - span + 1, F.lit(1))), lambda i: F.aggregate(F.slice("agree", i, span), F.lit(0), lambda a, b: a + b)))

@@ -49,7 +49,7 @@ common AS (SELECT source, line FROM (SELECT source, line, count(*) AS n FROM lin
   JOIN total USING (source) WHERE n >= 5 AND n > 0.05 * pages),
 listed AS (SELECT source, list(line) AS gone FROM common GROUP BY source),
 cut AS (SELECT doc_id, string_split(text, chr(10)) AS lines,
-  CASE WHEN gone IS NULL THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), x -> NOT list_contains(gone, x)) END AS kept
+  CASE WHEN gone IS NULL THEN string_split(text, chr(10)) ELSE list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, x)) END AS kept
   FROM documents LEFT JOIN listed USING (source))
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS INTEGER) AS n_lines, CAST(coalesce(len(lines) - len(kept), 0) AS INTEGER) AS n_dropped,
   md5(array_to_string(kept, chr(10))) AS kept_md5 FROM cut

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sessionlab.llm.decontaminate import leaks
 from sessionlab.llm.language_id import language_id
+from sessionlab.llm.line_dedup import LINE_SQL, line_dedup
 from sessionlab.llm.substring_dedup import substring_dedup
 from sessionlab.llm.suffix_dedup import suffix_dedup
 
@@ -41,3 +43,14 @@ def op3(spark, sf_dir):
 @query("op10_language_id")
 def op10(spark, sf_dir):
     return language_id(table(spark, sf_dir, "documents"))
+
+
+@query("op5_line_dedup", LINE_SQL)
+def op5(spark, sf_dir):
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.md5("text").alias("kept_md5"))
+
+
+@query("op2_decontaminate")
+def op2(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
