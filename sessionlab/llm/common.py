@@ -84,14 +84,14 @@ def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.flatnonzero(starts), np.flatnonzero(ends) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash for each span of bytes: differences of prefix sums of a polynomial, brought to the span's own origin."""
-    n = len(data)
+def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each span of values: differences of prefix sums of a polynomial, brought to the span's own origin."""
+    n = len(values)
     up = np.ones(n + 1, np.uint64)
     up[1:] = np.uint64(MULTIPLIER)
     np.multiply.accumulate(up, out=up)
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[data] * up[:-1], out=total[1:])
+    np.cumsum(values * up[:-1], out=total[1:])
     down = np.full(n + 1, np.uint64(pow(MULTIPLIER, -1, 1 << 64)))
     down[0] = 1
     np.multiply.accumulate(down, out=down)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sessionlab.llm.common import ranges, span_hashes, text_buffer, text_slices, word_spans
+from sessionlab.llm.common import BYTE_VALUES, ranges, span_hashes, text_buffer, text_slices, word_spans
 from sessionlab.llm.windows import LAST_ID, covered, identified, pack, repeated_places, unpack, whole_anchors
 
 
@@ -100,7 +100,7 @@ def matched_runs(symbols: list[list[int]], documents: list[int], window: int) ->
 
 def word_symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_spans(data, at)
-    return span_hashes(data, starts, ends), np.searchsorted(starts, at)
+    return span_hashes(BYTE_VALUES[data], starts, ends), np.searchsorted(starts, at)
 
 
 def repeated_runs(docs: DataFrame, window: int = 13, most_segments: int = 16_384, batch_bytes: int = 1 << 20) -> DataFrame:
@@ -118,8 +118,7 @@ def repeated_runs(docs: DataFrame, window: int = 13, most_segments: int = 16_384
             row, begin, count = np.array(rows, np.int64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(pack(start[row] + begin, count, tag[row]))], ["doc_id", "place"])
 
-    ks = (max(1, window // 3), max(1, window * 2 // 3), window)
-    return repeated_places(docs, word_symbols, word_symbols, "uint64", window, ks, True, examine, most_segments)
+    return repeated_places(docs, word_symbols, word_symbols, window, max(1, window // 3), True, examine, most_segments)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, most_segments: int = 16_384) -> DataFrame:
