@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sessionlab.llm.chosen_path import similar
 from sessionlab.llm.decontaminate import leaks
 from sessionlab.llm.language_id import language_id
 from sessionlab.llm.line_dedup import LINE_SQL, line_dedup
+from sessionlab.llm.sentencepieces import encode, read_model
 from sessionlab.llm.substring_dedup import substring_dedup
 from sessionlab.llm.suffix_dedup import suffix_dedup
 
+#: Where the public vocabularies lie; read on the driver only.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -54,3 +60,14 @@ def op5(spark, sf_dir):
 @query("op2_decontaminate")
 def op2(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_ngram_jaccard")
+def op8(spark, sf_dir):
+    return similar(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
+@query("op6_sentencepiece")
+def op6(spark, sf_dir):
+    model = read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
+    return encode(table(spark, sf_dir, "documents"), model, ["doc_id"]).drop("ids")
