@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlab.llm.chosen_path import similar
 from sessionlab.llm.decontaminate import leaks
+from sessionlab.llm.html_extract import extract
 from sessionlab.llm.language_id import language_id
 from sessionlab.llm.line_dedup import LINE_SQL, line_dedup
+from sessionlab.llm.piecewise import fingerprint_neighbours
 from sessionlab.llm.sentencepieces import encode, read_model
 from sessionlab.llm.substring_dedup import substring_dedup
 from sessionlab.llm.suffix_dedup import suffix_dedup
@@ -71,3 +73,13 @@ def op8(spark, sf_dir):
 def op6(spark, sf_dir):
     model = read_model(f"{TOKENIZERS}/piece_bpe_32k.model")
     return encode(table(spark, sf_dir, "documents"), model, ["doc_id"]).drop("ids")
+
+
+@query("op4_html_extraction")
+def op4(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
+@query("op9_fingerprints")
+def op9(spark, sf_dir):
+    return fingerprint_neighbours(table(spark, sf_dir, "documents"))
