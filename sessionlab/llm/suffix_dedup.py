@@ -122,8 +122,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, most_segments: int = 16_38
         for table in whole_anchors(batches, batch_bytes):
             yield repeats_in(table, length)
 
-    ks = (max(1, length // 6), max(1, length * 2 // 3), length)
-    return repeated_places(docs, bytes_of, raw_bytes, "uint8", length, ks, False, examine, most_segments)
+    return repeated_places(docs, bytes_of, raw_bytes, length, max(1, length // 6), False, examine, most_segments)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, most_segments: int = 16_384) -> DataFrame:

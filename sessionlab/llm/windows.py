@@ -11,13 +11,13 @@ of the operator.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from sessionlab.llm.common import BYTE_VALUES, mixed, ranges, rolling, run_hash, sliding_min, stage, text_buffer, text_slices
+from sessionlab.llm.common import mixed, ranges, rolling, run_hash, sliding_min, stage, text_buffer, text_slices
 
 #: The low bits of a gram's hash give way to its place while the least is sought.
 SPOT = np.uint64((1 << 31) - 1)
@@ -70,24 +70,42 @@ def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return place >> (TAG_BITS + COUNT_BITS), (place >> TAG_BITS) & ((1 << COUNT_BITS) - 1), place & ((1 << TAG_BITS) - 1)
 
 
+def document_key() -> tuple[Column, Column]:
+    """What tells rows apart: doc_id, where none is given the largest, and TAG_BITS of the text's hash."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64(text).bitwiseAND((1 << TAG_BITS) - 1)
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, text): a document without id counts as the one with the largest id."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).bitwiseAND((1 << TAG_BITS) - 1).alias("tag"), text.alias("text"))
+    doc_id, tag = document_key()
+    return docs.select(doc_id.alias("doc_id"), tag.alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def segmenter(symbols: Callable, window: int, k: int):
-    """Arrow batches of (doc_id, tag, text) to SEGMENT rows; symbols(data, at) gives a slice's symbols and their bounds."""
+def segmenter(symbols: Callable, window: int, k: int, by_document: bool):
+    """Arrow batches of (doc_id, tag, text) to SEGMENT rows; symbols(data, at) gives a slice's symbols and their bounds.
+
+    Copies of a segment that the same batch shows to be later than another are settled here: their place becomes
+    negative and their anchor a number of their own, so that no hot segment meets in one task.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, tags = batch["doc_id"].to_numpy(), batch["tag"].to_numpy()
+            parts = []
             for lo, _, data, at in text_slices(batch["text"]):
                 values, bounds = symbols(data, at)
                 start, count, anchor, segment = segments(values, bounds, window, k)
                 row = np.searchsorted(bounds, start, "right") - 1
-                place = pack(start - bounds[row], count, tags[lo + row])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor.view(np.int64), segment.view(np.int64), ids[lo + row], place)], ["anchor", "segment", "doc_id", "place"])
+                parts.append((anchor.view(np.int64), segment.view(np.int64), ids[lo + row], pack(start - bounds[row], count, tags[lo + row])))
+            anchor, segment, doc, place = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
+            order = np.lexsort((place, doc, segment))
+            same = np.append(False, segment[order[1:]] == segment[order[:-1]])
+            first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
+            later = order[(doc[order] > doc[first]) | ((doc[order] == doc[first]) & (place[order] >> COUNT_BITS + TAG_BITS > place[first] >> COUNT_BITS + TAG_BITS) & (not by_document))]
+            anchor[later] = mixed((doc[later] ^ (place[later] << 20)).view(np.uint64)).view(np.int64)
+            place[later] = -1 - place[later]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, segment, doc, place)], ["anchor", "segment", "doc_id", "place"])
 
     return run
 
@@ -105,16 +123,18 @@ def finder(by_document: bool):
         waiting: list[pa.RecordBatch] = []
 
         def out(batch: pa.RecordBatch, rows: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
-            part = batch.take(pa.array(rows))
-            arrays = {f: part[f] for f in part.schema.names if f != "segment"} | {"repeated": pa.array(repeated)}
-            return pa.RecordBatch.from_pydict(arrays)
+            arrays = [batch["anchor"].take(pa.array(rows)), batch["doc_id"].take(pa.array(rows)), pa.array(place[rows]), pa.array(repeated)]
+            return pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "place", "repeated"])
 
         for batch in batches:
             n = len(batch)
             if not n:
                 continue
             anchor, segment, doc = (batch[c].to_numpy() for c in ("anchor", "segment", "doc_id"))
-            start = unpack(batch["place"].to_numpy())[0]
+            place = batch["place"].to_numpy()
+            settled = place < 0
+            place = np.where(settled, -1 - place, place)
+            start = unpack(place)[0]
             new_anchor, new_segment = np.ones(n, bool), np.ones(n, bool)
             new_anchor[1:] = anchor[1:] != anchor[:-1]
             new_anchor[0] = at_hand is None or at_hand[0] != anchor[0]
@@ -124,7 +144,7 @@ def finder(by_document: bool):
             known = first >= 0
             first_doc = np.where(known, doc[first], at_hand[2] if at_hand else 0)
             first_start = np.where(known, start[first], at_hand[3] if at_hand else 0)
-            is_first = doc == first_doc if by_document else (doc == first_doc) & (start == first_start)
+            is_first = (doc == first_doc if by_document else (doc == first_doc) & (start == first_start)) & ~settled
             group = np.cumsum(new_anchor) - 1  # -1: goes on from the batch before
             several = np.zeros(group[-1] + 2, bool)
             several[group[new_segment & ~new_anchor]] = True
@@ -147,45 +167,58 @@ def finder(by_document: bool):
     return run
 
 
-def fetcher(values_of: Callable, window: int):
-    """Batches of (doc_id, text, places) to (anchor, doc_id, place, content): the values of each wanted segment as bytes."""
+def fetcher(symbols: Callable, values_of: Callable, window: int):
+    """Batches of (doc_id, text, places) to (anchor, segment, doc_id, place, content): the values of each wanted segment
+    as bytes, or, where it is to be split, each of its windows by two hashes and without content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["anchor", "segment", "doc_id", "place", "content"]
         for batch in batches:
             ids = batch["doc_id"].to_numpy()
             wanted = batch["places"]
             bounds = wanted.offsets.to_numpy().astype(np.int64)
-            anchor, place = (x.to_numpy(zero_copy_only=False) for x in wanted.values.flatten())
+            anchors, places, splits = (x.to_numpy(zero_copy_only=False) for x in wanted.values.flatten())
             for lo, hi, data, at in text_slices(batch["text"]):
                 values, edges = values_of(data, at)
                 a, b = bounds[lo], bounds[hi]
-                start, count, _ = unpack(place[a:b])
+                anchor, place, split = anchors[a:b], places[a:b], splits[a:b].astype(bool)
+                start, count, tag = unpack(place)
                 row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
-                length = (count + window - 1) * values.itemsize
-                offsets = np.zeros(b - a + 1, np.int32)
-                np.cumsum(length, out=offsets[1:])
-                content = values.view(np.uint8)[ranges((edges[row] + start) * values.itemsize, length)]
-                content = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(content)])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[a:b]), pa.array(ids[lo + row]), pa.array(place[a:b]), content], ["anchor", "doc_id", "place", "content"])
+                doc, begin = ids[lo + row], edges[row] + start
+                length = np.where(split, 0, (count + window - 1) * values.itemsize)
+                offsets = np.append(0, np.cumsum(length[~split])).astype(np.int32)
+                content = values.view(np.uint8)[ranges(begin * values.itemsize, length)]
+                content = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(content)])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[~split]), pa.array(np.zeros(len(content), np.int64)), pa.array(doc[~split]), pa.array(place[~split]), content], names)
+                if split.any():
+                    each = np.repeat(np.flatnonzero(split), count[split])
+                    at_window = ranges(begin[split], count[split])
+                    whole = run_hash(rolling(symbols(data, at)[0], window), window, at_window)
+                    spots = pack(start[each] + at_window - begin[each], 1, tag[each])
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed(whole ^ anchor[each].view(np.uint64)).view(np.int64)), pa.array(mixed(whole).view(np.int64)), pa.array(doc[each]), pa.array(spots), pa.nulls(len(each), pa.binary())], names)
 
     return run
 
 
-def resegmenter(dtype: str, window: int, k: int):
-    """Examined segments to SEGMENT rows of a longer anchor, each with its content."""
+def settler(by_document: bool, examine: Callable):
+    """Rows of fetcher, those without content first, each kind sorted by anchor, to (doc_id, place) of repeated runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, (begin, _, tag) = batch["doc_id"].to_numpy(), unpack(batch["place"].to_numpy())
-            data, at = text_buffer(batch["content"])
-            values = np.frombuffer(data.tobytes(), dtype)
-            bounds = at // values.itemsize
-            symbols = BYTE_VALUES[values] if values.itemsize == 1 else values
-            start, count, anchor, segment = segments(symbols, bounds, window, k)
-            row = np.searchsorted(bounds, start, "right") - 1
-            place = pack(begin[row] + start - bounds[row], count, tag[row])
-            content = pa.array([values[s : s + c + window - 1].tobytes() for s, c in zip(start, count)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(segment.view(np.int64)), pa.array(ids[row]), pa.array(place), content], ["anchor", "segment", "doc_id", "place", "content"])
+        batches = iter(batches)
+        rest: list[pa.RecordBatch] = []
+
+        def windows() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n = batch["content"].null_count
+                yield batch.slice(0, n)
+                if n < len(batch):
+                    rest.append(batch.slice(n))
+                    return
+
+        for found in finder(by_document)(windows()):
+            found = found.filter(found["repeated"])
+            yield found.select(["doc_id", "place"])
+        yield from examine(chain(rest, batches))
 
     return run
 
@@ -216,32 +249,24 @@ def whole_anchors(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def repeated_places(docs: DataFrame, symbols: Callable, values_of: Callable, dtype: str, window: int, ks: tuple[int, ...], by_document: bool, examine: Callable, most_segments: int) -> DataFrame:
+def repeated_places(docs: DataFrame, symbols: Callable, values_of: Callable, window: int, k: int, by_document: bool, examine: Callable, most_segments: int) -> DataFrame:
     """(doc_id, tag, places): for each document the runs of windows that occur earlier, as places of runs.
 
-    docs: identified(). symbols hash well; values_of gives what the contents hold. examine(batches of (anchor, doc_id, place, content) sorted by anchor) gives (doc_id, place)
-    rows. An anchor with more than most_segments different segments is taken up again with the next longer k; at the
-    last k, the window's length, every segment is a single window and copies settle all of it.
+    docs: identified(). symbols hash well; values_of gives what the contents hold. examine(batches of (anchor, doc_id,
+    place, content) sorted by anchor) gives (doc_id, place) rows. An anchor with more than most_segments different
+    segments would be too much for one task: its segments are split into windows, which are compared by 128 bits of hash.
     """
-    assert ks[-1] == window
-    order = ["anchor", "segment", "doc_id", "place"]
-    found = stage(docs.mapInArrow(segmenter(symbols, window, ks[0]), SEGMENT).repartition("anchor").sortWithinPartitions(*order).mapInArrow(finder(by_document), FOUND), "found")
-    runs = [found.where("repeated").select("doc_id", "place")]
-    asked = found.where("not repeated").select("doc_id", (F.col("place").bitwiseAND((1 << TAG_BITS) - 1)).alias("tag"), F.struct("anchor", "place").alias("p")).groupBy("doc_id", "tag").agg(F.collect_list("p").alias("places"))
-    contents = docs.join(asked, ["doc_id", "tag"]).select("doc_id", "text", "places").mapInArrow(fetcher(values_of, window), "anchor long, doc_id long, place long, content binary")
-    hot = found.where("not repeated").groupBy("anchor").count().where(F.col("count") > most_segments).select("anchor")
-    for k in ks[1:]:
-        if hot.isEmpty():
-            break
-        contents = stage(contents, "contents")
-        rest = contents.join(hot, "anchor", "left_semi").mapInArrow(resegmenter(dtype, window, k), f"{SEGMENT}, content binary")
-        again = stage(rest.repartition("anchor").sortWithinPartitions(*order).mapInArrow(finder(by_document), "anchor long, doc_id long, place long, content binary, repeated boolean"), "again")
-        runs.append(again.where("repeated").select("doc_id", "place"))
-        more = again.where("not repeated").select("anchor", "doc_id", "place", "content")
-        contents = contents.join(hot, "anchor", "left_anti").unionByName(more)
-        hot = more.groupBy("anchor").count().where(F.col("count") > most_segments).select("anchor")
-    runs.append(contents.repartition("anchor").sortWithinPartitions("anchor", "doc_id", "place").mapInArrow(examine, "doc_id long, place long"))
-    return reduce(DataFrame.unionByName, runs).groupBy("doc_id", (F.col("place").bitwiseAND((1 << TAG_BITS) - 1)).alias("tag")).agg(F.collect_list("place").alias("places"))
+    tag = F.col("place").bitwiseAND((1 << TAG_BITS) - 1)
+    segmented = docs.mapInArrow(segmenter(symbols, window, k, by_document), SEGMENT)
+    found = stage(segmented.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "place").mapInArrow(finder(by_document), FOUND), "found")
+    asked = found.where("not repeated").select("anchor", "doc_id", "place")
+    hot = asked.groupBy("anchor").count().where(F.col("count") > most_segments).select("anchor", F.lit(True).alias("split"))
+    asked = asked.withColumn("split", F.lit(False)) if hot.isEmpty() else asked.join(hot, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    listed = asked.groupBy("doc_id", tag.alias("tag")).agg(F.collect_list(F.struct("anchor", "place", "split")).alias("places"))
+    contents = docs.join(listed, ["doc_id", "tag"]).select("doc_id", "text", "places").mapInArrow(fetcher(symbols, values_of, window), f"{SEGMENT}, content binary")
+    sorted_contents = contents.repartition("anchor").sortWithinPartitions(F.col("content").isNotNull(), "anchor", "segment", "doc_id", "place")
+    examined = sorted_contents.mapInArrow(settler(by_document, examine), "doc_id long, place long")
+    return found.where("repeated").select("doc_id", "place").unionByName(examined).groupBy("doc_id", tag.alias("tag")).agg(F.collect_list("place").alias("places"))
 
 
 def covered(places: pa.Array, lo: int, hi: int, bounds: np.ndarray, window: int) -> np.ndarray:
