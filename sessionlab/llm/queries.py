@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sessionlab.llm.chosen_path import similar
+from sessionlab.llm.context_tree import context_tree_scores
 from sessionlab.llm.decontaminate import leaks
 from sessionlab.llm.html_extract import extract
 from sessionlab.llm.language_id import language_id
@@ -83,3 +84,8 @@ def op4(spark, sf_dir):
 @query("op9_fingerprints")
 def op9(spark, sf_dir):
     return fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query("op7_context_tree")
+def op7(spark, sf_dir):
+    return context_tree_scores(table(spark, sf_dir, "documents"))
