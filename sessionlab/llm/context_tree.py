@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from sessionlab.llm.common import BYTE_VALUES, blocks_for, ranges, span_hashes, stage, text_slices, word_spans
 from sessionlab.llm.windows import LAST_ID, document_key
 
-DEPTH, TOP = 4, 2
+DEPTH, TOP = 5, 2
 END = 0x0A
 #: The token that ends a text, among the hashes of words (no word holds this byte).
 END_WORD = int(span_hashes(BYTE_VALUES[np.array([END])], np.array([0]), np.array([1])).view(np.int64)[0])
