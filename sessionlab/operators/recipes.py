@@ -1,31 +1,48 @@
 """Checks of a detection recipe (a small configuration, not data)."""
 
 import math
-import re
+from numbers import Real
 
 from ..schemas import BEHAVIOR_FEATURES
 
-COVERAGE = ("minimum_human_players", "minimum_days", "minimum_network_conditions", "minimum_legit_hours")
+#: Least and most value of each number; None leaves that side open, and a least value marked open is not allowed itself.
+RANGES = {
+    "version": (1, None), "window_seconds": (30, 30), "tail_cutoff": ("open", 0, 0.05), "consecutive_windows": (1, 20), "minimum_attacks": (0, 10_000), "minimum_margin": (None, None),
+    "validation.maximum_fpr_upper_95": ("open", 0, 0.05), "validation.minimum_recall": (0.5, 1),
+    **{f"validation.minimum_{name}": ("open", 0, None) for name in ("human_players", "days", "network_conditions", "legit_hours")},
+}
+TEXTS = ("name", "mechanism", "source")
+CHOICES = {"target": ("automation", "cheat"), "validation.require_same_client_control": (False, True)}
+
+
+def _at(spec: dict, path: str):
+    for key in path.split("."):
+        spec = spec.get(key) if isinstance(spec, dict) else None
+    return spec
+
+
+def problems(spec: dict) -> list[str]:
+    """What is wrong with a recipe, as `path: what is expected`."""
+    found = []
+    for path, bounds in RANGES.items():
+        value, (least, most) = _at(spec, path), bounds[-2:]
+        number = isinstance(value, Real) and not isinstance(value, bool) and math.isfinite(value)
+        if not number or least is not None and (value < least or "open" in bounds and value == least) or most is not None and value > most:
+            sign = ">" if "open" in bounds else ">="
+            found.append(f"{path}: a number" + (f" {sign} {least}" if least is not None else "") + (f" <= {most}" if most is not None else ""))
+    found += [f"{path}: one of {options}" for path, options in CHOICES.items() if _at(spec, path) not in options]
+    found += [f"{path}: some text" for path in TEXTS if not _at(spec, path)]
+    name = _at(spec, "id")
+    if not (isinstance(name, str) and 3 <= len(name) <= 64 and name[0].isascii() and name[0].islower() and all(c.isascii() and (c.islower() or c.isdigit() or c in "._-") for c in name)):
+        found.append("id: 3 to 64 lower-case letters, digits, dots, bars, a letter first")
+    features = _at(spec, "features") or []
+    if not features or len({*features}) < len(features) or {*features} - {*BEHAVIOR_FEATURES}:
+        found.append("features: different registered ones, one at least")
+    return found
 
 
 def validate_recipe(spec: dict) -> dict:
-    """Return the recipe, or raise with the first rule it breaks."""
-    rules, features = spec["validation"], spec["features"]
-    number = lambda x: isinstance(x, (int, float)) and math.isfinite(x)
-    checks = [
-        (re.fullmatch(r"[a-z][a-z0-9_.-]{2,63}", spec["id"]), "use a stable lowercase detection id"),
-        (spec["version"] >= 1 and spec["window_seconds"] == 30, "unsupported detection or feature version"),
-        (spec["name"] and spec["mechanism"] and spec["source"], "name, mechanism and source are required"),
-        (features and len(set(features)) == len(features), "features must be unique and not empty"),
-        (set(features) <= set(BEHAVIOR_FEATURES), "unregistered features"),
-        (spec["target"] in ("cheat", "automation"), "target must be cheat or automation"),
-        (0 < spec["tail_cutoff"] <= 0.05 and 1 <= spec["consecutive_windows"] <= 20, "invalid response threshold"),
-        (0 <= spec["minimum_attacks"] <= 10000 and number(spec["minimum_margin"]), "invalid feature eligibility"),
-        (all(number(rules[k]) and rules[k] > 0 for k in COVERAGE), "positive validation coverage required"),
-        (0 < rules["maximum_fpr_upper_95"] <= 0.05 and 0.5 <= rules["minimum_recall"] <= 1, "invalid validation error budget"),
-        (isinstance(rules["require_same_client_control"], bool), "same-client control must be a boolean"),
-    ]
-    for ok, problem in checks:
-        if not ok:
-            raise ValueError(problem)
+    """The recipe itself; ValueError names everything that is wrong with it."""
+    if found := problems(spec):
+        raise ValueError("; ".join(found))
     return spec

@@ -13,7 +13,6 @@ columns, the lineage stays short, and a lost executor costs nothing but its own
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -27,10 +26,10 @@ _WRITTEN: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder named by the session; a temporary one only where none is set (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or the warehouse where that is not set (tests)."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sessionlab-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch")
     return context.getCheckpointDir()
 
 

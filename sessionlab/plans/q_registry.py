@@ -21,9 +21,9 @@ AUDIT_SQL = f"""WITH {D.EV_SQL}, {D.TRIALS_SQL}, o AS (SELECT {AUDIT_OBS} FROM e
  l AS (SELECT *, lag(ordinal) OVER w AS po, lag(kind) OVER w AS pk FROM o WINDOW w AS (PARTITION BY trial ORDER BY arrival)),
  t AS (SELECT trial, count(*) AS events, arg_min(kind, arrival) AS k1, arg_min(player, arrival) AS p1, count(*) FILTER (kind=1) AS starts, count(*) FILTER (isinf(x)) AS nonfinite,
    count(*) FILTER (pk<>1 AND ordinal<>po+1) AS gaps, count(*) FILTER (kind=3) AS resets FROM l GROUP BY trial),
- a AS (SELECT m.*, t.*, found, CASE WHEN k1<>1 THEN 'missing initial session start' WHEN starts>1 THEN 'multiple session starts' WHEN trial<>session_id THEN 'session differs from manifest'
-   WHEN p1<>player_uuid THEN 'player differs from manifest' WHEN events<>records THEN 'record count differs from manifest' WHEN found<>chunks THEN 'chunk count mismatch'
-   WHEN gaps+nonfinite>0 THEN 'ordinal gaps='||gaps||', nonfinite values='||nonfinite END AS error FROM m JOIN t ON trial=trial_id JOIN ch USING (trial))"""
+ a AS (SELECT m.*, t.*, found, CASE WHEN k1<>1 THEN 'no_start_first' WHEN starts>1 THEN 'several_starts' WHEN trial<>session_id THEN 'other_session'
+   WHEN p1<>player_uuid THEN 'other_player' WHEN events<>records THEN 'records_off' WHEN found<>chunks THEN 'chunks_off'
+   WHEN gaps+nonfinite>0 THEN 'broken_order gaps='||gaps||' nonfinite='||nonfinite END AS error FROM m JOIN t ON trial=trial_id JOIN ch USING (trial))"""
 
 
 def audited(spark, sf):
@@ -137,9 +137,9 @@ def q_reviews(spark, sf):
 
 SHEET = """SELECT o_orderkey AS trial_id, CASE WHEN o_orderkey % 4 = 0 THEN 'no' ELSE 'yes' END AS approved, CASE WHEN o_orderkey % 5 = 0 THEN 'cheat' ELSE 'legit' END AS verified_label,
   CASE WHEN o_orderkey % 6 = 0 THEN 'unreviewed' WHEN o_orderkey % 5 = 0 THEN 'enabled_confirmed' ELSE 'legit_control' END AS verification, CASE WHEN o_orderkey % 23 = 0 THEN ' ' ELSE 'video' END AS evidence FROM {orders}"""
-SHEET_SQL = D.duck(f"""SELECT trial_id, verified_label, verification, CASE WHEN verification='unreviewed' OR trim(evidence)='' THEN 'approved review lacks label, verification or evidence'
-  WHEN verified_label='legit' AND (module<>'none' OR verification<>'legit_control') THEN 'legit review conflicts with module/verification'
-  WHEN verified_label='cheat' AND (module='none' OR verification='legit_control') THEN 'cheat review conflicts with module/verification' END AS error
+SHEET_SQL = D.duck(f"""SELECT trial_id, verified_label, verification, CASE WHEN verification='unreviewed' OR trim(evidence)='' THEN 'review_incomplete'
+  WHEN verified_label='legit' AND (module<>'none' OR verification<>'legit_control') THEN 'legit_disputed'
+  WHEN verified_label='cheat' AND (module='none' OR verification='legit_control') THEN 'cheat_disputed' END AS error
   FROM {{reg_trials}} JOIN ({SHEET}) USING (trial_id) WHERE status='complete' AND approved='yes'""")
 
 
@@ -168,8 +168,8 @@ def q_cohorts(spark, sf):
 
 # --- console lines derived from conversations ------------------------------------------------------------------------
 LINES = """SELECT conv_id, turn, CASE cast(conv_id % 6 AS int) WHEN 0 THEN concat('[12:0', cast(turn % 10 AS string), ':00] [Server thread/INFO]: UUID of player P', cast(conv_id AS string), ' is 00000000-0000-0000-0000-', substr(concat('000000000000', cast(conv_id AS string)), -12))
-   WHEN 1 THEN concat('[12:00:01 INFO]: [XAntiCheat] BAN | P', cast(conv_id AS string), ' | ', role, ' | evidence=', role, cast(turn AS string))
-   WHEN 2 THEN concat('[12:00:02 WARN]: [XAntiCheat] SUSPICIOUS | P', cast(conv_id AS string), ' | ', role, ' | a | b')
+   WHEN 1 THEN concat('[12:00:01 INFO]: [guard] BAN | P', cast(conv_id AS string), ' | ', role, ' | evidence=', role, cast(turn AS string))
+   WHEN 2 THEN concat('[12:00:02 WARN]: [guard] SUSPICIOUS | P', cast(conv_id AS string), ' | ', role, ' | a | b')
    WHEN 3 THEN concat('[12:00:03 INFO]: P', cast(conv_id AS string), '[/1.2.3.4:5] logged in with entity id 7 at x')
    WHEN 4 THEN concat('[12:00:04 INFO]: P', cast(conv_id AS string), ' lost connection: bye') ELSE concat(role, ' ', cast(turn AS string)) END AS line FROM {conversations}"""
 
@@ -217,7 +217,7 @@ REQUESTS = """SELECT concat('study-', cast(c_custkey AS string)) AS token, CASE
 
 @query("plan_collection", D.duck(f"""WITH r AS ({REQUESTS}), p AS (SELECT *, CASE WHEN NOT regexp_full_match(player,'[A-Za-z0-9_]{{{{1,16}}}}') THEN 'invalid_player' WHEN client='a b' THEN 'not_simple_identifiers' WHEN label='maybe' THEN 'invalid_label'
   WHEN input_source='robot' THEN 'invalid_input_source' WHEN trim(network)='' THEN 'invalid_purpose_or_network' WHEN input_source='scripted' AND script_family='' THEN 'missing_script_family' END AS reason FROM r)
-  SELECT token AS id, player, created_ms, reason, 'acdata start '||player||' '||label||' none '||client||' all-off '||token AS command, CASE WHEN reason IS NULL THEN 'planned' ELSE 'refused' END AS status FROM p""").replace("{{1,16}}", "{1,16}"))
+  SELECT token AS id, player, created_ms, reason, 'capture start '||player||' '||label||' none '||client||' all-off '||token AS command, CASE WHEN reason IS NULL THEN 'planned' ELSE 'refused' END AS status FROM p""").replace("{{1,16}}", "{1,16}"))
 def q_plan(spark, sf):
     return A.plan_collection(D.frame(spark, sf, REQUESTS))
 

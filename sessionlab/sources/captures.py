@@ -38,12 +38,12 @@ COLUMNS = [part.split()[0] for part in S.OBS_DDL.split(",")]
 def decode_record(raw: bytes) -> dict:
     """One record as a flat dict; anything unexpected raises ValueError."""
     if len(raw) < HEADER.size:
-        raise ValueError("truncated header")
+        raise ValueError("header: too few bytes")
     magic, version, kind, session, ordinal, ns, epoch, tick = HEADER.unpack_from(raw)
     if magic != MAGIC or version != VERSION:
-        raise ValueError("unexpected magic or schema")
+        raise ValueError("header: magic or version")
     if kind not in BODIES:
-        raise ValueError("unknown observation kind")
+        raise ValueError("header: kind")
     out = {"kind": kind, "session": session, "ordinal": ordinal, "ns": ns, "epoch_ms": epoch, "server_tick": tick}
     at = HEADER.size
     try:
@@ -52,19 +52,19 @@ def decode_record(raw: bytes) -> dict:
                 (size,) = struct.unpack_from("<H", raw, at)
                 at += 2
                 if size > TEXT_LIMIT or at + size > len(raw):
-                    raise ValueError("invalid text")
+                    raise ValueError("body: text length")
                 out[name], at = raw[at:at + size].decode("ascii"), at + size
             elif code == "?":
                 if raw[at] > 1:
-                    raise ValueError("invalid boolean")
+                    raise ValueError("body: boolean")
                 out[name], at = bool(raw[at]), at + 1
             else:
                 (out[name],) = struct.unpack_from("<" + code, raw, at)
                 at += struct.calcsize("<" + code)
     except (struct.error, IndexError, UnicodeDecodeError) as e:
-        raise ValueError(f"truncated or invalid body: {e}") from None
+        raise ValueError(f"body: {e}") from None
     if at != len(raw):
-        raise ValueError("trailing event bytes")
+        raise ValueError("body: trailing bytes")
     return out
 
 
@@ -73,12 +73,12 @@ def split_records(data: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(data):
         if at + 4 > len(data):
-            raise ValueError("truncated record prefix")
+            raise ValueError("chunk: cut prefix")
         (size,) = struct.unpack_from("<I", data, at)
         if not LEAST <= size <= MOST:
-            raise ValueError("invalid record size")
+            raise ValueError("chunk: record size")
         if at + 4 + size > len(data):
-            raise ValueError("truncated record")
+            raise ValueError("chunk: cut record")
         yield data[at + 4:at + 4 + size]
         at += 4 + size
 

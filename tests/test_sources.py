@@ -7,24 +7,28 @@ import pytest
 from sessionlab.sources import captures as C, findings as L
 
 
-def record(kind, ordinal, body=b"", session=9):
-    raw = C.HEADER.pack(C.MAGIC, C.VERSION, kind, session, ordinal, ordinal * 10, 1, 2) + body
-    return struct.pack("<I", len(raw)) + raw
+SAMPLES = {"t": "here", "?": True, "d": 0.25, "Q": 31, "I": 8, "i": -4, "B": 2}
 
 
-def text(s):
-    return struct.pack("<H", len(s)) + s.encode()
+def encoded(kind, ordinal, **given):
+    """A record of the format's own table of bodies, with the sample values where none is given."""
+    parts = [C.HEADER.pack(C.MAGIC, C.VERSION, kind, 5, ordinal, 7 * ordinal, 3, 4)]
+    for code, name in C.BODIES[kind]:
+        value = given.get(name, SAMPLES[code])
+        parts.append(struct.pack("<H", len(value)) + value.encode() if code == "t" else struct.pack("<" + code, value))
+    raw = b"".join(parts)
+    return struct.pack("<I", len(raw)) + raw
 
 
-START = record(1, 1, text("player") + struct.pack("<II", 47, 10808))
-MOVE = record(11, 3, struct.pack("<QQQ3d2d", 5, 6, 7, 1, 2, 3, 4, 5) + bytes([1, 0, 1]) + text("w") + text("") + bytes([1, 0, 0, 1, 1, 0, 1]) + struct.pack("<3d", 0.1, 0.6, 0.42))
+START = encoded(1, 1, player="someone", protocol=47)
+MOVE = encoded(11, 3, y=2.0, has_look=False, friction=0.6)
 
 
 def test_captures_from_files(spark, tmp_path):
     good = tmp_path / "run-a" / "trial-t1"
     good.mkdir(parents=True)
-    (good / "events-0001.acbin.gz").write_bytes(gzip.compress(START + record(4, 2) + MOVE))
-    (good / "events-0002.acbin.gz").write_bytes(gzip.compress(record(13, 4, struct.pack("<Q", 77)) + b"\x30\x00"))
+    (good / "events-0001.acbin.gz").write_bytes(gzip.compress(START + encoded(4, 2) + MOVE))
+    (good / "events-0002.acbin.gz").write_bytes(gzip.compress(encoded(13, 4, token=77) + b"\x30\x00"))
     (good / "manifest.json").write_text(json.dumps({"trial_id": "t1", "records": 4, "status": "complete"}))
     bad = tmp_path / "run-a" / "trial-t2"
     bad.mkdir()
@@ -32,15 +36,15 @@ def test_captures_from_files(spark, tmp_path):
     rows = C.read_captures(spark, str(tmp_path)).orderBy("path", "position").collect()
     ok = [r for r in rows if r.error is None]
     assert [(r.trial, r.kind, r.ordinal) for r in ok] == [("t1", 1, 1), ("t1", 4, 2), ("t1", 11, 3), ("t1", 13, 4)]
-    assert (ok[0].player, ok[0].protocol, ok[2].y, ok[2].has_look, ok[2].friction, ok[3].token) == ("player", 47, 2.0, False, 0.6, 77)
-    assert [r.error for r in rows if r.error] == ["truncated record prefix"]
+    assert (ok[0].player, ok[0].protocol, ok[2].y, ok[2].has_look, ok[2].friction, ok[3].token) == ("someone", 47, 2.0, False, 0.6, 77)
+    assert [r.error for r in rows if r.error] == ["chunk: cut prefix"]
     manifests = {r.manifest_path.split("/")[-2]: r for r in C.read_manifests(spark, str(tmp_path)).collect()}
     assert manifests["trial-t1"].records == 4 and manifests["trial-t2"].trial_id is None and manifests["trial-t2"]._corrupt
 
 
 @pytest.mark.parametrize("raw,message", [
     (C.HEADER.pack(1, 3, 4, 1, 1, 1, 1, 1), "magic"), (C.HEADER.pack(C.MAGIC, 3, 99, 1, 1, 1, 1, 1), "kind"),
-    (C.HEADER.pack(C.MAGIC, 3, 4, 1, 1, 1, 1, 1) + b"x", "trailing"), (MOVE[4:-3], "body"), (MOVE[4:48 + 4 + 64] + b"\x05" + MOVE[48 + 4 + 65:], "boolean")])
+    (C.HEADER.pack(C.MAGIC, 3, 4, 1, 1, 1, 1, 1) + b"x", "trailing"), (MOVE[4:-3], "body"), (MOVE[4:].replace(b"\x00\x01\x04\x00here", b"\x05\x01\x04\x00here", 1), "boolean")])
 def test_broken_records_are_refused(raw, message):
     with pytest.raises(ValueError, match=message):
         C.decode_record(raw)
