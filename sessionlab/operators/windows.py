@@ -12,24 +12,20 @@ from .segments import MS, segmented
 from .window_fold import WindowFold
 
 SPAN_NS, GUARD_NS = 30_000 * MS, 5_000 * MS
-MAX_MOVES, MAX_ATTACKS = 20_000, 10_000
 
 
 def _cv(dt):
-    mean = F.avg(dt)
-    spread = F.sqrt(F.greatest(F.lit(0.0), F.avg(dt * dt) - mean * mean))
-    return F.coalesce(F.when(F.sum(dt) > 0, spread / mean), F.lit(0.0))
+    return F.coalesce(F.when(F.sum(dt) > 0, F.stddev_pop(dt) / F.avg(dt)), F.lit(0.0))
 
 
 def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUARD_NS,
-                     gap_ns: int = 750 * MS, queue_ns: int = 100 * MS, rows: int = 65536,
-                     max_moves: int = MAX_MOVES, max_attacks: int = MAX_ATTACKS) -> DataFrame:
+                     gap_ns: int = 750 * MS, queue_ns: int = 100 * MS, rows: int = 65536) -> DataFrame:
     """Closed windows with their eight features, one row per (session, segment, k).
 
     Windows start ``guard`` after the segment's first move and are emitted once a later move of the
     segment reaches the next one.  An attack counts only in the window that is current at its
-    delivery position.  Attack times that do not grow, or counts above the per-window bounds, reset
-    inside the window; only the stretches (between hard resets) with such rows go through the fold.
+    delivery position.  Attack times that do not grow reset inside the window; only the stretches (between hard
+    resets) with such rows go through the fold.
     """
     if span_ns <= gap_ns:
         raise ValueError("a window must be longer than the largest gap inside a segment")
@@ -77,7 +73,7 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
         F.coalesce(F.avg("turn"), F.lit(0.0)).alias("turn_mean"),
         attacks.cast("double").alias("attacks"),
         F.max(closing).alias("_closed"),
-        (F.coalesce(F.min("attack_dt") <= 0, F.lit(False)) | (moves > max_moves) | (attacks > max_attacks)).alias("_dirty"),
+        F.coalesce(F.min("attack_dt") <= 0, F.lit(False)).alias("_dirty"),
     )
     windows = cut(windows)
     redo = (windows.filter("_dirty").select("session", "stretch")
@@ -89,7 +85,7 @@ def behavior_windows(obs: DataFrame, span_ns: int = SPAN_NS, guard_ns: int = GUA
     clean = windows.filter("_closed").join(redo, ["session", "stretch"], "left_anti")
     folded = fold_sorted(
         rows_in.join(redo, ["session", "stretch"], "left_semi"), ["session", "stretch"], ["ordinal"],
-        lambda: WindowFold(span_ns, guard_ns, gap_ns, max_moves, max_attacks),
+        lambda: WindowFold(span_ns, guard_ns, gap_ns),
         "session bigint, segment bigint, k bigint, start_ns bigint, movement_pps double, movement_cv double,"
         "attack_pps double, attack_cv double, attack_repeat double, ground_fraction double, turn_mean double, attacks double",
     )

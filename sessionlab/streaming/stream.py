@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import pickle
-from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from .. import schemas as S
 from ..operators.detectors import DetectorConfig, detect_all
 from ..operators.segments import BOUNDARY_KINDS
-from ..operators.window_fold import WindowFold
+from ..operators.window_fold import WindowRuns
 
 WINDOW_DDL = ("session bigint, event bigint, epoch_ms bigint, segment bigint, k bigint, start_ns bigint, movement_pps double, movement_cv double, "
               "attack_pps double, attack_cv double, attack_repeat double, ground_fraction double, turn_mean double, attacks double")
@@ -21,56 +21,71 @@ NEEDED = ["session", "ordinal", "ns", "epoch_ms", "kind", "packet", "sampled_ns"
 
 
 class LiveWindows:
-    """Delivery-order rules, snapshot rules and the window of one session."""
+    """Delivery-order rules, snapshot rules and the windows of one session."""
 
     def __init__(self, span_ns, guard_ns, gap_ns, queue_ns):
-        self.fold, self.queue, self.seen = WindowFold(span_ns, guard_ns, gap_ns), queue_ns, None
-
-    def accept(self, e):
-        if self.seen is not None and e["ordinal"] != self.seen + 1:
-            self.fold.close()
-            if e["ordinal"] <= self.seen:
-                return []
-        self.seen = e["ordinal"]
-        kind = e["kind"]
-        if kind in BOUNDARY_KINDS:
-            self.fold.close()
-        elif kind in (S.ATTACK, S.MOVE):
-            if e["available"] and e["world"] and 0 <= e["sampled_ns"] - e["ns"] <= self.queue:
-                return [{**w, "event": e["ordinal"], "epoch_ms": e["epoch_ms"]} for w in self.fold.accept(e)]
-            self.fold.close()
-        return []
+        self.runs, self.queue, self.seen, self.broken = WindowRuns(span_ns, guard_ns, gap_ns), queue_ns, None, False
+
+    def feed(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Windows closed by events in delivery order, each with the ordinal and time of the event that closed it."""
+        ordinal, kind = pdf["ordinal"].to_numpy(), pdf["kind"].to_numpy()
+        top = np.maximum.accumulate(ordinal if self.seen is None else np.maximum(ordinal, self.seen))
+        before = np.concatenate([[ordinal[0] - 1 if self.seen is None else self.seen], top[:-1]])
+        self.seen = int(top[-1])
+        late, observed = ordinal <= before, np.isin(kind, (S.ATTACK, S.MOVE))
+        lag = (pdf["sampled_ns"] - pdf["ns"]).to_numpy()
+        sound = pdf["available"].to_numpy(bool) & (pdf["world"].fillna("") != "").to_numpy() & (lag >= 0) & (lag <= self.queue)
+        breaks = (ordinal != before + 1) | np.isin(kind, list(BOUNDARY_KINDS)) | (observed & ~sound)
+        used = observed & sound & ~late
+        # a break that falls between two used events shows at the later one
+        breaks_so_far = np.cumsum(breaks)[used]
+        cut = np.diff(np.concatenate([[-int(self.broken)], breaks_so_far])) > 0
+        self.broken = bool(breaks.any() and (not used.any() or breaks_so_far[-1] < breaks.sum())) or (self.broken and not used.any())
+        rows = pdf[used].reset_index(drop=True)
+        windows = pd.DataFrame(self.runs.feed(rows, cut))
+        if len(windows):
+            by = windows.pop("by").to_numpy()
+            windows = windows.assign(event=rows["ordinal"].to_numpy()[by], epoch_ms=rows["epoch_ms"].to_numpy()[by])
+        return windows
 
 
 class LiveScore:
-    """Held margins of one session under one deployed model."""
+    """Decisions of one deployed model over the windows of one session, as ``live.score_windows`` defines them.
+
+    Windows that follow each other closely form an island; the state is the end of the island at hand.
+    """
 
     def __init__(self, model, gap_ms):
-        self.m, self.gap, self.margins, self.looks = model, gap_ms, deque(maxlen=model["consecutive_windows"]), 0
-        self.epoch = self.segment = None
-
-    def accept(self, w):
-        m = self.m
-        if w["attacks"] < m["minimum_attacks"]:
-            self.margins.clear()
-            return None
-        values = [w[f] for f in m["features"]]
-        outside = any(v < lo or v > hi for v, lo, hi in zip(values, m["minimum"], m["maximum"]))
-        if self.epoch is None or self.segment != w["segment"] or not 0 < w["epoch_ms"] - self.epoch <= self.gap:
-            self.margins.clear()
-        self.epoch, self.segment = w["epoch_ms"], w["segment"]
-        self.margins.append(m["intercept"] + sum(c * v for c, v in zip(m["coefficients"], values)))
-        held, ready = min(self.margins), len(self.margins) == m["consecutive_windows"]
-        self.looks += ready
-        tail = (1 + sum(r >= held for r in m["references"])) / (1 + len(m["references"]))
-        alpha = m["tail_cutoff"] / (self.looks * (self.looks + 1)) if self.looks else 0.0
-        candidate = ready and held > m["threshold"] and not outside
-        action = ("outside_training_support" if outside else "pending" if candidate and m["mode"] == "enforce" and tail <= alpha
-                  else "shadow_candidate" if candidate and m["mode"] == "shadow" else "below_response_cutoff" if candidate else "observed")
-        if outside:
-            self.margins.clear()
-        return {"detection": m["detection"], "sustained": held, "tail_p": tail, "looks": self.looks, "candidate": candidate, "outside": outside, "action": action,
-                "event": w["event"], "epoch_ms": w["epoch_ms"], "id": f"{m['run']}:{w['session']}:{w['event']}:{m['detection']}"}
+        self.model, self.gap = model, gap_ms
+        self.held, self.looks = np.zeros(0), 0  # margins of the island's last windows
+        self.end = None  # segment and time of its last window, or nothing where the next one starts afresh
+
+    def feed(self, windows: pd.DataFrame, session: int) -> list[dict]:
+        m, n = self.model, self.model["consecutive_windows"]
+        low = (windows["attacks"] < m["minimum_attacks"]).to_numpy()
+        values = windows[list(m["features"])].to_numpy(float)
+        outside = ((values < np.array(m["minimum"])) | (values > np.array(m["maximum"]))).any(axis=1)
+        margins = m["intercept"] + values @ np.array(m["coefficients"], float)
+        references = np.sort(np.array(m["references"], float))
+        out = []
+        for i, (segment, epoch, event) in enumerate(zip(windows["segment"].tolist(), windows["epoch_ms"].tolist(), windows["event"].tolist())):
+            if low[i]:
+                self.end = None
+                continue
+            linked = self.end is not None and self.end[0] == segment and 0 < epoch - self.end[1] <= self.gap
+            self.held = np.append(self.held if linked else [], margins[i])[-n:]
+            self.end = None if outside[i] else (segment, epoch)
+            sustained, ready = float(self.held.min()), len(self.held) == n
+            self.looks += ready
+            above = len(references) - int(np.searchsorted(references, sustained))
+            tail = (1 + above) / (1 + len(references))
+            candidate = ready and sustained > m["threshold"] and not outside[i]
+            allowed = m["tail_cutoff"] / (self.looks * (self.looks + 1)) if self.looks else 0.0
+            states = (("outside_training_support", outside[i]), ("pending", candidate and m["mode"] == "enforce" and tail <= allowed),
+                      ("shadow_candidate", candidate and m["mode"] == "shadow"), ("below_response_cutoff", candidate), ("observed", True))
+            out.append({"id": f"{m['run']}:{session}:{event}:{m['detection']}", "event": event, "epoch_ms": epoch, "detection": m["detection"], "sustained": sustained, "tail_p": tail,
+                        "looks": self.looks, "candidate": bool(candidate), "outside": bool(outside[i]), "action": next(name for name, holds in states if holds)})
+        return out
 
 
 def _stateful(obs: DataFrame, make, ddl: str, ttl_ms: int, delay: str = "1 hour") -> DataFrame:
@@ -86,15 +101,15 @@ def _stateful(obs: DataFrame, make, ddl: str, ttl_ms: int, delay: str = "1 hour"
             return
         machine = pickle.loads(state.get[0]) if state.exists else make()
         pdf = pd.concat(list(frames)).sort_values("ordinal", kind="stable")
-        rows = [{"session": key[0], **item} for e in pdf.to_dict("records") for item in machine.accept(e)]
+        rows = machine.feed(pdf, key[0])
         if (pdf["kind"] == S.SESSION_END).any() and pdf["kind"].iloc[-1] == S.SESSION_END:
             if state.exists:
                 state.remove()
         else:
             state.update((pickle.dumps(machine),))
             state.setTimeoutTimestamp(max(int(pdf["epoch_ms"].max()), state.getCurrentWatermarkMs()) + ttl_ms)
-        if rows:
-            yield pd.DataFrame(rows, columns=names)
+        if len(rows):
+            yield pd.DataFrame(rows).assign(session=key[0])[names]
 
     timed = obs.withColumn("ts", F.timestamp_millis("epoch_ms")).withWatermark("ts", delay)
     return timed.groupBy("session").applyInPandasWithState(run, ddl, "machine binary", "append", GroupStateTimeout.EventTimeTimeout)
@@ -103,19 +118,21 @@ def _stateful(obs: DataFrame, make, ddl: str, ttl_ms: int, delay: str = "1 hour"
 def stream_behavior_windows(obs: DataFrame, span_ns: int = 30_000_000_000, guard_ns: int = 5_000_000_000, gap_ns: int = 750_000_000,
                             queue_ns: int = 100_000_000, ttl_ms: int = 86_400_000) -> DataFrame:
     """Closed windows of a live observation stream."""
-    return _stateful(obs.select(*NEEDED), lambda: LiveWindows(span_ns, guard_ns, gap_ns, queue_ns), WINDOW_DDL, ttl_ms)
+    return _stateful(obs.select(*NEEDED), lambda: _Windowed(span_ns, guard_ns, gap_ns, queue_ns), WINDOW_DDL, ttl_ms)
+
+
+class _Windowed(LiveWindows):
+    def feed(self, pdf, session):
+        return super().feed(pdf)
 
 
 class _Scored:
     def __init__(self, window_args, models, gap_ms):
         self.windows, self.scores = LiveWindows(*window_args), [LiveScore(m, gap_ms) for m in models]
 
-    def accept(self, e):
-        out = []
-        for w in self.windows.accept(e):
-            w["session"] = e["session"]
-            out += [d for d in (s.accept(w) for s in self.scores) if d]
-        return out
+    def feed(self, pdf, session):
+        closed = self.windows.feed(pdf)
+        return [d for s in self.scores for d in s.feed(closed, session)] if len(closed) else []
 
 
 def stream_score(obs: DataFrame, models: list[dict], span_ns: int = 30_000_000_000, guard_ns: int = 5_000_000_000, gap_ns: int = 750_000_000,

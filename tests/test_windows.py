@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 
 from build import MS, event, frame, messy, moves
@@ -14,15 +15,20 @@ ARGS = (800 * MS, 100 * MS, 750 * MS, 100 * MS)
 SHOWN = ["session", "segment", "k", "start_ns", *S.BEHAVIOR_FEATURES]
 
 
-def by_hand(events, args=ARGS):
-    out = []
-    machines = {}
-    for e in events:
-        m = machines.setdefault(e["session"], LiveWindows(*args))
-        out += [{**w, "session": e["session"]} for w in m.accept(e)]
+def by_hand(events, args=ARGS, step=17):
+    """Windows of the live form, fed a few events at a time."""
+    frames, out = pd.DataFrame(events), []
+    for session, mine in frames.groupby("session", sort=False):
+        machine = LiveWindows(*args)
+        for at in range(0, len(mine), step):
+            out += machine.feed(mine.iloc[at : at + step].reset_index(drop=True)).assign(session=session).to_dict("records")
     return sorted(tuple(round(w[c], 7) for c in SHOWN) for w in out)
 
 
+def test_the_live_form_does_not_depend_on_batches():
+    assert by_hand(messy(5), step=1) == by_hand(messy(5), step=7) == by_hand(messy(5), step=10_000)
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_sql_windows_equal_the_state_machine(spark, seed):
     events = messy(seed)
