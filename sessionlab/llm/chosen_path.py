@@ -5,8 +5,9 @@ of their Jaccard similarity. A run starts with all sets in one node and splits r
 are chosen (the choice depends on the run and the path alone, 1 / threshold of them on average), and a set goes to one
 child for each chosen coordinate, named by the token it has there. Pairs at the threshold stay together in some child
 with the probability of a critical branching process; runs are repeated until the wanted recall. Nodes small enough, and
-nodes at the last level of whatever size, are compared by brute force over their sets, large ones in tiles. A pair counts
-in the first of its common nodes only, and nodes with equal members are compared once.
+nodes at the last level of whatever size, are compared by brute force over their sets, large ones in tiles. Nodes that
+overlap are first put together where the whole stays small, so that a set travels once. Where it does not, a pair counts
+in the first of its common nodes only.
 """
 
 from __future__ import annotations
@@ -26,11 +27,16 @@ COORDINATES = 64
 FACTORS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)) | np.uint64(1)
 
 
+#: Levels that all sets go through, and how many times more coordinates nodes choose that are too large after them: a
+#: third as many pairs get lost there, for three times the rows of these nodes alone.
+FIRST_LEVELS, LATER_CHOICES = 2, 3
+
+
 def survival(levels: int) -> float:
     """Of a pair at the threshold: the probability that it shares a node after so many levels of one run."""
     p = 1.0
-    for _ in range(levels):
-        p = 1 - math.exp(-p)
+    for level in range(levels, 0, -1):
+        p = 1 - math.exp(-p * (LATER_CHOICES if level > FIRST_LEVELS else 1))
     return p
 
 
@@ -79,21 +85,24 @@ def sketch(words: int):
     return run
 
 
-def splitter(levels: int, threshold: float):
-    """(path, node, tokens) to (path, node) `levels` levels further down."""
-    most = np.uint64(int(2**64 / (threshold * COORDINATES)) if threshold * COORDINATES > 1 else 2**64 - 1)
+def splitter(levels: int, threshold: float, choices: int = 1, runs: int = 0):
+    """(path, node, tokens) to (path, node) `levels` levels further down; with runs, from the start of each of so many."""
+    share = choices / (threshold * COORDINATES)
+    most = np.uint64(int(2**64 * share) if share < 1 else 2**64 - 1)
     names = mixed(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(0x6A09E667))
+    starts = mixed(np.arange(runs, dtype=np.uint64) + np.uint64(0xBB67AE85))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 2048):
-                part = batch.slice(lo, 2048)
-                path, node = part["path"].to_numpy().view(np.uint64), part["node"].to_numpy()
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                node = part["node"].to_numpy()
                 tokens = np.frombuffer(b"".join(part["tokens"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
-                row = np.arange(len(part))
+                row, path = np.arange(len(part)), part["path"].to_numpy().view(np.uint64)
+                if runs:
+                    row, path = np.repeat(row, runs), np.tile(starts, len(part))
                 for _ in range(levels):
-                    chosen = mixed(path[:, None] ^ names[None, :]) < most
-                    at, coordinate = np.nonzero(chosen)
+                    at, coordinate = np.nonzero(mixed(path[:, None] ^ names[None, :]) < most)
                     row = row[at]
                     path = mixed(path[at] ^ mixed(tokens[row, coordinate].astype(np.uint64) + (coordinate.astype(np.uint64) << np.uint64(32))))
                 yield pa.RecordBatch.from_arrays([pa.array(path.view(np.int64)), pa.array(node[row])], ["path", "node"])
@@ -193,7 +202,7 @@ def shingler(words: int):
     return run
 
 
-def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999, levels: int = 4, small: int = 1024) -> DataFrame:
+def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: float = 0.9999, levels: int = 4, small: int = 4096, tile: int = 1024) -> DataFrame:
     """One row per row of docs: doc_id, tag (of the text, see windows), class_key, class_id and n_links.
 
     Documents are linked if the Jaccard similarity of their sets of `words`-word shingles is `threshold` or more;
@@ -206,32 +215,36 @@ def similar(docs: DataFrame, words: int = 5, threshold: float = 0.8, recall: flo
     known = stage(docs.mapInArrow(sketch(words), "doc_id long, tag long, node long, tokens binary"), "sketches")
     sets = stage(known.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min_by("tag", "doc_id").alias("tag"), F.count("*").alias("copies"), F.any_value("tokens").alias("tokens")), "sets")
     runs = math.ceil(math.log(1 - recall) / math.log(1 - survival(levels)))
-    start = sets.select(F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"), "node", "tokens").select(F.xxhash64("run").alias("path"), "node", "tokens")
-    level = min(2, levels)
-    rows = stage(start.mapInArrow(splitter(level, threshold), "path long, node long").distinct(), "paths")
+    level = min(FIRST_LEVELS, levels)
+    rows = sets.select(F.lit(0).cast("long").alias("path"), "node", "tokens").mapInArrow(splitter(level, threshold, runs=runs), "path long, node long")
     leaves: DataFrame | None = None
     while True:
-        sized = rows.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-        done = sized if level >= levels else sized.where(F.col("n") <= small)
-        ready = rows.join(done, "path")
+        rows = stage(rows, "paths")
+        together = rows.repartition("path")  # one exchange for both uses
+        sized = together.groupBy("path").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
+        ready = together.join(sized if level >= levels else sized.where(F.col("n") <= small), "path")
         leaves = ready if leaves is None else leaves.unionByName(ready)
         if level >= levels:
             break
-        large = sized.where(F.col("n") > small).select("path")
+        large = stage(sized.where(F.col("n") > small).select("path"), "large")
         if large.isEmpty():
             break
-        rows = stage(rows.join(large, "path", "left_semi").join(sets.select("node", "tokens"), "node").mapInArrow(splitter(1, threshold), "path long, node long").distinct(), "paths")
+        rows = rows.join(large, "path", "left_semi").join(sets.select("node", "tokens"), "node").mapInArrow(splitter(1, threshold, LATER_CHOICES), "path long, node long")
         level += 1
     members = stage(leaves, "leaves")
     # of the nodes with the same members one is enough
-    chosen = members.groupBy("n", "x", "y").agg(F.min("path").alias("leaf"))
-    members = members.join(chosen, (F.col("path") == F.col("leaf")) & (members.n == chosen.n) & (members.x == chosen.x) & (members.y == chosen.y), "left_semi").select(F.col("path").alias("leaf"), "node", "n")
-    members = stage(members, "members")
-    listed = members.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
+    chosen = members.groupBy("n", "x", "y").agg(F.min("path").alias("path"))
+    members = stage(members.join(chosen.select("path"), "path", "left_semi").select(F.col("path").alias("leaf"), "node", "n").distinct(), "members")
+    heads = members.groupBy("leaf").agg(F.min("node").alias("head"))
+    whole = components(members.join(heads, "leaf").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    whole = stage(whole.join(whole.groupBy("component").agg(F.count("*").alias("n")), "component"), "wholes")
+    units = whole.where(F.col("n") <= small).select(F.col("component").alias("leaf"), "node", "n")
+    units = units.unionByName(members.join(whole.where(F.col("n") > small).select("node"), "node", "left_semi"))
+    listed = units.groupBy("node").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     full = docs.join(sets.join(listed.select("node"), "node", "left_semi").select("node", "doc_id", "tag"), ["doc_id", "tag"]).select("node", "text").dropDuplicates(["node"]).mapInArrow(shingler(words), "node long, shingles array<long>")
     detail = full.join(listed, "node").join(sets.select("node", "copies"), "node")
-    tiles = F.ceil(F.col("n") / small).cast("int")
-    placed = members.withColumn("chunk", F.when(tiles > 1, F.pmod(F.xxhash64("node"), tiles)).otherwise(F.lit(0)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    placed = units.withColumn("chunk", F.when(tiles > 1, F.pmod(F.xxhash64("node"), tiles)).otherwise(F.lit(0)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
     placed = placed.select("leaf", "node", "chunk", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"))
     judged = placed.join(detail, "node").repartition("leaf", "a", "b").sortWithinPartitions("leaf", "a", "b", "node").mapInArrow(judge(threshold), "node long, least long, links long")
     found = stage(judged, "links")

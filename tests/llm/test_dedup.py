@@ -81,10 +81,11 @@ def test_near_duplicates(spark, rows):
     assert {r.doc_id for r in kept.collect()} == {c for c, _ in want.values()} and kept.columns == table(spark, rows).columns
 
 
-def test_a_large_family_in_tiles(spark):
+@pytest.mark.parametrize("small", [64, 4096])
+def test_a_large_family_in_tiles(spark, small):
     draw = random.Random(2)
     rows = [(i, " ".join(f"w{j}" if draw.random() > 0.012 else f"x{draw.randrange(10**6)}" for j in range(120))) for i in range(200)]
-    got = {r.doc_id: (r.class_id, r.n_links) for r in similar(table(spark, rows), small=64, levels=2).collect()}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in similar(table(spark, rows), small=small, tile=40).collect()}
     assert got == classes(rows)
 
 
