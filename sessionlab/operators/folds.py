@@ -44,25 +44,29 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], factory: Calla
     return placed.mapInPandas(run, schema)
 
 
-class Streak(RowFold):
-    """Count inside a window anchored at its first member; emit and clear on reaching ``needed``."""
+class Streak:
+    """Runs of suspicious rows in windows that begin at their first row: an alert at each ``needed``-th row of one."""
 
     def __init__(self, window_ms: float, needed: int):
-        self.window_ns, self.needed, self.count, self.first = window_ms * 1e6, needed, 0, None
+        self.window_ns, self.needed = int(window_ms * 1e6), needed
+        self.ns, self.ordinal = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the window at hand
 
-    def accept(self, row):
-        ns = row["ns"]
-        if not row["suspicious"]:
-            self.count, self.first = 0, None
-            return []
-        if self.first is None or not 0 <= ns - self.first["ns"] <= self.window_ns:
-            self.count, self.first = 0, {"ns": ns, "ordinal": row["ordinal"]}
-        self.count += 1
-        if self.count < self.needed:
-            return []
-        hit = {"ordinal": row["ordinal"], "ns": ns, "samples": self.count, "first_sample": self.first["ordinal"]}
-        self.count, self.first = 0, None
-        return [hit]
+    def feed(self, pdf: pd.DataFrame) -> list[dict]:
+        ns, ordinal = np.append(self.ns, pdf["ns"].to_numpy()), np.append(self.ordinal, pdf["ordinal"].to_numpy())
+        at, out = 0, []
+        while at < len(ns):
+            since = ns[at : at + self.needed] - ns[at]
+            outside = np.flatnonzero((since < 0) | (since > self.window_ns))
+            if len(outside):
+                at += int(outside[0])
+            elif len(since) < self.needed:
+                break
+            else:
+                hit = at + self.needed - 1
+                out.append({"ordinal": int(ordinal[hit]), "ns": int(ns[hit]), "samples": self.needed, "first_sample": int(ordinal[at])})
+                at += self.needed
+        self.ns, self.ordinal = ns[at:], ordinal[at:]
+        return out
 
 
 class SegmentFold(RowFold):
@@ -147,143 +151,229 @@ class EpisodeFold:
         return b
 
 
-class BudgetFold(RowFold):
-    """Client tick budget: a bucket that drains with time and pays a fixed cost per move."""
+def clamped_sums(start: float, steps: np.ndarray, low: float, high: float) -> np.ndarray:
+    """x -> clip(x + step, low, high) applied step by step from ``start``: all values, by composing pairs of such maps."""
+    add, lo, hi = steps.astype(float), np.full(len(steps), low), np.full(len(steps), high)
+    width = 1
+    while width < len(steps):
+        a, l, h = add[width:], lo[width:], hi[width:]
+        lo[width:], hi[width:] = np.clip(lo[:-width] + a, l, h), np.clip(hi[:-width] + a, l, h)
+        add[width:] = add[:-width] + a
+        width *= 2
+    return np.clip(start + add, lo, hi)
 
-    def __init__(self, credit_ms, lead_ms, sustain_ms, warmup_ms, gap_ms, cost_ms, least_packets, least_ms, least_over):
-        self.c = (credit_ms, lead_ms, sustain_ms, warmup_ms * 1e6, gap_ms * 1e6, cost_ms)
-        self.least = (least_packets, least_ms * 1e6, least_over)
-        self.clear()
 
-    def clear(self):
-        self.last = self.ready = self.begun = self.over = None
-        self.packet = self.count = self.run = 0
-        self.balance = 0.0
+class BudgetFold:
+    """Client tick budget of usable moves: each pays ``cost``, time refunds, and both are clamped.
 
-    def accept(self, row):
-        credit, lead, sustain, warmup, gap, cost = self.c
-        if not row["usable"] or row["packet"] <= self.packet:
-            self.clear()
-            return []
-        ns, before = row["ns"], self.last
-        self.packet, self.last = row["packet"], ns
-        if before is None or not 0 <= ns - before < gap:
-            self.ready, self.begun, self.over = ns + warmup, None, None
-            self.count = self.run = 0
-            self.balance = -credit
-            return []
-        if ns < self.ready:
-            return []
-        passed = (ns - before) / 1e6
-        if self.begun is None:
-            self.begun, passed = ns, 0.0
-        self.balance = min(100 * cost, max(-credit, self.balance - passed) + cost)
-        self.count += 1
-        if self.balance <= lead:
-            self.over, self.run = None, 0
-            return []
-        if self.over is None:
-            self.over = ns
-        self.run += 1
-        packets, least_ns, over = self.least
-        if self.count < packets or ns - self.begun < least_ns or self.run < over or ns - self.over < sustain * 1e6:
-            return []
-        hit = {"ordinal": row["ordinal"], "ns": ns, "lead_ms": self.balance, "counted": self.count,
-               "elapsed_ms": (ns - self.begun) / 1e6}
-        self.balance, self.over, self.run = 0.0, None, 0
-        return [hit]
+    Rows fall into smooth runs; inside one the balance is a clamped sum, and an alert is the first row whose balance has
+    stayed over the lead for long enough. After an alert the balance starts again from nothing.
+    """
 
+    def __init__(self, credit_ms, lead_ms, sustain_ms, warmup_ms, gap_ms, cost_ms, least_packets, least_ms, least_over):
+        self.credit, self.lead, self.cost = credit_ms, lead_ms, cost_ms
+        self.sustain, self.warmup, self.gap = sustain_ms * 1e6, warmup_ms * 1e6, gap_ms * 1e6
+        self.least_packets, self.least_ns, self.least_over = least_packets, least_ms * 1e6, least_over
+        self.last = None  # ns and packet of the last row, or nothing after a packet that did not grow
 
-class ImpulseFold(RowFold):
-    """Follows one impulse at a time: every way it could have been applied, until none explains the motion."""
+    def _begin(self, ns: int) -> None:
+        self.ready, self.begun, self.count = ns + self.warmup, None, 0
+        self.balance, self.over = -self.credit, []  # over: times of the rows over the lead so far
 
-    SEND_LIMIT, STEP_LIMIT = 2_000_000_000, 150_000_000
+    def feed(self, pdf: pd.DataFrame) -> list[dict]:
+        ns, packet, ordinal = (pdf[c].to_numpy() for c in ("ns", "packet", "ordinal"))
+        out: list[dict] = []
+        at = 0
+        while at < len(ns):
+            if self.last is None:
+                self._begin(int(ns[at]))
+                self.last = int(ns[at]), int(packet[at])
+                at += 1
+                continue
+            steps = np.diff(np.append(self.last[0], ns[at:]))
+            stale = np.diff(np.append(self.last[1], packet[at:])) <= 0
+            odd = np.flatnonzero(stale | (steps < 0) | (steps >= self.gap))
+            end = at + int(odd[0]) if len(odd) else len(ns)
+            self._run(ns[at:end], steps[: end - at] / 1e6, ordinal[at:end], out)
+            if end > at:
+                self.last = int(ns[end - 1]), int(packet[end - 1])
+            if len(odd):
+                if stale[odd[0]]:
+                    self.last = None
+                else:
+                    self._begin(int(ns[end]))
+                    self.last = int(ns[end]), int(packet[end])
+                end += 1
+            at = end
+        return out
+
+    def _run(self, ns, passed, ordinal, out) -> None:
+        counted = int(np.searchsorted(ns, self.ready))
+        ns, passed, ordinal = ns[counted:], passed[counted:].copy(), ordinal[counted:]
+        if not len(ns):
+            return
+        if self.begun is None:
+            self.begun, passed[0] = int(ns[0]), 0.0
+        while len(ns):
+            balance = clamped_sums(self.balance, self.cost - passed, self.cost - self.credit, 100 * self.cost)
+            place = np.arange(len(ns))
+            under = np.maximum.accumulate(np.where(balance > self.lead, -1, place))  # last row that was not over
+            held = under < 0  # since before these rows
+            first = np.where(held & (len(self.over) > 0), self.over[0] if self.over else 0, ns[np.minimum(under + 1, len(ns) - 1)])
+            run = np.where(held, place + 1 + len(self.over), place - under)
+            due = (balance > self.lead) & (self.count + place + 1 >= self.least_packets) & (ns - self.begun >= self.least_ns) & (run >= self.least_over) & (ns - first >= self.sustain)
+            hits = np.flatnonzero(due)
+            if not len(hits):
+                self.count += len(ns)
+                self.balance = float(balance[-1])
+                self.over = (self.over if held[-1] else []) + ns[int(under[-1]) + 1 :].tolist()
+                self.over = self.over[:1] + self.over[1:][-self.least_over :]
+                return
+            i = int(hits[0])
+            self.count += i + 1
+            out.append({"ordinal": int(ordinal[i]), "ns": int(ns[i]), "lead_ms": float(balance[i]), "counted": self.count, "elapsed_ms": (int(ns[i]) - self.begun) / 1e6})
+            self.balance, self.over = 0.0, []
+            ns, passed, ordinal = ns[i + 1 :], passed[i + 1 :], ordinal[i + 1 :]
+
+
+def _true(column: pd.Series) -> np.ndarray:
+    """Where a nullable boolean column is true."""
+    return (column == True).to_numpy(bool)  # noqa: E712
+
+
+class ImpulseFold:
+    """Whether the motion after an impulse can be the impulse applied at some move, as one table per impulse.
+
+    Rows of the table are the moves at which it could have been applied (and, on the ground, applied with a jump), columns
+    the moves after it. A way decays by drag and gravity from its own move on, in closed form, and lives as long as it has
+    explained every move. An acknowledged impulse is unexplained at the first move past the grace with no way alive, and
+    settled some moves later. Rows that may still be needed are kept between calls.
+    """
+
+    LIMIT_NS, STEP_NS, MOVES, GRACE, SETTLED = 2_000_000_000, 150_000_000, 40, 2, 8
+    AIR, GROUND, GRAVITY, FALL = 0.91, 0.546, 0.08, 0.98
 
     def __init__(self, epsilon: float):
         self.epsilon = epsilon
-        self.reset()
-
-    def drop(self):
-        self.pending, self.sent, self.acked, self.after, self.seen, self.ways = None, 0, False, 0, 0, []
-
-    def reset(self):
-        self.drop()
-        self.before = self.at = None
-        self.moved, self.packet = (0.0, 0.0, 0.0), 0
-
-    def accept(self, e):
-        kind, ns = e["kind"], e["ns"]
-        if kind == 11:
-            return self._move(e)
-        if kind == 12:
-            if self.pending is not None:  # overlapping impulses are not modelled
-                self.drop()
-                return [self._sample(e, None)]
-            v = (e["vx"], e["vy"], e["vz"])
-            flat = float(np.hypot(v[0], v[2]))
-            fits = np.isfinite(v).all() and flat <= 4 and abs(v[1]) <= 4 and (flat >= 0.1 or abs(v[1]) >= 0.1)
-            if self.before is not None and e["token"] and fits:
-                self.drop()
-                self.pending, self.sent = (e["token"], v, bool(e["additive"])), ns
-        elif kind == 13:
-            if self.pending and self.pending[0] == e["token"] and 0 <= ns - self.sent <= self.SEND_LIMIT:
-                self.acked = True
-        else:  # teleport, correction, attack, lifecycle
-            self.reset()
-            return [self._sample(e, None)]
-        return []
-
-    def _sample(self, e, token):
-        """A NULL token is a clean point: it clears the streak."""
-        return {"ordinal": e["ordinal"], "ns": e["ns"], "token": token, "suspicious": token is not None}
-
-    def _move(self, e):
-        ns = e["ns"]
-        here = (e["x"], e["y"], e["z"])
-        if not (e["usable"] and e["has_pos"] and e["clear"] and e["packet"] > self.packet and np.isfinite(here).all()):
-            self.reset()
-            return [self._sample(e, None)]
-        self.packet = e["packet"]
-        before, at, prior = self.before, self.at, self.moved
-        self.before, self.at = e, ns
-        if before is None:
-            return []
-        d = tuple(h - before[c] for h, c in zip(here, "xyz"))
-        self.moved = d
-        if not 0 <= ns - at <= self.STEP_LIMIT or before["world"] != e["world"] or e["destination"]:
-            self.drop()
-            return []
-        if self.pending is None:
-            return []
-        self.seen += 1
-        if not 0 <= ns - self.sent <= self.SEND_LIMIT or self.seen > 40:
-            self.drop()
-            return []
-        self.after += self.acked
-        grounded = e["source"]
-        drag = 0.546 if grounded else 0.91
-        push = e["speed"] * 1.3 * 0.16277136 / 0.546**3 if grounded else 0.026
-        if not np.isfinite(push) or not 0 <= push <= 0.5:
-            self.drop()
-            return []
-        if not self.acked or self.after <= 2:
-            token, v, additive = self.pending
-            if additive:
-                v = (v[0] + prior[0] * drag, v[1] + (prior[1] - 0.08) * 0.98, v[2] + prior[2] * drag)
-            self.ways.append((v, 0.0))
-            if grounded:
-                self.ways.append(((v[0], e["jump"], v[2]), 0.2))
-        left = []
-        for c, radius in self.ways:
-            off = max(0.0, float(np.hypot(d[0] - c[0], d[2] - c[2])) - radius - push)
-            if off <= self.epsilon and abs(d[1] - c[1]) <= self.epsilon:
-                left.append(((c[0] * drag, (c[1] - 0.08) * 0.98, c[2] * drag), (radius + push) * drag))
-        self.ways = left
-        if self.acked and self.after > 2 and not left:
-            token = self.pending[0]
-            self.drop()
-            return [self._sample(e, token)]
-        if self.acked and self.after >= 8:
-            self.drop()
-            return [self._sample(e, None)]
-        return []
+        self.held: pd.DataFrame | None = None
+
+    def feed(self, pdf: pd.DataFrame) -> list[dict]:
+        old = 0 if self.held is None else len(self.held)
+        rows = (pdf if self.held is None else pd.concat([self.held, pdf.assign(_valid=False, _linked=False, _smooth=False, dx=0.0, dy=0.0, dz=0.0, _before=-1, _done=False)])).reset_index(drop=True)
+        rows = self._checked(rows, old)
+        kind = rows["kind"].to_numpy()
+        out = {i: None for i in range(old, len(rows)) if kind[i] not in (11, 12, 13) or kind[i] == 11 and not rows["_valid"].iloc[i]}
+        keep = len(rows)
+        self._moved = rows[["dx", "dy", "dz"]].to_numpy(float)
+        free = 0  # the position from which no impulse is pending
+        for p in np.flatnonzero(kind == 12).tolist():
+            if p < free:
+                if p >= old:
+                    out[p] = None
+                continue
+            if rows["_done"].iloc[p]:
+                continue
+            end, token = self._follow(rows, p)
+            if end is None:
+                keep = p
+                free = len(rows)
+                break
+            free = end + 1
+            if token is not False and end >= old:
+                out[end] = token
+        rows["_done"] = np.arange(len(rows)) < min(keep, len(rows))
+        moves = np.flatnonzero(kind[:keep] == 11)
+        first = int(moves[-2]) if len(moves) > 1 else 0
+        self.held = rows.iloc[first:]
+        ns, ordinal = rows["ns"].to_numpy(), rows["ordinal"].to_numpy()
+        return [{"ordinal": int(ordinal[i]), "ns": int(ns[i]), "token": token, "suspicious": token is not None} for i, token in sorted(out.items())]
+
+    def _checked(self, rows: pd.DataFrame, old: int) -> pd.DataFrame:
+        """Which moves are sound, and what each moved since the sound one right before it."""
+        move = (rows["kind"] == 11).to_numpy()
+        place = rows[["x", "y", "z"]].to_numpy(float)
+        sound = move & _true(rows["usable"]) & _true(rows["has_pos"]) & _true(rows["clear"]) & np.isfinite(place).all(axis=1)
+        packet = np.nan_to_num(rows["packet"].to_numpy(float))
+        sound &= packet > 0
+        if old:
+            sound[:old] = rows["_valid"].iloc[:old].to_numpy(bool)
+        spots = np.flatnonzero(move | ~rows["kind"].isin([11, 12, 13]).to_numpy())  # what moves follow on
+        both = sound[spots[1:]] & sound[spots[:-1]]
+        for j in (np.flatnonzero(both & (packet[spots[1:]] <= packet[spots[:-1]])) + 1).tolist():
+            if spots[j] >= old:
+                sound[spots[j]] = not sound[spots[j - 1]]
+        before = np.full(len(rows), -1)
+        before[spots[1:]] = spots[:-1]
+        linked = sound & (before >= 0) & sound[before]
+        delta = np.where(linked[:, None], place - place[before], 0.0)
+        ns, world = rows["ns"].to_numpy(), rows["world"].to_numpy()
+        step = ns - ns[before]
+        smooth = linked & (step >= 0) & (step <= self.STEP_NS) & (world == world[before]) & ~_true(rows["destination"])
+        done = _true(rows["_done"]) if "_done" in rows else np.zeros(len(rows), bool)
+        return rows.assign(_valid=sound, _linked=linked, _smooth=smooth, dx=delta[:, 0], dy=delta[:, 1], dz=delta[:, 2], _before=before, _done=done)
+
+    def _follow(self, rows: pd.DataFrame, p: int) -> tuple[int | None, object]:
+        """(row that ends the impulse at row p, its token, None for a clean end or False for a silent one); a missing row
+        means that later rows are needed."""
+        impulse = rows.iloc[p]
+        v = np.array([impulse["vx"], impulse["vy"], impulse["vz"]], float)
+        flat = float(np.hypot(v[0], v[2]))
+        earlier = np.flatnonzero((rows["kind"].iloc[:p] == 11) | ~rows["kind"].iloc[:p].isin([11, 12, 13]))
+        follows = len(earlier) and bool(rows["_valid"].iloc[earlier[-1]])
+        if not (follows and impulse["token"] and np.isfinite(v).all() and flat <= 4 and abs(v[1]) <= 4 and (flat >= 0.1 or abs(v[1]) >= 0.1)):
+            return p, False
+        later = rows.iloc[p + 1 :]
+        kind, ns = later["kind"].to_numpy(), later["ns"].to_numpy()
+        since = ns - impulse["ns"]
+        move = kind == 11
+        stop = np.flatnonzero((kind == 12) | ~np.isin(kind, (11, 12, 13)) | move & ~later["_valid"].to_numpy() | move & ~later["_smooth"].to_numpy())
+        stop = int(stop[0]) if len(stop) else len(later)
+        acks = np.flatnonzero((kind == 13) & (later["token"] == impulse["token"]).to_numpy() & (since >= 0) & (since <= self.LIMIT_NS))
+        acked_at = int(acks[0]) if len(acks) else len(later)
+        steps = np.flatnonzero(move[:stop])[: self.MOVES + 1]
+        grounded = _true(later["source"])[steps]
+        drag = np.where(grounded, self.GROUND, self.AIR)
+        push = np.where(grounded, later["speed"].to_numpy(float)[steps] * 1.3 * 0.16277136 / self.GROUND**3, 0.026)
+        odd = np.flatnonzero((since[steps] < 0) | (since[steps] > self.LIMIT_NS) | (np.arange(len(steps)) >= self.MOVES) | ~((push >= 0) & (push <= 0.5)))
+        n = int(odd[0]) if len(odd) else len(steps)
+        ended = int(steps[n]) if len(odd) else stop if stop < len(later) else None
+        silent = len(odd) > 0 or ended is not None and move[ended] and bool(later["_valid"].iloc[ended])
+        if n:
+            found = self._explain(later, steps[:n], drag[:n], push[:n], grounded[:n], v, bool(impulse["additive"]), acked_at)
+            if found is not None:
+                return p + 1 + int(steps[found[0]]), impulse["token"] if found[1] else None
+        return (None if ended is None else p + 1 + ended), (False if silent else None)
+
+    def _explain(self, later, steps, drag, push, grounded, v, additive, acked_at) -> tuple[int, bool] | None:
+        n = len(steps)
+        acked = steps > acked_at
+        after = np.cumsum(acked)
+        moved = later[["dx", "dy", "dz"]].to_numpy(float)[steps]
+        prior = self._prior(later, steps)
+        shrink = np.append(1.0, np.cumprod(drag))[:-1]  # from the first step to each
+        slack = np.append(0.0, np.cumsum(push / shrink))[:-1]
+        born = np.flatnonzero(~acked | (after <= self.GRACE))
+        jumps = born[grounded[born]]
+        start = np.append(born, jumps)
+        first = np.tile(v, (len(start), 1))
+        if additive:
+            first[:, [0, 2]] += prior[start][:, [0, 2]] * drag[start, None]
+            first[:, 1] += (prior[start, 1] - self.GRAVITY) * self.FALL
+        first[len(born) :, 1] = later["jump"].to_numpy(float)[steps[jumps]]
+        radius = np.where(np.arange(len(start)) < len(born), 0.0, 0.2)
+        age = np.arange(n)[None, :] - start[:, None]
+        decay = shrink[None, :] / shrink[start, None]
+        reach = decay * radius[:, None] + shrink[None, :] * (slack[None, :] - slack[start, None])
+        rest = self.GRAVITY * self.FALL / (1 - self.FALL)
+        fall = (first[:, 1:2] + rest) * self.FALL ** np.maximum(age, 0) - rest
+        off = np.hypot(moved[None, :, 0] - first[:, 0:1] * decay, moved[None, :, 2] - first[:, 2:3] * decay) - reach - push[None, :]
+        fits = (age < 0) | (off <= self.epsilon) & (np.abs(moved[None, :, 1] - fall) <= self.epsilon)
+        alive = (np.logical_and.accumulate(fits, axis=1) & (age >= 0)).any(axis=0)
+        ends = np.flatnonzero((after > self.GRACE) & ~alive | (after >= self.SETTLED))
+        return (int(ends[0]), not alive[ends[0]]) if len(ends) else None
+
+    def _prior(self, later, steps) -> np.ndarray:
+        """What the move before each step moved."""
+        all_moved = self._moved
+        before = later["_before"].to_numpy()[steps]
+        return np.where(before[:, None] >= 0, all_moved[before], 0.0)
