@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scan import SLAB, cut, halo, running_sum, slabs, sql, step
+from .scan import SLAB, cut, ordinal_slab, prev_row, running_sum, slabs, sql, step
 
 MS = 1_000_000
 LOW_QUANTILE = "get(array_sort(collect_list({x})), CAST(floor((count({x}) - 1) * {q}D) AS INT))"
@@ -142,17 +142,15 @@ def trial_features(obs: DataFrame, episodes: DataFrame, least: int = 100) -> Dat
       FROM per_trial WHERE n >= {least} AND mean > 0 AND n_steps >= 2""", inside=inside)
 
 
-def attack_features(obs: DataFrame, least: int = 100, bin_ms: float = 5.0, slab_ns: int = 3_600_000 * MS, gap_ns: int = 600_000 * MS) -> DataFrame:
+def attack_features(obs: DataFrame, least: int = 100, bin_ms: float = 5.0, rows: int = 65536) -> DataFrame:
     """Attack cadence per trial: variation, entropy of binned intervals, share of repeats; else a reason.
 
-    Intervals are taken in time slabs; means and bin counts are ordinary partial aggregates, so a trial
-    of any length never meets in one task.  ``gap_ns`` bounds the context: a longer pause would need more.
+    The attack before, and the interval before, come from ordered scans, so an interval of any length counts wherever
+    it lies. Means and bin counts are ordinary partial aggregates; a trial of any length never meets in one task.
     """
-    need = halo(obs.filter("kind = 7").select("trial", "ordinal", "ns"), ["trial"], "ns", slab_ns, back=gap_ns)
-    steps = cut(sql("""
-      WITH a AS (SELECT *, (ns - lag(ns) OVER (PARTITION BY trial, _slab ORDER BY ordinal)) / 1e6 AS dt FROM {need}),
-      b AS (SELECT *, abs(dt - lag(dt) OVER (PARTITION BY trial, _slab ORDER BY ordinal)) <= 1 AS same FROM a)
-      SELECT trial, ordinal, dt, same FROM b WHERE _own""", need=need))
+    attacks = slabs(obs.filter("kind = 7").select("trial", "ordinal", "ns"), ordinal_slab(rows=rows))
+    spaced = step(attacks, ["trial"], ["ordinal"], before=prev_row(F.col("ns"))).withColumn("dt", F.expr("(ns - before) / 1e6"))
+    steps = cut(step(spaced, ["trial"], ["ordinal"], earlier=prev_row(F.col("dt"))).selectExpr("trial", "ordinal", "dt", "abs(dt - earlier) <= 1 AS same"))
     return sql(f"""
       WITH totals AS (SELECT trial, count(*) AS attacks, min(dt) AS least_dt, stddev_pop(dt) / avg(dt) AS cv, avg(CAST(same AS DOUBLE)) AS rep, count(dt) AS n
         FROM {{steps}} GROUP BY trial),

@@ -208,7 +208,7 @@ def q_trial_features(spark, sf):
  SELECT session AS trial, n AS attacks, n>=10 AS eligible, CASE WHEN n<10 THEN 'needs_10_attacks' END AS reason, round(CASE WHEN n>=10 THEN cv END,6) AS interval_cv,
   round(CASE WHEN n>=10 THEN bits END,6) AS interval_entropy_bits, round(CASE WHEN n>=10 THEN rep END,6) AS repeat_within_1ms FROM t LEFT JOIN e USING (session)""")
 def q_attack_features(spark, sf):
-    return r6(attack_features(as_trial(D.obs_events(spark, sf)), 10, 3600000, 10 * D.DAY, 31 * D.DAY))
+    return r6(attack_features(as_trial(D.obs_events(spark, sf)), 10, 3600000, 64))
 
 
 @query("feature_summary", f"""WITH {D.WINDOW_SQL}, l AS (SELECT *, session%2 AS label FROM windows),

@@ -83,7 +83,7 @@ def test_tick_budget(spark, speed, found):
 
 def test_attack_cadence(spark):
     regular = [event(1, i + 1, i * 100 * MS, S.ATTACK) for i in range(100)]
-    r = attack_features(frame(spark, regular), slab_ns=1000 * MS, gap_ns=500 * MS).first()
+    r = attack_features(frame(spark, regular), rows=16).first()
     assert (r.eligible, r.interval_cv, r.interval_entropy_bits, r.repeat_within_1ms) == (True, 0, 0, 1)
     stuck = [event(1, i + 1, 5, S.ATTACK) for i in range(100)]
     assert attack_features(frame(spark, stuck)).first().reason == "batched_or_unordered"
@@ -103,3 +103,12 @@ def test_dataset_windows_drop_boundaries(spark):
     assert dataset_windows(frame(spark, events), trials).count() == 7
     events[300]["kind"] = S.CORRECTION
     assert dataset_windows(frame(spark, events), trials).count() == 6
+
+
+@pytest.mark.parametrize("shift", [0, 1_234_567])
+def test_cadence_does_not_depend_on_where_pauses_lie(spark, shift):
+    beats = [t * 1000 + (900_000 if t >= 120 else 0) + shift for t in range(240)]
+    obs = spark.createDataFrame([("a", i, b * MS, 7) for i, b in enumerate(beats)], "trial string, ordinal bigint, ns bigint, kind int")
+    wide, narrow = (attack_features(obs, rows=n).first() for n in (65536, 7))
+    assert wide.interval_cv == pytest.approx(narrow.interval_cv) and wide.interval_cv > 10
+    assert (wide.attacks, wide.repeat_within_1ms) == (240, pytest.approx(236 / 238))
