@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scan import SLAB, cut, ordinal_slab, prev_row, running_sum, slabs, sql, step
+from .scan import SLAB, by_range, cut, ordinal_slab, prev_row, running_sum, slabs, sql, step
 
 MS = 1_000_000
 LOW_QUANTILE = "get(array_sort(collect_list({x})), CAST(floor((count({x}) - 1) * {q}D) AS INT))"
@@ -30,15 +30,14 @@ def quantile_lower(x: str, q: float) -> str:
     return LOW_QUANTILE.format(x=x, q=q)
 
 
-def running_counts(df: DataFrame, keys: list[str], x: str, pieces: int = 4096) -> DataFrame:
+def running_counts(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Distinct values of ``x`` per key with ``upto`` (rows at or below) and ``total``, for groups of any size.
 
     Rows first shrink to counts of distinct values; the running count goes by slabs of the value range.
     """
     counts = cut(df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count(F.lit(1)).alias("n")))
-    ends = counts.groupBy(*keys).agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.sum("n").alias("total"))
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(pieces - 1), F.floor((F.col(x) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * pieces))).otherwise(F.lit(0))
-    placed = slabs(counts.join(ends, keys), cell.cast("long")).drop("_lo", "_hi")
+    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"))
+    placed = slabs(cut(by_range(counts, [*keys, x])).join(total, keys), F.col("_cell")).drop("_cell")
     return step(placed, keys, [x], upto=running_sum(F.col("n"))).drop(SLAB)
 
 

@@ -202,13 +202,13 @@ def reach_report(trials: DataFrame) -> DataFrame:
 
 
 def player_rollup(findings: DataFrame, responses: DataFrame) -> DataFrame:
-    """Per player: records, alerts, last time and status; a ban wins over any session state."""
+    """Per player of either side: records, alerts, last time and status; a ban wins over any session state."""
     f = findings.groupBy("player").agg(
         F.count(F.lit(1)).alias("records"), F.count_if(F.col("level") == "suspicious").alias("alerts"), F.max("epoch_ms").alias("last_ms"),
         F.max_by("message", F.when(F.col("message").isin("session_open", "session_closed"), F.col("event"))).alias("state"))
     b = responses.filter("event = 'banned'").select("player").distinct().withColumn("banned", F.lit(True))
-    return f.join(b, "player", "left").select(
-        "player", "records", "alerts", "last_ms",
+    return f.join(b, "player", "full").select(
+        "player", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("records", "alerts")], "last_ms",
         F.when(F.col("banned"), "Banned").when(F.col("state") == "session_open", "Session open").when(F.col("state") == "session_closed", "Offline").otherwise("Observed").alias("status"))
 
 

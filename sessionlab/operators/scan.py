@@ -91,6 +91,14 @@ def ordinal_slab(order: str = "ordinal", rows: int = 65536) -> Column:
     return F.floor(F.col(order) / F.lit(rows)).cast("long")
 
 
+def by_range(df: DataFrame, order: list[str]) -> DataFrame:
+    """df in even ranges of ``order``, whatever the spread of its values, with the number of the range as _cell.
+
+    The ranges come from a sample, so the result has to be written (``cut``) before it is used.
+    """
+    return df.repartitionByRange(*order).withColumn("_cell", F.spark_partition_id().cast("long"))
+
+
 def step(df: DataFrame, keys: list[str], order: list[str], stored: bool = False, **columns: Step) -> DataFrame:
     """Add one scanned column per keyword to a frame prepared by ``slabs``.
 

@@ -61,7 +61,7 @@ def q_gate(spark, sf):
     return A.quality_gate(audited(spark, sf)).select("trial_id", "ok", "resets")
 
 
-PROFILES = "SELECT 'legit' AS role, p_brand AS client, p_size % 2 AS multiplier, 180 AS seconds FROM {part} WHERE p_size < 20 GROUP BY p_brand, p_size % 2"
+PROFILES = "SELECT 'legit' AS role, p_brand AS client, p_size % 2 AS multiplier, 180 AS seconds FROM {part} GROUP BY p_brand, p_size % 2"
 REUSE = ("SELECT trial_id, declared_label AS role, concat('Brand#', cast(trial_id % 55 AS string)) AS client, cast(trial_id % 2 AS int) AS multiplier, CASE WHEN trial_id % 3 = 0 THEN 60 ELSE 180 END AS seconds, status, ok FROM {reg_trials}")
 
 
@@ -71,7 +71,7 @@ def q_completed(spark, sf):
 
 
 JOBS = """SELECT concat('job-', cast(c_custkey AS string)) AS id, cast(800000000000 AS bigint) + c_custkey * 100000000 AS created_ms, CASE WHEN c_custkey % 6 = 0 THEN 'cancelled' ELSE 'planned' END AS status, '' AS detail,
-  CASE WHEN c_custkey % 2 = 0 THEN 'human' ELSE 'scripted' END AS input_source, c_custkey FROM {customer} WHERE c_custkey < 500"""
+  CASE WHEN c_custkey % 2 = 0 THEN 'human' ELSE 'scripted' END AS input_source, c_custkey FROM {customer}"""
 RESERVED = """SELECT j.id, j.created_ms, j.status, j.detail, m.client, m.network, m.input_source, m.script_family, m.behavior, m.label, m.route, m.purpose, m.configuration FROM ({jobs}) j
   JOIN {reg_metadata} m ON m.trial_id = j.c_custkey"""
 WINS = "SELECT l_orderkey AS trial_id, l_linenumber AS ordinal FROM {lineitem} WHERE l_quantity > 10"
@@ -84,7 +84,7 @@ ADMIT_SQL = D.duck(f"""WITH t AS ({{reg_trials}}), d AS ({{reg_metadata}}), j AS
     AND j.behavior=d.behavior AND j.label=d.label AND j.route=d.route AND j.purpose=d.purpose AND j.configuration=d.configuration,false) THEN 'not_reserved'
   WHEN d.input_source='scripted' AND d.script_family='' THEN 'missing_script_family' WHEN NOT t.ok THEN 'audit_failed' WHEN t.protocol<>47 THEN 'unsupported_protocol'
   WHEN coalesce(n,0)=0 THEN 'no_windows' END AS reason
- FROM t JOIN d USING (trial_id) LEFT JOIN j ON j.id=t.scenario LEFT JOIN w USING (trial_id))""")
+ FROM t LEFT JOIN d USING (trial_id) LEFT JOIN j ON j.id=t.scenario LEFT JOIN w USING (trial_id))""")
 
 
 def admitted(spark, sf):

@@ -221,11 +221,12 @@ def q_reach_report(spark, sf):
 PF = "SELECT concat('u', cast(user_id AS string)) AS player, event_id AS event, CASE WHEN event_type = 'error' THEN 'suspicious' ELSE 'trace' END AS level, CASE event_type WHEN 'signup' THEN 'session_open' WHEN 'click' THEN 'session_closed' ELSE event_type END AS message, value FROM {events}"
 
 
-@query("player_rollup", D.duck(f"""WITH p AS ({PF}) SELECT player, count(*) AS records, count(*) FILTER (level='suspicious') AS alerts, max(event) AS last_ms, CASE WHEN right(player,1)='7' THEN 'Banned'
-  WHEN arg_max(message, event) FILTER (message IN ('session_open','session_closed'))='session_open' THEN 'Session open' WHEN arg_max(message, event) FILTER (message IN ('session_open','session_closed'))='session_closed' THEN 'Offline' ELSE 'Observed' END AS status FROM p GROUP BY player"""))
+@query("player_rollup", D.duck(f"""WITH p AS ({PF}) SELECT player, count(level) AS records, count(*) FILTER (level='suspicious') AS alerts, max(event) AS last_ms, CASE WHEN right(player,1)='7' THEN 'Banned'
+  WHEN arg_max(message, event) FILTER (message IN ('session_open','session_closed'))='session_open' THEN 'Session open' WHEN arg_max(message, event) FILTER (message IN ('session_open','session_closed'))='session_closed' THEN 'Offline' ELSE 'Observed' END AS status FROM (FROM p UNION ALL BY NAME SELECT 'c'||c_custkey AS player FROM customer WHERE c_custkey%10=7) GROUP BY player"""))
 def q_rollup(spark, sf):
     p = f(spark, sf, PF).withColumn("epoch_ms", F.col("event"))
-    bans = p.filter("player LIKE '%7'").selectExpr("player", "'banned' AS event").distinct()
+    named = f(spark, sf, "SELECT concat('c', cast(c_custkey AS string)) AS player FROM {customer}")  # known from the log alone
+    bans = p.select("player").union(named).filter("player LIKE '%7'").selectExpr("player", "'banned' AS event").distinct()
     return J.player_rollup(p, bans)
 
 
