@@ -139,10 +139,12 @@ class DetectorConfig:
         return config
 
 
-def fastbreak_verdicts(obs: DataFrame, cfg: FastBreak = FastBreak()) -> DataFrame:
+def fastbreak_verdicts(obs: DataFrame, cfg: FastBreak = FastBreak(), resets: bool = False) -> DataFrame:
     """Every dig finish with what became of it; ``early`` and ``normal`` are measured samples.
 
-    An attempt older than the largest expected time has expired, with or without a tick to say so.
+    An attempt older than the largest expected time has expired, with or without a tick to say so.  With ``resets`` the
+    rows that make the check forget its samples come too: session boundaries, aborts, late digs, starts that replace an
+    attempt or cannot be measured, changes of what is being dug, and ticks that expire an attempt.
     """
     need = halo(obs.filter("kind IN (1,2,3,4,5,6,10)"), ["session"], "ns", cfg.slab_ms * MS, back=int(cfg.maximum_expected_ms) * MS)
     queue = int(cfg.maximum_queue_ms * MS)
@@ -164,17 +166,21 @@ def fastbreak_verdicts(obs: DataFrame, cfg: FastBreak = FastBreak()) -> DataFram
       broken AS (SELECT *, max(CASE WHEN kind = 6 AND (moved OR differs) THEN ordinal END) OVER earlier AS changed_at FROM changed
         WINDOW earlier AS (PARTITION BY session, _slab ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
       finishes AS (SELECT *, (ns - s.ns) / 1e6 AS observed, (sampled_ns - s.sampled_ns) / 1e6 AS sampled,
-          greatest(0D, s.expected * {cfg.maximum_ratio} - {cfg.grace_ms}) AS threshold
-        FROM broken WHERE _own AND kind = 5 AND action = 2),
+          greatest(0D, s.expected * {cfg.maximum_ratio} - {cfg.grace_ms}) AS threshold,
+          s IS NOT NULL AND coalesce(ended_at <= s.ordinal, true) AND NOT coalesce(changed_at > s.ordinal, false)
+            AND NOT coalesce(tick.ordinal > s.ordinal AND tick.ns - s.ns > {int(cfg.maximum_expected_ms) * MS}, false) AS open
+        FROM broken WHERE _own),
+      picked AS (SELECT *, coalesce(kind IN (1,2,3) OR kind = 5 AND (action = 1 OR action = 0 AND (NOT timely OR NOT begins OR open))
+            OR kind = 6 AND open AND (moved OR differs) OR kind = 4 AND open AND (ns < s.ns OR ns - s.ns > {int(cfg.maximum_expected_ms) * MS}), false) AS resets FROM finishes),
       judged AS (SELECT session, ordinal, ns, s.ordinal AS start_ordinal, observed, s.expected AS expected, threshold,
-        CASE WHEN NOT timely THEN 'delayed_observation'
+        CASE WHEN resets THEN 'reset' WHEN NOT timely THEN 'delayed_observation'
              WHEN s IS NULL OR ns - s.ns > {int(cfg.maximum_expected_ms) * MS} OR ended_at > s.ordinal OR coalesce(changed_at > s.ordinal, false)
                OR coalesce(tick.ordinal > s.ordinal AND tick.ns - s.ns > {int(cfg.maximum_expected_ms) * MS}, false) THEN 'finish_without_start'
              WHEN moved OR packet <= s.packet THEN 'mismatched_finish'
              WHEN differs THEN 'changed_context'
              WHEN batch <= s.batch THEN 'same_or_invalid_read_batch'
              WHEN ns < s.ns OR sampled < 0 OR observed > {cfg.maximum_expected_ms} OR abs(observed - sampled) > {cfg.maximum_queue_ms} THEN 'uncertain_timing'
-             WHEN observed < threshold THEN 'early' ELSE 'normal' END AS verdict FROM finishes)
+             WHEN observed < threshold THEN 'early' ELSE 'normal' END AS verdict FROM picked WHERE kind = 5 AND action = 2 OR {str(resets).lower()} AND resets)
       SELECT session, ordinal, ns, verdict,
         CASE WHEN verdict IN ('early', 'normal') THEN start_ordinal END AS start_ordinal,
         CASE WHEN verdict IN ('early', 'normal') THEN observed END AS observed_ms,
@@ -184,7 +190,7 @@ def fastbreak_verdicts(obs: DataFrame, cfg: FastBreak = FastBreak()) -> DataFram
 
 
 def fastbreak_alerts(verdicts: DataFrame, cfg: FastBreak = FastBreak()) -> DataFrame:
-    """Sliding streak; any finish or reset that was not an early sample clears it, except a missing start."""
+    """Sliding streak over verdicts with resets; whatever is not an early sample clears it, except a missing start."""
     samples = verdicts.filter("verdict <> 'finish_without_start'").selectExpr("session", "ordinal", "ns", "verdict = 'early' AS suspicious")
     return sliding_streak(samples, cfg.sample_window_ms, cfg.alert_after)
 
@@ -261,7 +267,7 @@ def autoclicker_windows(obs: DataFrame, cfg: AutoClicker = AutoClicker()) -> Dat
     need = halo(base, ["session"], "ns", cfg.slab_ms * MS, back=gap)
     steps = sql(f"""
       WITH prior AS (SELECT *, last_value(CASE WHEN usable THEN struct(ns, ordinal, packet, batch, sampled_ns, world) END) IGNORE NULLS OVER earlier AS p,
-          max(CASE WHEN NOT usable AND kind <> 4 THEN ordinal END) OVER earlier AS broken_at
+          max(CASE WHEN NOT usable AND kind NOT IN (4, 14) THEN ordinal END) OVER earlier AS broken_at
         FROM {{need}} WINDOW earlier AS (PARTITION BY session, _slab ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
       spans AS (SELECT *, (ns - p.ns) / 1e6 AS dt, (sampled_ns - p.sampled_ns) / 1e6 AS sampled_dt FROM prior WHERE usable AND _own)
       SELECT session, ordinal, ns, packet, dt, p.ordinal AS before_ordinal,
@@ -415,16 +421,19 @@ def detect_all(obs: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFr
     """Findings of every enabled detector; (session, ordinal) gives their order."""
     parts: list[DataFrame] = []
     on = cfg.enabled
+    # session boundaries make every check forget its samples
+    ends = obs.filter("kind IN (1,2,3)").selectExpr("session", "ordinal", "ns", "false AS suspicious")
+    streak = lambda v, window_ms, needed: anchored_streak(v.filter("suspicious IS NOT NULL").select(*ends.columns).unionByName(ends), window_ms, needed)
     if "fastbreak" in on:
-        parts.append(_findings(fastbreak_alerts(fastbreak_verdicts(obs, cfg.fastbreak), cfg.fastbreak).filter("alert"),
+        parts.append(_findings(fastbreak_alerts(fastbreak_verdicts(obs, cfg.fastbreak, resets=True), cfg.fastbreak).filter("alert"),
                                "fastbreak.request.v1", "repeated_early_completion_requests"))
     if "reach" in on:
         v = reach_verdicts(obs, cfg.reach).filter("suspicious IS NOT NULL")
-        parts.append(_findings(anchored_streak(v, cfg.reach.sample_window_ms, cfg.reach.alert_after),
+        parts.append(_findings(streak(v, cfg.reach.sample_window_ms, cfg.reach.alert_after),
                                "reach.stationary.v1", "repeated_out_of_range_attack_requests"))
     if "autoclicker" in on:
         v = autoclicker_windows(obs, cfg.autoclicker)
-        parts.append(_findings(anchored_streak(v, cfg.autoclicker.sample_window_ms, cfg.autoclicker.alert_after),
+        parts.append(_findings(streak(v, cfg.autoclicker.sample_window_ms, cfg.autoclicker.alert_after),
                                "autoclicker.cadence.v1", "repeated_regular_attack_cadence"))
     # Names the findings carry.
     names = {"speed": "speed.plain.v1", "fly": "fly.airborne.v1", "noslow": "noslow.item_input.v1",
@@ -432,12 +441,12 @@ def detect_all(obs: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFr
     for kind, check in names.items():
         if kind in on:
             v = movement_samples(obs, kind, cfg.movement).filter("suspicious IS NOT NULL")
-            parts.append(_findings(anchored_streak(v, 10000, cfg.movement.alert_after), check, "repeated_movement_model_contradiction"))
+            parts.append(_findings(streak(v, 10000, cfg.movement.alert_after), check, "repeated_movement_model_contradiction"))
     if "hitboxes" in on:
         v = hitbox_verdicts(obs, cfg.hitboxes).filter("suspicious IS NOT NULL")
-        parts.append(_findings(anchored_streak(v, 10000, cfg.hitboxes.alert_after), "hitboxes.stable_ray.v1", "repeated_stable_aim_target_box_misses"))
+        parts.append(_findings(streak(v, 10000, cfg.hitboxes.alert_after), "hitboxes.stable_ray.v1", "repeated_stable_aim_target_box_misses"))
     if "velocity" in on:
-        parts.append(_findings(anchored_streak(velocity_samples(obs, cfg.velocity), 15000, cfg.velocity.alert_after),
+        parts.append(_findings(streak(velocity_samples(obs, cfg.velocity), 15000, cfg.velocity.alert_after),
                                "velocity.response.v1", "repeated_unexplained_impulse_response"))
     if "timer" in on:
         parts.append(_findings(timer_budget(obs), "timer.budget.v1", "sustained_excess_client_tick_budget"))

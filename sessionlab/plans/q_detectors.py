@@ -45,13 +45,16 @@ def q_fastbreak(spark, sf):
 
 
 @query("sliding_streak", f"""WITH {FAST_SQL},
-s1 AS (SELECT session, ordinal, ns, verdict='early' AS sus FROM fb WHERE verdict<>'finish_without_start'),
+op AS (SELECT *, s IS NOT NULL AND coalesce(ended_at<=s.o,true) AND NOT coalesce(changed_at>s.o,false) AND NOT coalesce(tick_o>s.o AND tick_ns-s.ns>200000000000000,false) AS pending FROM e),
+s1 AS (SELECT session, ordinal, ns, verdict='early' AS sus FROM fb WHERE verdict<>'finish_without_start'
+  UNION ALL SELECT session, ordinal, ns, false FROM op WHERE kind=5 AND action=1 OR kind=5 AND action=0 AND (NOT timely OR NOT begins OR pending)
+    OR kind=6 AND pending AND (moved OR differs) OR kind=4 AND pending AND (ns<s.ns OR ns-s.ns>200000000000000)),
 s2 AS (SELECT *, CASE WHEN NOT sus OR lag(sus) OVER w IS NOT TRUE OR ns-lag(ns) OVER w > {10 * D.DAY} THEN 1 ELSE 0 END AS cut FROM s1 WINDOW w AS (PARTITION BY session ORDER BY ordinal)),
 s3 AS (SELECT *, sum(cut) OVER (PARTITION BY session ORDER BY ordinal) AS isl FROM s2)
 SELECT session, ordinal, ns, row_number() OVER (PARTITION BY session,isl ORDER BY ordinal) AS streak,
   row_number() OVER (PARTITION BY session,isl ORDER BY ordinal)%2=0 AS alert FROM s3 WHERE sus""")
 def q_sliding(spark, sf):
-    return X.fastbreak_alerts(X.fastbreak_verdicts(D.view(spark, sf, "digs"), FAST), FAST)
+    return X.fastbreak_alerts(X.fastbreak_verdicts(D.view(spark, sf, "digs"), FAST, resets=True), FAST)
 
 
 def _env(names, rows):
