@@ -94,8 +94,8 @@ class SegmentFold(RowFold):
 class EpisodeFold:
     """Guard, then ``buckets`` equal buckets; the move that ends an episode starts the next."""
 
-    def __init__(self, bucket_ns: int, buckets: int, guard_ns: int, gap_ns: int, most: int = 20_000):
-        self.bucket, self.buckets, self.guard, self.gap, self.most = bucket_ns, buckets, guard_ns, gap_ns, most
+    def __init__(self, bucket_ns: int, buckets: int, guard_ns: int, gap_ns: int):
+        self.bucket, self.buckets, self.guard, self.gap = bucket_ns, buckets, guard_ns, gap_ns
         self.clear()
 
     def clear(self):
@@ -132,14 +132,6 @@ class EpisodeFold:
         slot = (ns[a:stop] - self.start - self.guard) // self.bucket
         slot = slot[slot >= 0]
         counts = self.counts + np.bincount(slot, minlength=self.buckets)
-        if counts.max() > self.most:  # too dense: everything starts afresh after the move above the bound
-            for i in range(a, stop):
-                j = (ns[i] - self.start - self.guard) // self.bucket
-                if j >= 0:
-                    self.counts[j] += 1
-                    if self.counts[j] > self.most:
-                        self.clear()
-                        return i + 1
         self.counts = counts
         if stop > a:
             self.last, self.packet = ns[stop - 1], packet[stop - 1]
