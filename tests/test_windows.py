@@ -72,8 +72,8 @@ def test_tail_and_spending(spark):
     many = spark.createDataFrame([(20.0,)] * 1999, "score double")
     got = {(r.session, r.episode): r.eligible for r in assess_episodes(ep, many).collect()}
     assert got == {(1, 1): True, (1, 2): False, (2, 1): False}
-    ranks = tail_rank(spark.createDataFrame([(1, 21.4), (2, 20.0)], "id int, score double"), few, 8)
-    assert {r.id: r.tail_p for r in ranks.collect()} == {1: 0.1, 2: 1.0}
+    ranks = tail_rank(spark.createDataFrame([(1, 21.4), (2, 20.0), (3, None)], "id int, score double"), few)
+    assert {r.id: r.tail_p for r in ranks.collect()} == {1: 0.1, 2: 1.0, 3: None}
 
 
 @pytest.mark.parametrize("speed,found", [(1.0, False), (1.07, True), (1.5, True)])
