@@ -23,7 +23,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """df written once to the shared folder and read back: it cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return spark.read.schema(df.schema).parquet(path)
 
 

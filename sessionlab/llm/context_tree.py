@@ -196,14 +196,14 @@ def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b > a and blocks[a] != block:
                 yield from flush()
                 block = blocks[a]
-            for lo, hi, data, at in text_slices(batch["text"].slice(a, b - a), 1 << 20):
+            for lo, hi, data, at in text_slices(batch["text"].slice(a, b - a)):
                 tokens, token_at, grams, bounds = stream(data, at)
                 taught = learn[a + lo : a + hi]
                 for word, keys, edge in ((True, tokens, token_at), (False, grams, bounds)):
                     k, n = added([keys], [np.repeat(taught, np.diff(edge)).astype(np.int64)])
                     held[word][0].append(k)
                     held[word][1].append(n)
-                    if sum(map(len, held[word][0])) > 1_500_000:
+                    if sum(map(len, held[word][0])) > 800_000:
                         k, n = added(*held[word])
                         held[word] = ([k], [n])
     yield from flush()
@@ -229,19 +229,21 @@ def whole_subtrees(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> I
 
 
 def score_block(documents: pa.Table, values: pa.Table) -> pa.Table:
-    """The documents of a block scored from its values: (word, key, value, n, first)."""
-    word = values["word"].to_numpy().astype(bool)
+    """The documents of a block scored from its values: (key, value, mark); the mark of a word is 1, and 2 in the first
+    block that has it, and 4 times its training count there; that of a gram is 0."""
+    mark = values["mark"].to_numpy()
+    word = mark > 0
     key, value = values["key"].to_numpy(), values["value"].to_numpy()
     found = {}
     for kind in (True, False):
         rows = np.flatnonzero(word == kind)
         rows = rows[np.argsort(key[rows], kind="stable")]
         found[kind] = key[rows], value[rows]
-    first = values["first"].to_numpy().astype(bool) & word & (value > 0)
-    trained = int(values["n"].to_numpy()[word].sum())
+    first = (mark & 2 > 0) & (value > 0)
+    trained = int((mark >> 2).sum())
     parts = []
     for batch in documents.to_batches():
-        for lo, hi, data, at in text_slices(batch["text"], 1 << 20):
+        for lo, hi, data, at in text_slices(batch["text"]):
             tokens, token_at, grams, bounds = stream(data, at)
             looked = []
             for kind, keys in ((True, tokens), (False, grams)):
@@ -293,8 +295,9 @@ def context_tree_scores(docs: DataFrame, modulus: int = 7, held_remainder: int =
 
     grams = listed.where("not word").select("block", "key", "n").repartition(tree).sortWithinPartitions("key").mapInArrow(value, "block long, key long, value double")
     by_key = W.partitionBy("key")
-    words = listed.where("word").select("block", "key", F.sum("n").over(by_key).cast("double").alias("value"), "n", (F.row_number().over(by_key.orderBy("block")) == 1).alias("first"))
-    values = words.select("block", F.lit(True).alias("word"), "key", "value", "n", "first").unionByName(grams.select("block", F.lit(False).alias("word"), "key", "value", F.lit(0).cast("long").alias("n"), F.lit(False).alias("first")))
+    first = F.when(F.row_number().over(by_key.orderBy("block")) == 1, 2).otherwise(0)
+    words = listed.where("word").select("block", "key", F.sum("n").over(by_key).cast("double").alias("value"), (F.col("n") * 4 + first + 1).alias("mark"))
+    values = words.unionByName(grams.select("block", "key", "value", F.lit(0).cast("long").alias("mark")))
     scored = stage(dealt.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score_block, "doc_id long, held_out boolean, n_tokens long, n_known long, counts double, score double, vocabulary long, trained long"), "scores")
     total = scored.agg(F.sum("trained"), F.sum("vocabulary")).first()
     trained, vocabulary = total[0] or 0, total[1] or 0
