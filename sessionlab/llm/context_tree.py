@@ -209,7 +209,7 @@ def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def whole_subtrees(batches: Iterator[pa.RecordBatch], least: int = 200_000) -> Iterator[pa.Table]:
+def whole_subtrees(batches: Iterator[pa.RecordBatch], least: int = 50_000) -> Iterator[pa.Table]:
     """Rows sorted by key in tables of whole subtrees (all grams with the same two last context bytes)."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
