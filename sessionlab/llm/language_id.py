@@ -19,6 +19,8 @@ from sessionlab.llm.common import ranges, text_slices
 UNKNOWN = "und"
 WIDTHS, FILTERS, SIZE, WINDOW = (2, 3, 4), 16, 8, 256
 WIDEST = max(WIDTHS)
+#: Shares in which the sample of a language is first looked for.
+SHARES = 64
 #: Bytes that belong to letters: ASCII letters and all bytes of longer UTF-8 sequences.
 LETTERS = np.zeros(256, bool)
 LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -98,10 +100,14 @@ def padded(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, per_language: int = 400, windows_each: int = 4) -> Network | None:
     """A network from a bounded sample: of each language the per_language rows (doc_id, text, lang) with the least
     hashes of their doc_id, and of each the first window and those at windows_each - 1 places spread over it."""
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text")))
-    usable = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text").withColumn("rank", rank).where(F.col("rank") <= per_language)
+    usable = labelled.where("lang is not null and text is not null").where(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64("doc_id").alias("h"), F.xxhash64("text").alias("t"))
+    order = ["h", "t"]
+    some = usable.select("lang", *order, F.pmod(F.xxhash64(*order), F.lit(SHARES)).alias("share"))  # hashes alone, in shares, before the texts of the chosen
+    some = some.withColumn("rank", F.row_number().over(W.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= per_language)
+    best = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= per_language).select("lang", *order, "rank")
     piece = lambda i: F.expr(f"substring(text, 1 + cast(length(text) * {i} / {windows_each} as int), {WINDOW})")
-    rows = usable.select("lang", "rank", F.array(*[piece(i) for i in range(windows_each)]).alias("pieces")).orderBy("lang", "rank").collect()
+    texts = usable.join(F.broadcast(best), ["lang", *order]).select("lang", "rank", F.array(*[piece(i) for i in range(windows_each)]).alias("pieces"))
+    rows = texts.dropDuplicates(["lang", "rank"]).orderBy("lang", "rank").collect()
     if not rows:
         return None
     languages = sorted({r.lang for r in rows})
