@@ -30,14 +30,15 @@ def seeds(words: Column, at: Column, mask: int) -> Column:
     return F.when(inside, F.xxhash64(F.lit(mask), *[F.get(words, at + o) for o in MASKS[mask]]))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, misses: int = 2, stride: int = 2) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, window: int = 13, misses: int = 2, stride: int = 1) -> DataFrame:
     """(doc_id, item_id, start, n_tokens, n_equal): where a document overlaps a benchmark item.
 
     An overlap is a place where the item (as far as the document goes) agrees with the document in all but `misses` of
     some `window` consecutive tokens; items shorter than the window must agree as a whole, in all but a share of misses
     / window of their tokens. start is the token of the document at the item's first token (it may be negative), n_tokens
     the tokens laid over each other, n_equal those that agree. Documents are hashed at every stride-th place and items
-    at every place, so every run of agreeing tokens as long as a mask's span and stride - 1 more is hit. Items of fewer tokens than the shortest mask's span are not searched.
+    at every place; at stride 1 and the window and misses given here, every overlap is hit by some mask, wherever the
+    misses lie. Items of fewer tokens than the shortest mask's span are not searched.
     Null texts and ids have no overlaps; repeated rows give one row.
     """
     item = benchmark.where("item_id is not null").select("item_id", F.filter(tokens("text"), lambda w: w != "").alias("item")).distinct()
