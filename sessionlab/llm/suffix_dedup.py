@@ -23,7 +23,8 @@ END = 0xFF  # never in UTF-8
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first `depth` bytes at least, by doubling prefixes of 8 bytes."""
+    """Suffixes sorted by their first `depth` bytes at least: prefixes of 8 bytes, then of three (or two, where three
+    ranks fill no word) of the prefixes sorted before."""
     n = len(text)
     padded = np.concatenate([text, np.full(8, END, np.uint8)])
     key = np.zeros(n, np.uint64)
@@ -39,9 +40,11 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
             return order
         rank = np.empty(n, np.uint64)
         rank[order] = np.cumsum(fresh)
-        key = rank << np.uint64(32)
-        key[: n - known] |= rank[known:]
-        known *= 2
+        ranks, bits = (3, 21) if n < 1 << 21 else (2, 32)
+        key = rank << np.uint64(bits * (ranks - 1))
+        for i in range(1, ranks):
+            key[: max(0, n - i * known)] |= rank[i * known :] << np.uint64(bits * (ranks - 1 - i))
+        known *= ranks
 
 
 def common_prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +120,7 @@ def raw_bytes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return data, at
 
 
-def repeated_runs(docs: DataFrame, length: int = 100, most_segments: int = 16_384, batch_bytes: int = 1 << 20) -> DataFrame:
+def repeated_runs(docs: DataFrame, length: int = 100, most_segments: int = 16_384, batch_bytes: int = 1 << 18) -> DataFrame:
     def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_anchors(batches, batch_bytes):
             yield repeats_in(table, length)
