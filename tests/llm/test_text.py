@@ -70,6 +70,18 @@ def test_extraction(spark, main):
     assert extract(pages.limit(0)).count() == 0
 
 
+def extracted(spark, pages):
+    rows = [(i, f"http://h.example/{i}", page) for i, page in enumerate(pages)]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_extraction_drops_nothing_by_its_share(spark):
+    long, short = "word " * 60, "other " * 15
+    pages = [f"<body><div class=post><h1>Head {i}</h1><p>Intro {i}</p><div class=entry><p>{long}{i}</p></div><div class=more><p>{short}{i}</p></div></div><p>Same" for i in range(4)]
+    assert extracted(spark, pages) == [f"Head {i}\n\nIntro {i}\n\n{long}{i}\n\n{short}{i}" for i in range(4)]
+
+
 def test_wrapper_finds_repeats_and_options():
     first, second = (Wrapper.of(f"<body><div><h1>t</h1>{p}</div>") for p in ("<p>a<p>b", "<p>c<ul><li>d</ul>"))
     first.add(second)
