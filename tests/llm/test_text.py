@@ -82,6 +82,19 @@ def test_extraction_drops_nothing_by_its_share(spark):
     assert extracted(spark, pages) == [f"Head {i}\n\nIntro {i}\n\n{long}{i}\n\n{short}{i}" for i in range(4)]
 
 
+def test_shared_text_is_what_all_pages_show(spark):
+    """Places and labels that only some pages have are their own text, however many pages the host has."""
+    pages = [f"<body><article id=post-{i} class='post-{i} entry'><h1>Head</h1><p>Text {i}</p><div>Signed</div></article>" for i in range(5)]
+    pages[2] = pages[2].replace("<div>", "<table><tr><td>Cell</table><blockquote>Said</blockquote><div>")
+    pages[3] = pages[3].replace("<div>", "<ul><li>Both</ul><div>")
+    pages[4] = pages[4].replace("<div>", "<ul><li>Both</ul><div>")
+    assert extracted(spark, pages) == ["Text 0", "Text 1", "Text 2\n\nCell\n\nSaid", "Text 3\n\nBoth", "Text 4\n\nBoth"]
+    pages = [f"<div class=ad>Buy {i}</div><div id=p{i}><p>Only text</div>" for i in range(4)]  # one page, fetched four times
+    assert extracted(spark, pages) == ["Only text"] * 4
+    pages = [f"<div class=slug-{'abcd'[i]}><h1>Head {i}</h1><p>Text</div>" for i in range(3)]
+    assert extracted(spark, pages) == [f"Head {i}\n\nText" for i in range(3)]
+
+
 def test_wrapper_finds_repeats_and_options():
     first, second = (Wrapper.of(f"<body><div><h1>t</h1>{p}</div>") for p in ("<p>a<p>b", "<p>c<ul><li>d</ul>"))
     first.add(second)
