@@ -7,9 +7,10 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlab.llm import html_extract
 from sessionlab.llm.context_tree import DEPTH, context_tree_scores
 from sessionlab.llm.decontaminate import decontaminate, leaks
-from sessionlab.llm.html_extract import Wrapper, extract, main_text
+from sessionlab.llm.html_extract import Wrapper, bytes_of, extract, main_text, shared_texts
 from sessionlab.llm.language_id import language_id
 from sessionlab.llm.piecewise import fingerprint_neighbours
 from sessionlab.llm.queries import TOKENIZERS
@@ -95,6 +96,18 @@ def test_shared_text_is_what_all_pages_show(spark):
     assert extracted(spark, pages) == [f"Head {i}\n\nText" for i in range(3)]
 
 
+def test_what_a_host_sends_to_its_pages_is_bounded(spark, monkeypatch):
+    """Page-specific labels and texts of a hot host stay out of its row; only what all pages show is in it."""
+    pages = [f"<article id=post-{i} class=post-{i}><h1>Head</h1>" + "".join(f"<div id=d{i}-{j} class='only{i}-{j}'>Text {i} {j}</div>" for j in range(20)) + "</article>" for i in range(60)]
+    rows = spark.createDataFrame([(1, page) for page in pages], "host long, html string")
+    (found,) = shared_texts(rows).collect()
+    assert len(found.shared) == 1 and bytes_of(shared_texts(rows)) == 48 and bytes_of(shared_texts(rows.limit(0))) == 0
+    want = ["\n\n".join(f"Text {i} {j}" for j in range(20)) for i in range(60)]
+    assert extracted(spark, pages) == want
+    monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
+    assert extracted(spark, pages) == want
+
+
 def test_wrapper_finds_repeats_and_options():
     first, second = (Wrapper.of(f"<body><div><h1>t</h1>{p}</div>") for p in ("<p>a<p>b", "<p>c<ul><li>d</ul>"))
     first.add(second)
