@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sessionlab.llm import html_extract
 from sessionlab.llm.context_tree import DEPTH, context_tree_scores
 from sessionlab.llm.decontaminate import decontaminate, leaks
-from sessionlab.llm.html_extract import Wrapper, bytes_of, extract, main_text, shared_texts
+from sessionlab.llm.html_extract import Wrapper, bytes_of, extract, main_text, rules
 from sessionlab.llm.language_id import language_id
 from sessionlab.llm.piecewise import fingerprint_neighbours
 from sessionlab.llm.queries import TOKENIZERS
@@ -100,14 +100,28 @@ def test_what_a_host_sends_to_its_pages_is_bounded(spark, monkeypatch):
     """Page-specific labels and texts of a hot host stay out of its row; only what all pages show is in it."""
     pages = [f"<article id=post-{i} class=post-{i}><h1>Head</h1>" + "".join(f"<div id=d{i}-{j} class='only{i}-{j}'>Text {i} {j}</div>" for j in range(20)) + "</article>" for i in range(60)]
     rows = spark.createDataFrame([(1, page) for page in pages], "host long, html string")
-    (found,) = shared_texts(rows).collect()
-    assert len(found.shared) == 1 and bytes_of(shared_texts(rows)) == 48 and bytes_of(shared_texts(rows.limit(0))) == 0
+    (found,) = rules(rows).collect()
+    assert len(found.shared) == 1 and found.confirmed == [] and bytes_of(rules(rows)) == 48 and bytes_of(rules(rows.limit(0))) == 0
     want = ["\n\n".join(f"Text {i} {j}" for j in range(20)) for i in range(60)]
     assert extracted(spark, pages) == want
     monkeypatch.setattr(html_extract, "BROADCAST_BYTES", 0)
     assert extracted(spark, pages) == want
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='has-sidebar'><p>Text {i}", "<div class='layout no-sidebar'><p>Text {i}</div>", "<div class='page sticky-header'><p>Text {i}</div>", "<article class='post comments-open'>Text {i}</article>",
+    "<div style='overflow:hidden'>Text {i}</div>", "<div data-id='share-1' title='id=ad class=ad hidden'>Text {i}</div>", "<body class=share><article class=widget>Text {i}</article>",
+    "<div class=widget><main>Text {i}</main></div>", "<div class=widget><div class=ad>Buy</div><article>Text {i}</article></div>", "<div class=widget>Text {i}</div>"])
+def test_marks_leave_the_text(spark, page):
+    assert extracted(spark, [page.format(i=i) for i in range(4)]) == [f"Text {i}" for i in range(4)]
+
+
+def test_marks_are_confirmed_by_other_pages(spark):
+    page = "<article>Text {i}</article><div class=related><article>Teaser {i}</article></div>"
+    pages = [page.format(i=i) for i in range(4)] + ["<article><div class='big notice'>Main notice</div>Text 4</article>", "<article>Text 5<div hidden>No</div></article>"]
+    assert extracted(spark, pages) == ["Text 0", "Text 1", "Text 2", "Text 3", "Main notice\n\nText 4", "Text 5"]
+
+
 def test_wrapper_finds_repeats_and_options():
     first, second = (Wrapper.of(f"<body><div><h1>t</h1>{p}</div>") for p in ("<p>a<p>b", "<p>c<ul><li>d</ul>"))
     first.add(second)
