@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +123,14 @@ def test_marks_are_confirmed_by_other_pages(spark):
     assert extracted(spark, pages) == ["Text 0", "Text 1", "Text 2", "Text 3", "Main notice\n\nText 4", "Text 5"]
 
 
+def test_extraction_builds_no_expression(monkeypatch):
+    """The expression makes no row of the result, so none is inferred."""
+    monkeypatch.setattr(html_extract, "merged", None)
+    monkeypatch.setattr(html_extract, "folded", None)
+    (rows,) = html_extract.shown([pa.RecordBatch.from_pydict({"host": [1, 1], "html": ["<p>a<p>b", "<p>a<ul><li>c</ul>"]})])
+    assert rows.num_rows == 6 and main_text("<p>a<p>b") == "a\n\nb"
+
+
 def test_wrapper_finds_repeats_and_options():
     first, second = (Wrapper.of(f"<body><div><h1>t</h1>{p}</div>") for p in ("<p>a<p>b", "<p>c<ul><li>d</ul>"))
     first.add(second)
