@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sessionlab.llm.common import BYTE_VALUES, mixed, ranges, rolling, run_hash, span_hashes, stage, text_slices, word_spans
-from sessionlab.llm.windows import document_key, identified
+from sessionlab.llm.windows import identified, row_key
 from sessionlab.operators.models import components
 
 COORDINATES = 64
@@ -263,5 +263,5 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     classes = similar(docs, **options)
     best = classes.groupBy("class_key").agg(F.min(F.struct("doc_id", "tag")).alias("best"))
     kept = best.select(F.col("best.doc_id").alias("_doc_id"), F.col("best.tag").alias("_tag"))
-    doc_id, tag = document_key()
+    doc_id, tag = row_key()
     return docs.withColumns({"_doc_id": doc_id, "_tag": tag}).join(kept, ["_doc_id", "_tag"], "left_semi").dropDuplicates(["_doc_id", "_tag"]).select(*docs.columns)

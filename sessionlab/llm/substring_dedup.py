@@ -107,8 +107,8 @@ def repeated_runs(docs: DataFrame, window: int = 13, most_segments: int = 16_384
     def examine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_anchors(batches, batch_bytes):
             table = table.combine_chunks()
-            anchor, doc, place = (table[c].to_numpy() for c in ("anchor", "doc_id", "place"))
-            start, _, tag = unpack(place)
+            anchor, doc, tag, place = (table[c].to_numpy() for c in ("anchor", "doc_id", "tag", "place"))
+            start, _ = unpack(place)
             data, at = text_buffer(table["content"])
             words, at = np.frombuffer(data.tobytes(), np.int64).tolist(), (at // 8).tolist()
             edges = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])).tolist() + [len(anchor)]
@@ -116,7 +116,7 @@ def repeated_runs(docs: DataFrame, window: int = 13, most_segments: int = 16_384
             for a, b in zip(edges[:-1], edges[1:]):
                 rows += [(a + i, s, n) for i, s, n in matched_runs([words[at[j] : at[j + 1]] for j in range(a, b)], doc[a:b].tolist(), window)]
             row, begin, count = np.array(rows, np.int64).reshape(-1, 3).T
-            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(pack(start[row] + begin, count, tag[row]))], ["doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(tag[row]), pa.array(pack(start[row] + begin, count))], ["doc_id", "tag", "place"])
 
     return repeated_places(docs, word_symbols, word_symbols, window, max(1, window // 3), True, examine, most_segments)
 

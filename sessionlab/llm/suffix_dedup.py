@@ -85,9 +85,9 @@ def common_prefix_groups(text: np.ndarray, length: int) -> tuple[np.ndarray, np.
 
 
 def repeats_in(table: pa.Table, length: int) -> pa.RecordBatch:
-    """Runs of windows, as (doc_id, place), that occur in another segment of the table at a smaller (doc_id, start)."""
+    """Runs of windows, as (doc_id, tag, place), that occur in another segment of the table at a smaller (doc_id, start)."""
     table = table.sort_by([("doc_id", "ascending"), ("place", "ascending")]).combine_chunks()
-    doc, (start, count, tag) = table["doc_id"].to_numpy(), unpack(table["place"].to_numpy())
+    doc, tag, (start, count) = table["doc_id"].to_numpy(), table["tag"].to_numpy(), unpack(table["place"].to_numpy())
     data, at = text_buffer(table["content"])
     size, n = np.diff(at), len(doc)
     begin = at[:-1] + np.arange(n)
@@ -109,7 +109,7 @@ def repeats_in(table: pa.Table, length: int) -> pa.RecordBatch:
     long = np.diff(np.append(head, len(place)))
     head, long = head[again[head]], long[again[head]]
     r = row[head]
-    return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(pack(start[r] + offset[head], long, tag[r]))], ["doc_id", "place"])
+    return pa.RecordBatch.from_arrays([pa.array(doc[r]), pa.array(tag[r]), pa.array(pack(start[r] + offset[head], long))], ["doc_id", "tag", "place"])
 
 
 def bytes_of(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -54,31 +54,38 @@ def segments(symbols: np.ndarray, at: np.ndarray, window: int, k: int) -> tuple[
     return starts, count, mixed(grams[(least[starts] & SPOT).astype(np.int64)]), mixed(whole ^ count.astype(np.uint64))
 
 
-#: A place packs where a segment lies: its start, its windows and 26 bits of its text's hash, which keep apart the rows
-#: of one doc_id (or of none) with different texts. Places sort by start.
-TAG_BITS, COUNT_BITS = 26, 7
-SEGMENT = "anchor long, segment long, doc_id long, place long"
-FOUND = "anchor long, doc_id long, place long, repeated boolean"
+#: A place packs where a segment lies: its start and its windows. Places sort by start. The tag beside it, 64 bits of the
+#: text's hash, keeps apart the rows of one doc_id (or of none) with different texts.
+COUNT_BITS = 24
+SEGMENT = "anchor long, segment long, doc_id long, tag long, place long"
+FOUND = "anchor long, doc_id long, tag long, place long, repeated boolean"
 LAST_ID = (1 << 63) - 1
+#: Of the hash by which rows of one doc_id are only dealt or ordered.
+TAG_BITS = 26
 
 
-def pack(start, count, tag):
-    return (start << (TAG_BITS + COUNT_BITS)) | (count << TAG_BITS) | tag
+def pack(start, count):
+    return (start << COUNT_BITS) | count
 
 
-def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return place >> (TAG_BITS + COUNT_BITS), (place >> TAG_BITS) & ((1 << COUNT_BITS) - 1), place & ((1 << TAG_BITS) - 1)
+def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return place >> COUNT_BITS, place & ((1 << COUNT_BITS) - 1)
+
+
+def row_key() -> tuple[Column, Column]:
+    """What tells rows apart: doc_id, where none is given the largest, and the text's hash."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def document_key() -> tuple[Column, Column]:
-    """What tells rows apart: doc_id, where none is given the largest, and TAG_BITS of the text's hash."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), F.xxhash64(text).bitwiseAND((1 << TAG_BITS) - 1)
+    """row_key with TAG_BITS of the hash: enough to deal or order rows, not to tell them apart."""
+    doc_id, tag = row_key()
+    return doc_id, tag.bitwiseAND((1 << TAG_BITS) - 1)
 
 
 def identified(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, text): a document without id counts as the one with the largest id."""
-    doc_id, tag = document_key()
+    doc_id, tag = row_key()
     return docs.select(doc_id.alias("doc_id"), tag.alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
@@ -97,15 +104,15 @@ def segmenter(symbols: Callable, window: int, k: int, by_document: bool):
                 values, bounds = symbols(data, at)
                 start, count, anchor, segment = segments(values, bounds, window, k)
                 row = np.searchsorted(bounds, start, "right") - 1
-                parts.append((anchor.view(np.int64), segment.view(np.int64), ids[lo + row], pack(start - bounds[row], count, tags[lo + row])))
-            anchor, segment, doc, place = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 4
+                parts.append((anchor.view(np.int64), segment.view(np.int64), ids[lo + row], tags[lo + row], pack(start - bounds[row], count)))
+            anchor, segment, doc, tag, place = (np.concatenate(x) for x in zip(*parts)) if parts else [np.zeros(0, np.int64)] * 5
             order = np.lexsort((place, doc, segment))
             same = np.append(False, segment[order[1:]] == segment[order[:-1]])
             first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
-            later = order[(doc[order] > doc[first]) | ((doc[order] == doc[first]) & (place[order] >> COUNT_BITS + TAG_BITS > place[first] >> COUNT_BITS + TAG_BITS) & (not by_document))]
-            anchor[later] = mixed((doc[later] ^ (place[later] << 20)).view(np.uint64)).view(np.int64)
+            later = order[(doc[order] > doc[first]) | ((doc[order] == doc[first]) & (place[order] >> COUNT_BITS > place[first] >> COUNT_BITS) & (not by_document))]
+            anchor[later] = mixed((doc[later] ^ tag[later] ^ (place[later] << 20)).view(np.uint64)).view(np.int64)
             place[later] = -1 - place[later]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, segment, doc, place)], ["anchor", "segment", "doc_id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (anchor, segment, doc, tag, place)], ["anchor", "segment", "doc_id", "tag", "place"])
 
     return run
 
@@ -123,8 +130,8 @@ def finder(by_document: bool):
         waiting: list[pa.RecordBatch] = []
 
         def out(batch: pa.RecordBatch, rows: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
-            arrays = [batch["anchor"].take(pa.array(rows)), batch["doc_id"].take(pa.array(rows)), pa.array(place[rows]), pa.array(repeated)]
-            return pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "place", "repeated"])
+            arrays = [*(batch[c].take(pa.array(rows)) for c in ("anchor", "doc_id", "tag")), pa.array(place[rows]), pa.array(repeated)]
+            return pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "tag", "place", "repeated"])
 
         for batch in batches:
             n = len(batch)
@@ -168,13 +175,13 @@ def finder(by_document: bool):
 
 
 def fetcher(symbols: Callable, values_of: Callable, window: int):
-    """Batches of (doc_id, text, places) to (anchor, segment, doc_id, place, content): the values of each wanted segment
+    """Batches of (doc_id, tag, text, places) to (anchor, segment, doc_id, tag, place, content): the values of each wanted segment
     as bytes, or, where it is to be split, each of its windows by two hashes and without content."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "segment", "doc_id", "place", "content"]
+        names = ["anchor", "segment", "doc_id", "tag", "place", "content"]
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
+            ids, tags = batch["doc_id"].to_numpy(), batch["tag"].to_numpy()
             wanted = batch["places"]
             bounds = wanted.offsets.to_numpy().astype(np.int64)
             anchors, places, splits = (x.to_numpy(zero_copy_only=False) for x in wanted.values.flatten())
@@ -182,26 +189,26 @@ def fetcher(symbols: Callable, values_of: Callable, window: int):
                 values, edges = values_of(data, at)
                 a, b = bounds[lo], bounds[hi]
                 anchor, place, split = anchors[a:b], places[a:b], splits[a:b].astype(bool)
-                start, count, tag = unpack(place)
+                start, count = unpack(place)
                 row = np.repeat(np.arange(hi - lo), np.diff(bounds[lo : hi + 1]))
-                doc, begin = ids[lo + row], edges[row] + start
+                doc, tag, begin = ids[lo + row], tags[lo + row], edges[row] + start
                 length = np.where(split, 0, (count + window - 1) * values.itemsize)
                 offsets = np.append(0, np.cumsum(length[~split])).astype(np.int32)
                 content = values.view(np.uint8)[ranges(begin * values.itemsize, length)]
                 content = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(content)])
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[~split]), pa.array(np.zeros(len(content), np.int64)), pa.array(doc[~split]), pa.array(place[~split]), content], names)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor[~split]), pa.array(np.zeros(len(content), np.int64)), pa.array(doc[~split]), pa.array(tag[~split]), pa.array(place[~split]), content], names)
                 if split.any():
                     each = np.repeat(np.flatnonzero(split), count[split])
                     at_window = ranges(begin[split], count[split])
                     whole = run_hash(rolling(symbols(data, at)[0], window), window, at_window)
-                    spots = pack(start[each] + at_window - begin[each], 1, tag[each])
-                    yield pa.RecordBatch.from_arrays([pa.array(mixed(whole ^ anchor[each].view(np.uint64)).view(np.int64)), pa.array(mixed(whole).view(np.int64)), pa.array(doc[each]), pa.array(spots), pa.nulls(len(each), pa.binary())], names)
+                    spots = pack(start[each] + at_window - begin[each], 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(mixed(whole ^ anchor[each].view(np.uint64)).view(np.int64)), pa.array(mixed(whole).view(np.int64)), pa.array(doc[each]), pa.array(tag[each]), pa.array(spots), pa.nulls(len(each), pa.binary())], names)
 
     return run
 
 
 def settler(by_document: bool, examine: Callable):
-    """Rows of fetcher, those without content first, each kind sorted by anchor, to (doc_id, place) of repeated runs."""
+    """Rows of fetcher, those without content first, each kind sorted by anchor, to (doc_id, tag, place) of repeated runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = iter(batches)
@@ -217,7 +224,7 @@ def settler(by_document: bool, examine: Callable):
 
         for found in finder(by_document)(windows()):
             found = found.filter(found["repeated"])
-            yield found.select(["doc_id", "place"])
+            yield found.select(["doc_id", "tag", "place"])
         yield from examine(chain(rest, batches))
 
     return run
@@ -253,27 +260,28 @@ def repeated_places(docs: DataFrame, symbols: Callable, values_of: Callable, win
     """(doc_id, tag, places): for each document the runs of windows that occur earlier, as places of runs.
 
     docs: identified(). symbols hash well; values_of gives what the contents hold. examine(batches of (anchor, doc_id,
-    place, content) sorted by anchor) gives (doc_id, place) rows. An anchor with more than most_segments different
+    tag, place, content) sorted by anchor) gives (doc_id, tag, place) rows. An anchor with more than most_segments different
     segments would be too much for one task: its segments are split into windows, which are compared by 128 bits of hash.
     """
-    tag = F.col("place").bitwiseAND((1 << TAG_BITS) - 1)
+    if window >> COUNT_BITS:
+        raise ValueError(f"a window of {window} symbols is too long: a place counts up to {(1 << COUNT_BITS) - 1}")
     segmented = docs.mapInArrow(segmenter(symbols, window, k, by_document), SEGMENT)
     found = stage(segmented.repartition("anchor").sortWithinPartitions("anchor", "segment", "doc_id", "place").mapInArrow(finder(by_document), FOUND), "found")
-    asked = found.where("not repeated").select("anchor", "doc_id", "place")
+    asked = found.where("not repeated").select("anchor", "doc_id", "tag", "place")
     hot = asked.groupBy("anchor").count().where(F.col("count") > most_segments).select("anchor", F.lit(True).alias("split"))
     asked = asked.withColumn("split", F.lit(False)) if hot.isEmpty() else asked.join(hot, "anchor", "left").withColumn("split", F.coalesce("split", F.lit(False)))
-    listed = asked.groupBy("doc_id", tag.alias("tag")).agg(F.collect_list(F.struct("anchor", "place", "split")).alias("places"))
-    contents = docs.join(listed, ["doc_id", "tag"]).select("doc_id", "text", "places").mapInArrow(fetcher(symbols, values_of, window), f"{SEGMENT}, content binary")
+    listed = asked.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("anchor", "place", "split")).alias("places"))
+    contents = docs.join(listed, ["doc_id", "tag"]).select("doc_id", "tag", "text", "places").mapInArrow(fetcher(symbols, values_of, window), f"{SEGMENT}, content binary")
     sorted_contents = contents.repartition("anchor").sortWithinPartitions(F.col("content").isNotNull(), "anchor", "segment", "doc_id", "place")
-    examined = sorted_contents.mapInArrow(settler(by_document, examine), "doc_id long, place long")
-    return found.where("repeated").select("doc_id", "place").unionByName(examined).groupBy("doc_id", tag.alias("tag")).agg(F.collect_list("place").alias("places"))
+    examined = sorted_contents.mapInArrow(settler(by_document, examine), "doc_id long, tag long, place long")
+    return found.where("repeated").select("doc_id", "tag", "place").unionByName(examined).groupBy("doc_id", "tag").agg(F.collect_list("place").alias("places"))
 
 
 def covered(places: pa.Array, lo: int, hi: int, bounds: np.ndarray, window: int) -> np.ndarray:
     """Whether each symbol of the rows [lo, hi) of a slice lies in a repeated window; bounds are the slice's row bounds."""
     change = np.zeros(bounds[-1] + 1, np.int32)
     at = places.offsets.to_numpy().astype(np.int64)
-    start, count, _ = unpack(places.values.to_numpy(zero_copy_only=False)[at[lo] : at[hi]])
+    start, count = unpack(places.values.to_numpy(zero_copy_only=False)[at[lo] : at[hi]])
     begin = bounds[np.repeat(np.arange(hi - lo), np.diff(at[lo : hi + 1]))] + start
     np.add.at(change, begin, 1)
     np.add.at(change, begin + count + window - 1, -1)

@@ -55,6 +55,34 @@ def test_periodic_words(spark, most):
     assert got == earlier_words(rows, 6)
 
 
+def test_rows_without_id_are_told_apart_by_the_whole_hash(spark):
+    """Two different texts without doc_id whose hashes agree in the low 26 bits."""
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), F.hex(F.xxhash64("id", F.lit(i)))) for i in range(20)])
+    drawn = spark.range(60_000).select(text.alias("text")).withColumn("low", F.xxhash64("text").bitwiseAND((1 << 26) - 1))
+    first, second = drawn.groupBy("low").agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").orderBy("low").first().texts[:2]
+    docs = table(spark, [(1, first), (None, first), (None, second)])
+    by_bytes = {(r.doc_id, bytes(r.kept).decode()) for r in suffix_dedup(docs).collect()}
+    assert by_bytes == {(1, first), (None, ""), (None, second)}
+    assert {(r.doc_id, r.kept) for r in substring_dedup(docs).collect()} == by_bytes
+    assert {(r.doc_id, r.text) for r in deduplicate(docs).collect()} == {(1, first), (None, second)}
+    both = table(spark, [(None, first), (None, second)])
+    assert {r.text for r in deduplicate(both).collect()} == {first, second}
+    near = table(spark, [(None, first * 4), (None, second * 4), (None, first * 4 + " x"), (None, second * 4 + " x")])
+    assert [r.n_links for r in similar(near).collect()] == [1] * 4
+
+
+def test_long_windows(spark):
+    """A segment of a window of 200 bytes has more than 127 windows."""
+    draw = random.Random(5)
+    text = "".join(draw.choice("abcdefgh") for _ in range(2000))
+    rows = [(1, text), (2, "x" + text[100:1500] + "y" + text[300:560]), (3, text[700:])]
+    for most in (16_384, 2):
+        got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup(table(spark, rows), length=200, most_segments=most).collect()}
+        assert got == earlier_bytes(rows, 200)
+    with pytest.raises(ValueError):
+        suffix_dedup(table(spark, rows), length=1 << 24)
+
+
 def test_repeated_rows_and_null_ids(spark):
     text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen " * 2
     rows = [(1, text), (1, text), (None, text), (None, None)]
