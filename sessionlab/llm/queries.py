@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sessionlab.llm.chosen_path import similar
 from sessionlab.llm.context_tree import context_tree_scores
 from sessionlab.llm.decontaminate import leaks
+from sessionlab.llm.golomb_dedup import EXACT_SQL, exact_dedup
 from sessionlab.llm.html_extract import extract
 from sessionlab.llm.language_id import language_id
 from sessionlab.llm.line_dedup import LINE_SQL, line_dedup
+from sessionlab.llm.pattern_tree import DIVERGENCE_SQL, divergence
 from sessionlab.llm.piecewise import fingerprint_neighbours
 from sessionlab.llm.sentencepieces import encode, read_model
 from sessionlab.llm.substring_dedup import substring_dedup
 from sessionlab.llm.suffix_dedup import suffix_dedup
+from sessionlab.llm.vantage_point import CLUSTER_SQL, centroid_clusters
 
 #: Where the public vocabularies lie; read on the driver only.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -89,3 +92,18 @@ def op9(spark, sf_dir):
 @query("op7_context_tree")
 def op7(spark, sf_dir):
     return context_tree_scores(table(spark, sf_dir, "documents"))
+
+
+@query("op11_centroid_clustering", CLUSTER_SQL)
+def op11(spark, sf_dir):
+    return centroid_clusters(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_exact_dedup", EXACT_SQL)
+def op12(spark, sf_dir):
+    return exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_divergence", DIVERGENCE_SQL)
+def op13(spark, sf_dir):
+    return divergence(table(spark, sf_dir, "documents"))
