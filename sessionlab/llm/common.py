@@ -68,11 +68,11 @@ def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, in
         lo = hi
 
 
-def word_spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+; a row's end also ends a word."""
+def word_spans(data: np.ndarray, at: np.ndarray, outside: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words, runs of bytes that are not `outside` ([^\\x20\\x09-\\x0D]+); a row's end also ends a word."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = ~SPACES[data]
+    inside = ~outside[data]
     starts = inside.copy()
     starts[1:] &= ~inside[:-1]
     edges = at[1:-1]

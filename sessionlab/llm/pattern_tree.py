@@ -19,10 +19,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from sessionlab.llm.common import ranges, stage
+from sessionlab.llm.common import ranges, stage, text_slices, word_spans
 
+#: Terms are runs of ASCII letters and of bytes above 0x7F.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+LOWERED = np.arange(256, dtype=np.uint8)
+LOWERED[ord("A") : ord("Z") + 1] += 32
+NO_TERM = np.arange(256) < 0x80
+NO_TERM[ord("a") : ord("z") + 1] = False
+#: Bytes of text that are counted at once.
+TEXT_SLICE = 1 << 24
 SCALE = 1_000_000_000
 #: Node-ancestor combinations that are worked out at once in a task.
 TOGETHER = 1 << 18
@@ -38,13 +44,32 @@ def apart(p: str, q: str) -> str:
     return f"((({p}) - ({q})) * (({p}) - ({q})) DIV (({p}) + ({q})))"
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of each slice of (lang, source, text) rows."""
+    for batch in batches:
+        keys = batch.select(["lang", "source"]).to_pandas()
+        group, first = keys.groupby(["lang", "source"], sort=False).ngroup().to_numpy(), keys.drop_duplicates().index.to_numpy()
+        for lo, hi, data, at in text_slices(batch["text"], TEXT_SLICE):
+            low = LOWERED[data]
+            starts, ends = word_spans(low, at, NO_TERM)
+            if not len(starts):
+                continue
+            letters, offsets = low[~NO_TERM[low]], np.concatenate([[0], np.cumsum(ends - starts)])
+            terms = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(letters)).dictionary_encode()
+            size = len(terms.dictionary)
+            in_row, n = np.unique((np.searchsorted(at, starts, "right") - 1) * size + terms.indices.to_numpy(), return_counts=True)
+            key = group[lo + in_row // size] * size + in_row % size
+            order = np.argsort(key, kind="stable")
+            key, here = np.unique(key[order], return_index=True)
+            who = pa.array(first[key // size])
+            yield pa.RecordBatch.from_arrays([batch["lang"].take(who), batch["source"].take(who), terms.dictionary.take(pa.array(key % size)).cast(pa.string()),
+                                              pa.array(np.add.reduceat(n[order], here)), pa.array(np.diff(here, append=len(order)))], ["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences, and documents that contain the term; both combined before the shuffle."""
-    terms = docs.select("lang", "source", F.regexp_extract_all(F.translate("text", UPPER, LOWER), F.lit(TERM), 0).alias("terms"))
-    once = lambda n, docs: lambda t: F.struct(t.alias("term"), F.lit(n).alias("n"), F.lit(docs).alias("docs"))
-    each = F.concat(F.transform("terms", once(1, 0)), F.transform(F.array_distinct("terms"), once(0, 1)))
-    return (terms.select("lang", "source", F.explode(each).alias("t")).groupBy("lang", "source", F.col("t.term").alias("term"))
-            .agg(F.sum("t.n").alias("n"), F.sum("t.docs").alias("docs")))
+    parts = docs.select("lang", "source", "text").mapInArrow(counted, "lang string, source string, term string, n bigint, docs bigint")
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def tree_nodes(lengths: np.ndarray, nodes: tuple[np.ndarray, ...], rows: np.ndarray, times: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
