@@ -153,7 +153,9 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
 
     rows = entries.groupBy("lang", "term").agg(F.array_sort(F.collect_list(F.struct("source", "p", "zero"))).alias("row"))
     paths = rows.groupBy("lang", "row").agg(F.count("*").alias("times")).where(F.size("row") > 1)
-    tree = paths.repartitionByRange("lang", "row").sortWithinPartitions("lang", "row").mapInArrow(corrections, "lang string, a string, b string, value bigint")
+    # ranges by the first entries of a row: short keys, as Spark samples them to the driver; the hash splits a hot beginning
+    begin = [F.expr(f"get(row, {i}).{c}") for i in range(3) for c in ("source", "p")]
+    tree = paths.repartitionByRange("lang", *begin, F.xxhash64("row")).sortWithinPartitions("lang", "row").mapInArrow(corrections, "lang string, a string, b string, value bigint")
 
     one = groups.select("lang", F.col("source").alias("a"), F.col("zero").alias("a_zero"), "v")
     other = groups.select("lang", F.col("source").alias("b"), F.col("zero").alias("b_zero"))
