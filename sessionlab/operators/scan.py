@@ -17,7 +17,11 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 SLAB = "_slab"
 
@@ -170,6 +174,108 @@ def halo(df: DataFrame, keys: list[str], at: str, width: int, back: int = 0, ahe
             .selectExpr(*df.columns, SLAB, f"_own_slab = {SLAB} AS _own").repartition(*keys, SLAB))
 
 
+def by_group(df: DataFrame, marks: list[str], order: str, fn, schema: StructType) -> DataFrame:
+    """``fn(table, bounds)`` over sorted whole groups, many small ones at a time: group g is rows bounds[g] to bounds[g + 1]."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            edges = starts(table)
+            held = table.slice(edges[-1])
+            if len(edges) > 1:
+                yield from fn(table.slice(0, edges[-1]), edges).to_batches()
+        if held is not None and len(held):
+            yield from fn(held, np.append(starts(held), len(held))).to_batches()
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for k in marks:
+            codes = table[k].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+            new[1:] |= codes[1:] != codes[:-1]
+        return np.flatnonzero(new)
+
+    return df.repartition(*marks).sortWithinPartitions(*marks, order).mapInArrow(run, schema)
+
+
+def chain(df: DataFrame, keys: list[str], at: str, hop: str, rows: int = 65536) -> DataFrame:
+    """df with ``_on``: whether the row lies on the chain that starts at position 1 of its key and goes on by ``hop`` rows.
+
+    ``at`` numbers the rows of a key from 1; every hop is positive; no key is null. Inside a slab, chains are followed by
+    pointer doubling: every row takes its successor's successor until all are outside. Where the chain enters a slab
+    depends on all rows before it, so each slab first tells its different exits (chains that meet stay together, so these
+    are few), then answers for the entries that the slab before offers; only these pairs are followed per key. A slab holds
+    at least the longest hop.
+    """
+    df = cut(df)
+    longest, last = df.agg(F.max(hop), F.max(at)).first()
+    width = max(rows, longest or 1)
+    marks = [*keys, SLAB]
+    placed = df.withColumn(SLAB, F.floor((F.col(at) - 1) / width).cast("long"))
+    fields = [f for f in placed.schema.fields if f.name in keys]
+    slab, entry, exit_ = (StructField(n, LongType()) for n in (SLAB, "_entry", "_exit"))
+
+    def ends_of(table: pa.Table, bounds: np.ndarray) -> np.ndarray:
+        """Where the chain from each row leaves its group, as an offset behind the group's end."""
+        n = len(table)
+        end = np.repeat(bounds[1:], np.diff(bounds))
+        to = np.arange(n) + table[hop].to_numpy()
+        over = to - end
+        to = np.where(over < 0, to, np.arange(n))
+        while (inside := over < 0).any():
+            over[inside], to[inside] = over[to[inside]], to[to[inside]]
+        return over
+
+    def exits(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        some = np.unique(np.stack([group, ends_of(table, bounds)], axis=1), axis=0)
+        firsts = table.take(pa.array(bounds[:-1][some[:, 0]]))
+        return pa.table([*[firsts[k] for k in keys], pa.array(firsts[SLAB].to_numpy() + 1), pa.array(some[:, 1])], [*keys, SLAB, "_entry"])
+
+    def answer(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        over, first = ends_of(table, bounds), table.take(pa.array(bounds[:-1]))
+        group, asked = [], []
+        for g, (number, entries) in enumerate(zip(first[SLAB].to_pylist(), first["_entries"].to_pylist())):
+            mine = [e for e in ({0} if number == 0 else set()) | set(entries or []) if e < bounds[g + 1] - bounds[g]]
+            group += [g] * len(mine)
+            asked += mine
+        group, asked = np.array(group, np.int64), np.array(asked, np.int64)
+        picked = first.take(pa.array(group))
+        return pa.table([*[picked[k] for k in keys], picked[SLAB], pa.array(asked), pa.array(over[bounds[group] + asked])], [*keys, SLAB, "_entry", "_exit"])
+
+    def follow(pairs: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip(zip(pairs[SLAB], pairs["_entry"]), pairs["_exit"]))
+        out, here = [], (0, 0)
+        while here in known:
+            out.append(here)
+            here = here[0] + 1, known[here]
+        return pairs[keys].head(1).merge(pd.DataFrame(out, columns=[SLAB, "_entry"]), how="cross")
+
+    def mark(table: pa.Table, bounds: np.ndarray) -> pa.Table:
+        n, size = len(table), np.diff(bounds)
+        end = np.repeat(bounds[1:], size)
+        to = np.append(np.arange(n) + table[hop].to_numpy(), n)
+        to[:-1][to[:-1] >= end] = n
+        enters = table["_entry"].to_numpy()[bounds[:-1]]
+        on = np.zeros(n + 1, bool)
+        on[(bounds[:-1] + enters)[(enters >= 0) & (enters < size)]] = True
+        while (to[:-1] < n).any():
+            on[to[on]] = True
+            to = to[to]
+        return table.drop_columns([SLAB, "_entry"]).append_column("_on", pa.array(on[:-1]))
+
+    if (last or 0) <= width:
+        entered = placed.withColumn("_entry", F.lit(0).cast("long"))
+    else:
+        narrow = placed.select(*marks, at, hop)
+        offered = by_group(narrow, marks, at, exits, StructType([*fields, slab, entry])).groupBy(*marks).agg(F.collect_list("_entry").alias("_entries"))
+        pairs = by_group(narrow.join(offered, marks, "left"), marks, at, answer, StructType([*fields, slab, entry, exit_]))
+        entries = pairs.groupBy(*keys).applyInPandas(follow, StructType([*fields, slab, entry]))
+        entered = placed.join(entries, marks, "left").withColumn("_entry", F.coalesce("_entry", F.lit(-1)))
+    return by_group(entered.select(*df.columns, SLAB, "_entry"), marks, at, mark, StructType([*df.schema.fields, StructField("_on", BooleanType())]))
+
+
 def sql(text: str, **frames: DataFrame) -> DataFrame:
     """SQL over DataFrames named as ``{name}`` in the text."""
     return next(iter(frames.values())).sparkSession.sql(text, **frames)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from .folds import BudgetFold, EpisodeFold, fold_sorted
-from .scan import ordinal_slab, slabs, sql, step, carry_here
+from .scan import SLAB, carry_here, chain, cut, halo, ordinal_slab, running_sum, slabs, sql, step
 from .segments import MS, segmented
 
 WINDOW_NS, WINDOWS, GUARD_NS = 5_000 * MS, 34, 5_000 * MS
@@ -15,16 +15,30 @@ def timer_episodes(obs: DataFrame, bucket_ns: int = WINDOW_NS, buckets: int = WI
                    gap_ns: int = 750 * MS, queue_ns: int = 100 * MS, rows: int = 65536) -> DataFrame:
     """Uninterrupted episodes: guard plus equal half-open buckets; ``counts`` holds one count per bucket.
 
-    Each segment is folded on its own.  Segment starts chain (the ending move starts the next episode),
-    which no fixed grid reproduces; the fold only does searches and counts on sorted arrays.
+    The move that ends an episode starts the next, which no fixed grid reproduces: every move of a segment knows the first
+    move past an episode that would start with it, and the true starts are a chain of such hops (``scan.chain``).
+    Only unclear stretches are folded in order.
     """
+    keys, span = ["session", "segment"], guard_ns + bucket_ns * buckets
     rows_in, unclear = segmented(obs, gap_ns, queue_ns, rows, attacks=False)
-    marked = unclear.withColumn("_redo", F.lit(True))
-    units = (rows_in.join(marked, ["session", "stretch"], "left").filter("inside OR _redo")
-             .selectExpr("session", "CASE WHEN _redo THEN -2 - stretch ELSE segment END AS unit", "ordinal", "ns", "packet"))
-    found = fold_sorted(units, ["session", "unit"], ["ordinal"],
-                        lambda: EpisodeFold(bucket_ns, buckets, guard_ns, gap_ns),
-                        "session bigint, start_ns bigint, counts array<bigint>, end_ns bigint")
+    unclear = cut(unclear)
+    moves = rows_in.filter("inside").join(unclear, ["session", "stretch"], "left_anti").select(*keys, "ordinal", "ns")
+    placed = step(slabs(moves, ordinal_slab(rows=rows)), keys, ["ordinal"], at=running_sum(F.lit(1))).drop(SLAB).withColumn("at", F.col("at").cast("long"))
+    need = halo(placed, keys, "ns", max(4 * span, 3_600_000 * MS), ahead=span)
+    past = F.max("at").over(W.partitionBy(*keys, SLAB).orderBy("ns").rangeBetween(0, span - 1))
+    hops = need.withColumn("hop", past - F.col("at") + 1).filter("_own").select(*keys, "ordinal", "ns", "at", "hop")
+    on = cut(chain(hops, keys, "at", "hop", rows))
+    starts = on.filter("_on").select(*keys, F.col("ns").alias("start_ns"), F.lead("ns").over(W.partitionBy(*keys).orderBy("at")).alias("end_ns")).filter("end_ns IS NOT NULL")
+    inside = step(slabs(on, ordinal_slab("at", rows)), keys, ["at"], True, start_ns=carry_here(F.expr("CASE WHEN _on THEN ns END")))
+    slot = F.floor((F.col("ns") - F.col("start_ns") - guard_ns) / bucket_ns).cast("int")
+    slots = inside.withColumn("slot", slot).filter("slot >= 0").groupBy(*keys, "start_ns", "slot").agg(F.count(F.lit(1)).alias("n"))
+    counted = slots.groupBy(*keys, "start_ns").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("n"))
+    found = starts.join(counted, [*keys, "start_ns"], "left").selectExpr(
+        "session", "start_ns", f"transform(sequence(0, {buckets - 1}), i -> coalesce(n[i], 0L)) AS counts", "end_ns")
+    if unclear.limit(1).count():
+        units = rows_in.join(unclear, ["session", "stretch"], "left_semi").selectExpr("session", "stretch AS unit", "ordinal", "ns", "packet")
+        found = found.unionByName(fold_sorted(units, ["session", "unit"], ["ordinal"], lambda: EpisodeFold(bucket_ns, buckets, guard_ns, gap_ns),
+                                              "session bigint, start_ns bigint, counts array<bigint>, end_ns bigint"))
     return score_episodes(found, bucket_ns, buckets, guard_ns)
 
 
