@@ -14,8 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import columns as C
 from .folds import ImpulseFold, fold_sorted
 from .scan import carry_here, cut, halo, ordinal_slab, running_max, running_sum, slabs, sql, step
-from .streaks import anchored_streak, sliding_streak
-from .timer import timer_budget
+from .streaks import sliding_streak
 
 MS = 1_000_000
 # 32-bit constants of the game, as the doubles they round to.
@@ -257,15 +256,15 @@ def reach_verdicts(obs: DataFrame, cfg: Reach = Reach()) -> DataFrame:
         f"CASE WHEN skip IS NULL AND NOT {late} THEN distance > {cfg.maximum_distance + cfg.distance_grace} END AS suspicious")
 
 
-def autoclicker_windows(obs: DataFrame, cfg: AutoClicker = AutoClicker()) -> DataFrame:
-    """Non-overlapping windows of attack intervals inside unbroken runs, with their regularity."""
+def autoclicker_steps(obs: DataFrame, cfg: AutoClicker = AutoClicker()) -> DataFrame:
+    """Usable attacks with the interval to the one before, and whether it joins the two in an unbroken run."""
     queue, gap = int(cfg.maximum_queue_ms * MS), int(cfg.maximum_gap_ms * MS)
     base = obs.filter("kind IN (1,2,3,4,7,10,14)").selectExpr(
         "session", "ordinal", "ns", "kind", "packet", "batch", "sampled_ns", "world",
         f"kind = 7 AND coalesce(available AND world <> '' AND sampled_ns - ns BETWEEN 0 AND {queue}, false) AS usable")
     # a run ends after the largest gap, so the previous attack and any break since are found in the halo
     need = halo(base, ["session"], "ns", cfg.slab_ms * MS, back=gap)
-    steps = sql(f"""
+    return sql(f"""
       WITH prior AS (SELECT *, last_value(CASE WHEN usable THEN struct(ns, ordinal, packet, batch, sampled_ns, world) END) IGNORE NULLS OVER earlier AS p,
           max(CASE WHEN NOT usable AND kind NOT IN (4, 14) THEN ordinal END) OVER earlier AS broken_at
         FROM {{need}} WINDOW earlier AS (PARTITION BY session, _slab ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
@@ -274,6 +273,11 @@ def autoclicker_windows(obs: DataFrame, cfg: AutoClicker = AutoClicker()) -> Dat
         coalesce(p.ordinal > coalesce(broken_at, -1) AND packet > p.packet AND batch > p.batch AND ns >= p.ns
           AND dt BETWEEN {cfg.least_gap_ms} AND {cfg.maximum_gap_ms} AND sampled_dt >= 0
           AND abs(dt - sampled_dt) <= {cfg.maximum_queue_ms} AND world = p.world, false) AS joined FROM spans""", need=need)
+
+
+def autoclicker_windows(obs: DataFrame, cfg: AutoClicker = AutoClicker()) -> DataFrame:
+    """Non-overlapping windows of attack intervals inside unbroken runs, with their regularity."""
+    steps = autoclicker_steps(obs, cfg)
     # position in the run: intervals counted so far minus those before the run began
     counted = step(slabs(steps, ordinal_slab()), ["session"], ["ordinal"], _n=running_sum(F.col("joined").cast("long")))
     run = step(counted.withColumn("_start", F.expr("CASE WHEN NOT joined THEN struct(_n, ordinal) END")), ["session"], ["ordinal"],
@@ -295,24 +299,41 @@ def autoclicker_windows(obs: DataFrame, cfg: AutoClicker = AutoClicker()) -> Dat
           AND cv <= {cfg.maximum_cv} AND mad <= {cfg.maximum_mad_ms} AS suspicious FROM spread""", parts=parts)
 
 
+#: How one rule keeps the last step's motion, and the parts of the rules: eligibility, measured value, bound, suspicion.
+ALONG = "sqrt(pow(mx - o.mx * drag * {0}, 2) + pow(mz - o.mz * drag * {0}, 2))"
+MOVEMENT_RULES = {
+    "speed": ("inputs AND (flat OR air)", ALONG.format("1"), "accel", "measured > bound + {horizontal}"),
+    "fly": ("air", "my", f"(o.my - 0.08D) * {DRAG_AIR_Y}D", "abs(measured - bound) > {vertical}"),
+    "noslow": ("inputs AND flat AND item AND p.item", ALONG.format("1"), "accel * sqrt(2D) * 0.2D", "measured > bound + {horizontal}"),
+    "nofall": ("air AND my < -0.03D AND o.my < -0.03D", "my", "0D", "ground"),
+    "keepsprint": (f"inputs AND flat AND hit_ns IS NOT NULL AND ns - hit_ns BETWEEN 0 AND {150 * MS} AND p.sprint AND sprint AND NOT item",
+                   ALONG.format("0.6D"), "accel / 1.3D", "measured > bound + {horizontal}"),
+}
+
+
 def movement_samples(obs: DataFrame, kind: str, cfg: Movement = Movement()) -> DataFrame:
     """Eligible steps of one movement rule with the measured value, its bound and the verdict."""
+    return movement_rule(movement_steps(obs, cfg), kind, cfg)
+
+
+def movement_rule(steps: DataFrame, kind: str, cfg: Movement = Movement()) -> DataFrame:
+    eligible, measured, bound, suspect = MOVEMENT_RULES[kind]
+    suspect = suspect.format(horizontal=cfg.horizontal_epsilon, vertical=cfg.vertical_epsilon)
+    return sql(f"""
+      WITH compared AS (SELECT *, gated AND coalesce(batch > batches, true) AND coalesce({eligible}, false) AS eligible,
+          {measured} AS measured, {bound} AS bound FROM {{steps}})
+      SELECT session, ordinal, ns, eligible, CASE WHEN eligible THEN measured END AS measured, CASE WHEN eligible THEN bound END AS bound,
+        CASE WHEN eligible THEN {suspect} WHEN NOT taken OR (linked AND NOT gated) THEN false END AS suspicious
+      FROM compared""", steps=steps)
+
+
+def movement_steps(obs: DataFrame, cfg: Movement = Movement()) -> DataFrame:
+    """The moves with what all movement rules read: gates, the motion of this step and the last, drag and acceleration."""
     queue, step_ns, grace = int(cfg.maximum_queue_ms * MS), int(cfg.maximum_step_ms * MS), cfg.grace_ms * MS
     need = halo(obs.filter("kind IN (1,2,3,7,10,11,12,14)"), ["session"], "ns", cfg.slab_ms * MS, back=grace + 4 * step_ns)
     flat_drag = f"{DRAG_AIR}D * friction"
     accel = f"CASE WHEN flat THEN speed * 1.3D * 0.16277136D / pow({flat_drag}, 3) ELSE 0.026D END"
     drag = f"CASE WHEN flat THEN {flat_drag} ELSE {DRAG_AIR}D END"
-    along = lambda keep: f"sqrt(pow(mx - o.mx * drag * {keep}, 2) + pow(mz - o.mz * drag * {keep}, 2))"
-    # eligibility, measured value, bound, suspicion of each rule
-    rules = {
-        "speed": ("inputs AND (flat OR air)", along(1), "accel", f"measured > bound + {cfg.horizontal_epsilon}"),
-        "fly": ("air", "my", f"(o.my - 0.08D) * {DRAG_AIR_Y}D", f"abs(measured - bound) > {cfg.vertical_epsilon}"),
-        "noslow": ("inputs AND flat AND item AND p.item", along(1), "accel * sqrt(2D) * 0.2D", f"measured > bound + {cfg.horizontal_epsilon}"),
-        "nofall": ("air AND my < -0.03D AND o.my < -0.03D", "my", "0D", "ground"),
-        "keepsprint": (f"inputs AND flat AND hit_ns IS NOT NULL AND ns - hit_ns BETWEEN 0 AND {150 * MS} AND p.sprint AND sprint AND NOT item",
-                       along("0.6D"), "accel / 1.3D", f"measured > bound + {cfg.horizontal_epsilon}"),
-    }
-    eligible, measured, bound, suspect = rules[kind]
     hit = (f"kind = 7 AND coalesce(available AND target_player AND sprint AND ping BETWEEN 0 AND 75"
            f" AND sampled_ns - ns BETWEEN 0 AND {queue}, false)")
     return sql(f"""
@@ -344,12 +365,9 @@ def movement_samples(obs: DataFrame, kind: str, cfg: Movement = Movement()) -> D
           CASE WHEN row_number() OVER (PARTITION BY session, _slab, hit.ordinal, gated AND coalesce(batch > batches, true) ORDER BY ordinal) = 1
             THEN hit.ns END AS hit_ns FROM batched),
       valued AS (SELECT * EXCEPT (flat, both_flat), both_flat AS flat FROM context WHERE _own),
-      bounded AS (SELECT *, {accel} AS accel, {drag} AS drag FROM valued),
-      compared AS (SELECT *, gated AND coalesce(batch > batches, true) AND coalesce({eligible}, false) AS eligible,
-          {measured} AS measured, {bound} AS bound FROM bounded)
-      SELECT session, ordinal, ns, eligible, CASE WHEN eligible THEN measured END AS measured, CASE WHEN eligible THEN bound END AS bound,
-        CASE WHEN eligible THEN {suspect} WHEN NOT taken OR (linked AND NOT gated) THEN false END AS suspicious
-      FROM compared""", need=need)
+      bounded AS (SELECT *, {accel} AS accel, {drag} AS drag FROM valued)
+      SELECT session, ordinal, ns, mx, my, mz, o, p, ground, item, sprint, flat, air, inputs, hit_ns, batch, batches, gated, taken, linked, accel, drag
+      FROM bounded""", need=need)
 
 
 def hitbox_verdicts(obs: DataFrame, cfg: HitBoxes = HitBoxes()) -> DataFrame:
@@ -411,46 +429,3 @@ def velocity_samples(obs: DataFrame, cfg: Velocity = Velocity(), rows: int = 655
     units = step(slabs(base, ordinal_slab(rows=rows)), ["session"], ["ordinal"], unit=carry_here(F.expr(resets)))
     return fold_sorted(units.withColumn("unit", F.coalesce("unit", F.lit(-1))), ["session", "unit"], ["ordinal"],
                        lambda: ImpulseFold(cfg.epsilon), "session bigint, ordinal bigint, ns bigint, token bigint, suspicious boolean")
-
-
-def _findings(df: DataFrame, check: str, message: str, level: str = "suspicious") -> DataFrame:
-    return df.selectExpr("session", "ordinal", "ns", f"'{level}' AS level", f"'{check}' AS check", f"'{message}' AS message")
-
-
-def detect_all(obs: DataFrame, cfg: DetectorConfig = DetectorConfig()) -> DataFrame:
-    """Findings of every enabled detector; (session, ordinal) gives their order."""
-    parts: list[DataFrame] = []
-    on = cfg.enabled
-    # session boundaries make every check forget its samples
-    ends = obs.filter("kind IN (1,2,3)").selectExpr("session", "ordinal", "ns", "false AS suspicious")
-    streak = lambda v, window_ms, needed: anchored_streak(v.filter("suspicious IS NOT NULL").select(*ends.columns).unionByName(ends), window_ms, needed)
-    if "fastbreak" in on:
-        parts.append(_findings(fastbreak_alerts(fastbreak_verdicts(obs, cfg.fastbreak, resets=True), cfg.fastbreak).filter("alert"),
-                               "fastbreak.request.v1", "repeated_early_completion_requests"))
-    if "reach" in on:
-        v = reach_verdicts(obs, cfg.reach).filter("suspicious IS NOT NULL")
-        parts.append(_findings(streak(v, cfg.reach.sample_window_ms, cfg.reach.alert_after),
-                               "reach.stationary.v1", "repeated_out_of_range_attack_requests"))
-    if "autoclicker" in on:
-        v = autoclicker_windows(obs, cfg.autoclicker)
-        parts.append(_findings(streak(v, cfg.autoclicker.sample_window_ms, cfg.autoclicker.alert_after),
-                               "autoclicker.cadence.v1", "repeated_regular_attack_cadence"))
-    # Names the findings carry.
-    names = {"speed": "speed.plain.v1", "fly": "fly.airborne.v1", "noslow": "noslow.item_input.v1",
-             "nofall": "nofall.ground_claim.v1", "keepsprint": "keepsprint.attack_retention.v1"}
-    for kind, check in names.items():
-        if kind in on:
-            v = movement_samples(obs, kind, cfg.movement).filter("suspicious IS NOT NULL")
-            parts.append(_findings(streak(v, 10000, cfg.movement.alert_after), check, "repeated_movement_model_contradiction"))
-    if "hitboxes" in on:
-        v = hitbox_verdicts(obs, cfg.hitboxes).filter("suspicious IS NOT NULL")
-        parts.append(_findings(streak(v, 10000, cfg.hitboxes.alert_after), "hitboxes.stable_ray.v1", "repeated_stable_aim_target_box_misses"))
-    if "velocity" in on:
-        parts.append(_findings(streak(velocity_samples(obs, cfg.velocity), 15000, cfg.velocity.alert_after),
-                               "velocity.response.v1", "repeated_unexplained_impulse_response"))
-    if "timer" in on:
-        parts.append(_findings(timer_budget(obs), "timer.budget.v1", "sustained_excess_client_tick_budget"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

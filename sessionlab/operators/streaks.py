@@ -36,15 +36,21 @@ def anchored_streak(samples: DataFrame, window_ms: float, needed: int, rows: int
     return anchored_streaks(timed, KEY, needed, rows)
 
 
-def sliding_streak(samples: DataFrame, window_ms: float, needed: int, rows: int = 65536) -> DataFrame:
-    """Alert on every ``needed``-th suspicious sample of a run; a longer step or a clean sample ends the run."""
-    framed = step(slabs(samples.select("session", "ordinal", "ns", "suspicious"), ordinal_slab(rows=rows)), KEY, ORDER,
+def sliding_streaks(samples: DataFrame, keys: list[str], rows: int = 65536) -> DataFrame:
+    """``streak`` of each suspicious sample in its run, and an alert at every ``needed``-th; a step longer than
+    ``window_ns`` or a clean sample ends the run."""
+    framed = step(slabs(samples.select(*keys, "ordinal", "ns", "suspicious", "window_ns", "needed"), ordinal_slab(rows=rows)), keys, ORDER,
                   _before=carry(F.col("ns")), _n=running_sum(F.col("suspicious").cast("long")))
-    late = ~F.coalesce((F.col("ns") - F.col("_before")).between(0, int(window_ms * 1e6)), F.lit(False))
-    runs = step(framed.withColumn("_late", late), KEY, ORDER,
+    late = ~F.coalesce((F.col("ns") - F.col("_before")).between(F.lit(0), F.col("window_ns")), F.lit(False))
+    runs = step(framed.withColumn("_late", late), keys, ORDER,
                 _clean=carry(F.when(~F.col("suspicious"), F.col("_n"))),
                 _run=carry(F.when(F.col("_late"), F.col("_n") - F.col("suspicious").cast("long"))))
     start = F.greatest(F.coalesce("_clean", F.lit(0)), F.coalesce("_run", F.lit(0)),
                        F.when(F.col("_late"), F.col("_n") - 1).otherwise(F.lit(0)))
     return (runs.filter("suspicious").withColumn("streak", F.col("_n") - start)
-            .select("session", "ordinal", "ns", "streak", (F.col("streak") % needed == 0).alias("alert")))
+            .select(*keys, "ordinal", "ns", "streak", (F.col("streak") % F.col("needed") == 0).alias("alert")))
+
+
+def sliding_streak(samples: DataFrame, window_ms: float, needed: int, rows: int = 65536) -> DataFrame:
+    """``sliding_streaks`` of one check over sessions."""
+    return sliding_streaks(samples.withColumns({"window_ns": F.lit(int(window_ms * 1e6)), "needed": F.lit(needed)}), KEY, rows)

@@ -73,13 +73,18 @@ def assess_episodes(episodes: DataFrame, reference: DataFrame, alpha: float = 0.
       FROM judged""", episodes=episodes, ref=ref)
 
 
+def budget_moves(obs: DataFrame, queue_ms: float = 100) -> DataFrame:
+    """Moves and what ends a budget, with whether the row can be counted."""
+    return obs.filter("kind IN (1,2,3,10,11,14)").selectExpr(
+        "session", "ordinal", "ns", "kind", "packet",
+        f"kind = 11 AND coalesce(available AND world <> '' AND sampled_ns - ns BETWEEN 0 AND {int(queue_ms * 1e6)}, false) AS usable")
+
+
 def timer_budget(obs: DataFrame, credit_ms: float = 250, lead_ms: float = 250, sustain_ms: float = 500,
                  warmup_ms: float = 1000, gap_ms: float = 750, queue_ms: float = 100, cost_ms: float = 50,
                  least_packets: int = 40, least_ms: float = 2000, least_over: int = 8, rows: int = 65536) -> DataFrame:
     """Alerts of the client tick budget.  Units end at boundaries and unusable rows, where it is forgotten anyway."""
-    base = obs.filter("kind IN (1,2,3,10,11,14)").selectExpr(
-        "session", "ordinal", "ns", "kind", "packet",
-        f"kind = 11 AND coalesce(available AND world <> '' AND sampled_ns - ns BETWEEN 0 AND {int(queue_ms * 1e6)}, false) AS usable")
+    base = budget_moves(obs, queue_ms)
     reset = step(slabs(base, ordinal_slab(rows=rows)), ["session"], ["ordinal"],
                unit=carry_here(F.expr("CASE WHEN NOT usable THEN ordinal END")))
     units = reset.filter("usable").withColumn("unit", F.coalesce("unit", F.lit(-1)))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import detectors as X
+from ..operators import checks, detectors as X
 from ..operators.scan import cut
 from ..operators.streaks import anchored_streak
 from . import driver as D
@@ -212,4 +212,4 @@ def q_detect_all(spark, sf):
     combat = cut(D.view(spark, sf, "combat"))
     cfg = X.DetectorConfig(enabled=("reach", "autoclicker", "hitboxes"), reach=REACH, autoclicker=CLICK, hitboxes=HIT)
     moving = X.DetectorConfig(enabled=("fly", "speed"), movement=MOVE)
-    return X.detect_all(combat, cfg).unionByName(X.detect_all(cut(D.view(spark, sf, "motion")), moving))
+    return checks.detect_all(combat, cfg).unionByName(checks.detect_all(cut(D.view(spark, sf, "motion")), moving))

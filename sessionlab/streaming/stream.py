@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import schemas as S
-from ..operators.detectors import DetectorConfig, detect_all
+from ..operators.checks import detect_all
+from ..operators.detectors import DetectorConfig
 from ..operators.segments import BOUNDARY_KINDS
 from ..operators.window_fold import WindowRuns
 
