@@ -23,13 +23,12 @@ from .streaks import anchored_streaks, sliding_streaks
 from .timer import budget_moves, timer_budget
 
 FINDING = "session bigint, ordinal bigint, ns bigint, epoch_ms bigint, server_tick bigint, player string, level string, check string, message string, evidence map<string,string>"
-SAMPLE = "session bigint, check string, ordinal bigint, ns bigint, suspicious boolean, batch bigint, value double, packet bigint, before bigint"
 
 
 @dataclass(frozen=True)
 class Check:
     """kinds: what it reads. back_ns, ahead_ns: how far the sample of an event depends on others. samples: from admitted
-    observations to (session, ordinal, ns, suspicious and the fields of SAMPLE that ``memory`` reads). memory: what is
+    observations to (session, ordinal, ns, suspicious, and for some memories a value or packet). memory: what is
     remembered beyond that reach: ``anchored`` or ``sliding`` streaks, ``cadence`` (windows of intervals, then a streak) or
     ``budget`` (the tick balance itself)."""
 
@@ -64,7 +63,7 @@ def registry(cfg: DetectorConfig) -> dict[str, Check]:
         "reach": Check(NAMES["reach"], MESSAGES["reach"], (*BOUNDS, S.ATTACK, S.COMBAT, S.TELEPORT, S.CORRECTION), reach.history_ms * MS + int((reach.maximum_frame_gap_ms + reach.maximum_queue_ms) * MS),
                        lambda o: own(reach_verdicts(o, reach)), reach.sample_window_ms, reach.alert_after),
         "autoclicker": Check(NAMES["autoclicker"], MESSAGES["autoclicker"], (*BOUNDS, S.TICK, S.ATTACK, S.TELEPORT, S.CORRECTION), int(click.maximum_gap_ms * MS),
-                             lambda o: autoclicker_steps(o, click).selectExpr("session", "ordinal", "ns", "joined AS suspicious", "dt AS value", "before_ordinal AS before"), click.sample_window_ms, click.alert_after, "cadence"),
+                             lambda o: autoclicker_steps(o, click).selectExpr("session", "ordinal", "ns", "joined AS suspicious", "dt AS value"), click.sample_window_ms, click.alert_after, "cadence"),
         "hitboxes": Check(NAMES["hitboxes"], MESSAGES["hitboxes"], (S.ATTACK, S.COMBAT), (hit.history_ms + hit.slack_ms + hit.frame_gap_ms) * MS + hit.maximum_queue_ms * MS,
                           lambda o: own(hitbox_verdicts(o, hit)), 10_000, hit.alert_after, ahead_ns=(hit.expire_ms + hit.maximum_queue_ms) * MS),
         "velocity": Check(NAMES["velocity"], MESSAGES["velocity"], (*MOVED, S.IMPULSE_ACK), ImpulseFold.LIMIT_NS + ImpulseFold.MOVES * ImpulseFold.STEP_NS, lambda o: own(velocity_samples(o, push)), 15_000, push.alert_after),

@@ -80,9 +80,11 @@ def budget_moves(obs: DataFrame, queue_ms: float = 100) -> DataFrame:
         f"kind = 11 AND coalesce(available AND world <> '' AND sampled_ns - ns BETWEEN 0 AND {int(queue_ms * 1e6)}, false) AS usable")
 
 
-def timer_budget(obs: DataFrame, credit_ms: float = 250, lead_ms: float = 250, sustain_ms: float = 500,
-                 warmup_ms: float = 1000, gap_ms: float = 750, queue_ms: float = 100, cost_ms: float = 50,
-                 least_packets: int = 40, least_ms: float = 2000, least_over: int = 8, rows: int = 65536) -> DataFrame:
+#: The budget's settings (``BudgetFold``).
+BUDGET = {"credit_ms": 250, "lead_ms": 250, "sustain_ms": 500, "warmup_ms": 1000, "gap_ms": 750, "cost_ms": 50, "least_packets": 40, "least_ms": 2000, "least_over": 8}
+
+
+def timer_budget(obs: DataFrame, queue_ms: float = 100, rows: int = 65536, **settings: float) -> DataFrame:
     """Alerts of the client tick budget.  Units end at boundaries and unusable rows, where it is forgotten anyway."""
     base = budget_moves(obs, queue_ms)
     reset = step(slabs(base, ordinal_slab(rows=rows)), ["session"], ["ordinal"],
@@ -90,5 +92,5 @@ def timer_budget(obs: DataFrame, credit_ms: float = 250, lead_ms: float = 250, s
     units = reset.filter("usable").withColumn("unit", F.coalesce("unit", F.lit(-1)))
     return fold_sorted(
         units, ["session", "unit"], ["ordinal"],
-        lambda: BudgetFold(credit_ms, lead_ms, sustain_ms, warmup_ms, gap_ms, cost_ms, least_packets, least_ms, least_over),
+        lambda: BudgetFold(**BUDGET | settings),
         "session bigint, ordinal bigint, ns bigint, lead_ms double, counted bigint, elapsed_ms double")

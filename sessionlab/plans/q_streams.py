@@ -9,8 +9,9 @@ from ..operators.relations import last_known
 from ..operators import admission as A
 from ..sources import captures as C, findings as L
 from ..operators.detectors import DetectorConfig
-from ..streaming import live, stream
+from ..streaming import detect, live, stream
 from . import driver as D
+from .q_detectors import CLICK, CLICK_SQL, DAY_MS
 from .q_windows import WINDOW_COLUMNS, r6, windows
 from .registry import query
 
@@ -115,16 +116,25 @@ def q_stream_acks(spark, sf):
     return run(stream.stream_match_acks(s(12), s(13), "2 days", "1 hour")).select("session", "token", "impulse", "ack")
 
 
-@query("stream_detect")
+# Windows of clicks, then the anchored streak over them, sample by sample.
+LIVE_CLICK_SQL = f"""WITH RECURSIVE {CLICK_SQL},
+sm AS (SELECT session, ordinal, ns, duration>={DAY_MS} AND cps>=0.000001 AND NOT quantized AND cv<=0.6 AND mad<=9e7 AS sus, row_number() OVER (PARTITION BY session ORDER BY ordinal) AS rn FROM h),
+walk AS (SELECT session, rn, ordinal, ns, CASE WHEN sus THEN ns END AS f_ns, CASE WHEN sus THEN ordinal END AS f_o, false AS hit, CAST(NULL AS BIGINT) AS first_sample FROM sm WHERE rn=1
+ UNION ALL SELECT s.session, s.rn, s.ordinal, s.ns,
+   CASE WHEN s.sus AND (w.f_ns IS NULL OR s.ns-w.f_ns>{20 * D.DAY}) THEN s.ns END, CASE WHEN s.sus AND (w.f_ns IS NULL OR s.ns-w.f_ns>{20 * D.DAY}) THEN s.ordinal END,
+   s.sus AND coalesce(s.ns-w.f_ns<={20 * D.DAY},false), CASE WHEN s.sus AND s.ns-w.f_ns<={20 * D.DAY} THEN w.f_o END
+  FROM walk w JOIN sm s ON s.session=w.session AND s.rn=w.rn+1)
+SELECT session, ordinal, ns, 'autoclicker.cadence.v1' AS "check", first_sample FROM walk WHERE hit"""
+
+
+@query("stream_detect", LIVE_CLICK_SQL)
 def q_stream_detect(spark, sf):
-    from .q_detectors import CLICK
+    """The events come in two triggers, dealt by a hash: every session is out of order, and half of it is late by days."""
     base = f"{scratch(spark)}/detect-{uuid.uuid4().hex}"
-    written = base + "/in"
-    D.view(spark, sf, "combat").repartitionByRange(2, "ns").write.parquet(written)
-    obs = spark.readStream.schema(spark.read.parquet(written).schema).option("maxFilesPerTrigger", 1).parquet(written)
-    cfg = DetectorConfig(enabled=("autoclicker",), autoclicker=CLICK)
-    stream.stream_detect(obs, base + "/log", base + "/findings", base + "/state", cfg, 60 * D.DAY).awaitTermination()
-    return spark.read.parquet(base + "/findings")
+    D.view(spark, sf, "combat").repartition(2, "event_id").write.parquet(base + "/in")
+    obs = spark.readStream.schema(spark.read.parquet(base + "/in").schema).option("maxFilesPerTrigger", 1).parquet(base + "/in")
+    detect.stream_detect(obs, base, DetectorConfig(enabled=("autoclicker",), autoclicker=CLICK), "400 days", 400 * DAY_MS)
+    return spark.read.parquet(base + "/findings").selectExpr("session", "ordinal", "ns", "check", "CAST(evidence.first_sample AS BIGINT) AS first_sample")
 
 
 # --- order helpers ---------------------------------------------------------------------------------------------------

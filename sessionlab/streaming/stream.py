@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the windows, the live scoring and the detectors."""
+"""Structured Streaming forms of the windows, the live scoring and the counts; the detectors are in ``detect``."""
 
 from __future__ import annotations
 
@@ -10,8 +10,6 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import schemas as S
-from ..operators.checks import detect_all
-from ..operators.detectors import DetectorConfig
 from ..operators.segments import BOUNDARY_KINDS
 from ..operators.window_fold import WindowRuns
 
@@ -160,22 +158,6 @@ def write_decisions(decisions: DataFrame, path: str, checkpoint: str, keys: tupl
     return decisions.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 
-def stream_detect(obs: DataFrame, log: str, findings: str, checkpoint: str, cfg: DetectorConfig = DetectorConfig(), lookback_ns: int = 600_000_000_000, **trigger):
-    """Run the batch detectors on each trigger's sessions with the recent past they can depend on.
-
-    Observations go to a Parquet log; findings are inserted once by (session, ordinal, check).
-    """
-
-    def on_batch(batch, _):
-        spark = batch.sparkSession
-        append_new(spark, batch, log, ["session", "ordinal"])
-        touched = batch.groupBy("session").agg((F.min("ns") - lookback_ns).alias("since"))
-        recent = spark.read.parquet(log).join(touched, "session").filter("ns >= since").drop("since")
-        append_new(spark, detect_all(recent, cfg), findings, ["session", "ordinal", "check"])
-
-    return obs.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
-
-
 def stream_player_counts(findings: DataFrame, every: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Findings and alerts per player and time window."""
     w = F.window("ts", every)
