@@ -170,8 +170,11 @@ def stream(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Different keys and the sums of their counts."""
-    some, of = np.unique(np.concatenate(keys), return_inverse=True)
-    return some, np.bincount(of, np.concatenate(counts), len(some)).astype(np.int64)
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")  # merges runs that are sorted already
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(np.concatenate(counts)[order], first) if len(first) else np.zeros(0, np.int64)
 
 
 def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +206,8 @@ def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     k, n = added([keys], [np.repeat(taught, np.diff(edge)).astype(np.int64)])
                     held[word][0].append(k)
                     held[word][1].append(n)
-                    if sum(map(len, held[word][0])) > 800_000:
+                    sizes = [len(x) for x in held[word][0]]
+                    if sum(sizes[1:]) > max(400_000, sizes[0]):  # what came since has outgrown what is compact
                         k, n = added(*held[word])
                         held[word] = ([k], [n])
     yield from flush()
