@@ -150,7 +150,9 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     keyed = docs.select(doc_id.alias("doc_id"), tag.alias("tag"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ids = docs.select(doc_id.alias("doc_id"))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.unique(np.array(ids.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts), np.float64)).astype(np.int64)
+    # the value that stands for no doc_id has no place among doubles; any sorted whole numbers serve as cuts
+    known = ids.where(F.col("doc_id") != LAST_ID).approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts)
+    cuts = np.unique(np.array([min(int(q), LAST_ID - 1) for q in known], np.int64))
 
     def slab(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

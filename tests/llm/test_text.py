@@ -16,6 +16,7 @@ from sessionlab.llm.language_id import language_id
 from sessionlab.llm.piecewise import fingerprint_neighbours
 from sessionlab.llm.queries import TOKENIZERS
 from sessionlab.llm.sentencepieces import decode, encode, read_model
+from sessionlab.llm.windows import document_key
 from tests.llm.brute import context_tree
 
 SF = "/root/testdata/sf0.001"
@@ -201,3 +202,19 @@ def test_languages(spark, docs):
     assert sum(a == b for a, b in held) / len(held) > 0.9
     assert {r.lang_pred for r in language_id(table.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     assert language_id(table.limit(0)).count() == 0
+
+
+def test_most_rows_without_id(spark):
+    """Two thirds of the rows share no doc_id: they come last, in the order of their texts' hashes, and the last one's next is the first."""
+    rows = [(i, f"text {i} " * (i % 7 + 1)) for i in range(60)] + [(None, f"no id {i} " * (i % 5 + 1)) for i in range(120)] + [(2**62, "far"), (-5, "first of all " * 4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tags = [r.tag for r in df.select(document_key()[1].alias("tag")).collect()]
+    order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, tags[i]))
+    want = []
+    for a, b in zip(order, order[1:] + order[:1]):
+        half = len(rows[a][1]) // 2
+        edited = rows[a][1][: len(rows[a][1]) - half] + rows[b][1][:half]
+        want.append((rows[a][0], len(rows[a][1]), hashlib.sha256(edited.encode()).hexdigest()))
+    key = lambda t: (t[0] is None, t[0] or 0, t[2])
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint_neighbours(df).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
