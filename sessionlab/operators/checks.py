@@ -14,13 +14,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from .. import schemas as S
+from .budget import budget_moves, timer_budget
 from .detectors import (DetectorConfig, autoclicker_steps, autoclicker_windows, fastbreak_verdicts, hitbox_verdicts, movement_rule, movement_steps, MOVEMENT_RULES,
                         reach_verdicts, velocity_samples)
 from .folds import ImpulseFold
 from .scan import carry_here, cut, ordinal_slab, prev_row, slabs, step
 from .segments import MS, model_gate
 from .streaks import anchored_streaks, sliding_streaks
-from .timer import budget_moves, timer_budget
 
 FINDING = "session bigint, ordinal bigint, ns bigint, epoch_ms bigint, server_tick bigint, player string, level string, check string, message string, evidence map<string,string>"
 

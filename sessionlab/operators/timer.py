@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .folds import BudgetFold, EpisodeFold, fold_sorted
+from .folds import EpisodeFold, fold_sorted
 from .scan import SLAB, carry_here, chain, cut, halo, ordinal_slab, running_sum, slabs, sql, step
 from .segments import MS, segmented
 
@@ -71,26 +71,3 @@ def assess_episodes(episodes: DataFrame, reference: DataFrame, alpha: float = 0.
         CASE WHEN eligible THEN 'sustained_timer_excess' WHEN 1 / (n_ref + 1) > alpha_spent THEN 'insufficient_reference'
              ELSE 'within_policy' END AS reason
       FROM judged""", episodes=episodes, ref=ref)
-
-
-def budget_moves(obs: DataFrame, queue_ms: float = 100) -> DataFrame:
-    """Moves and what ends a budget, with whether the row can be counted."""
-    return obs.filter("kind IN (1,2,3,10,11,14)").selectExpr(
-        "session", "ordinal", "ns", "kind", "packet",
-        f"kind = 11 AND coalesce(available AND world <> '' AND sampled_ns - ns BETWEEN 0 AND {int(queue_ms * 1e6)}, false) AS usable")
-
-
-#: The budget's settings (``BudgetFold``).
-BUDGET = {"credit_ms": 250, "lead_ms": 250, "sustain_ms": 500, "warmup_ms": 1000, "gap_ms": 750, "cost_ms": 50, "least_packets": 40, "least_ms": 2000, "least_over": 8}
-
-
-def timer_budget(obs: DataFrame, queue_ms: float = 100, rows: int = 65536, **settings: float) -> DataFrame:
-    """Alerts of the client tick budget.  Units end at boundaries and unusable rows, where it is forgotten anyway."""
-    base = budget_moves(obs, queue_ms)
-    reset = step(slabs(base, ordinal_slab(rows=rows)), ["session"], ["ordinal"],
-               unit=carry_here(F.expr("CASE WHEN NOT usable THEN ordinal END")))
-    units = reset.filter("usable").withColumn("unit", F.coalesce("unit", F.lit(-1)))
-    return fold_sorted(
-        units, ["session", "unit"], ["ordinal"],
-        lambda: BudgetFold(**BUDGET | settings),
-        "session bigint, ordinal bigint, ns bigint, lead_ms double, counted bigint, elapsed_ms double")

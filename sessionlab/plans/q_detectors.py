@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import checks, detectors as X
+from ..operators.budget import timer_budget
 from ..operators.scan import cut
 from ..operators.streaks import anchored_streak
 from . import driver as D
@@ -196,10 +197,32 @@ def q_anchored(spark, sf):
     return anchored_streak(samples, 8.0 * DAY_MS, 2)
 
 
-@query("timer_budget")
+# The tick budget from its rules, one row at a time; times are nanoseconds. A row that can't be counted forgets everything.
+TICKS = {"cost": 6 * 10**13, "credit": 3 * 10**13, "lead": 3 * 10**13, "warmup": 10**9, "sustain": 10**9, "least": 10**9, "gap": 3 * D.DAY}
+BUDGET_SQL = f"""WITH RECURSIVE {D.OBS_SQL},
+rows_in AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ordinal) AS rn,
+    kind=11 AND coalesce(available AND world<>'' AND sampled_ns-ns BETWEEN 0 AND 100000000,false) AS usable FROM obs WHERE kind IN (1,2,3,10,11,14)),
+walk AS (SELECT session, 0::BIGINT AS rn, 0::BIGINT AS ordinal, 0::BIGINT AS ns, 0::BIGINT AS last_packet, NULL::BIGINT AS last_ns, NULL::BIGINT AS ready, NULL::BIGINT AS started,
+    NULL::BIGINT AS over, 0::BIGINT AS n, 0::BIGINT AS run, 0::BIGINT AS bal, 0::BIGINT AS paid, false AS alert FROM rows_in WHERE rn=1
+ UNION ALL SELECT session, rn, ordinal, ns, CASE WHEN mode='forget' THEN 0 ELSE packet END, CASE WHEN mode<>'forget' THEN ns END,
+    CASE mode WHEN 'forget' THEN NULL WHEN 'begin' THEN ns+{TICKS["warmup"]} ELSE ready END, CASE WHEN mode IN ('wait','count') THEN first_ns END,
+    CASE WHEN mode='wait' THEN over WHEN mode='count' AND high AND NOT due THEN over1 END, CASE WHEN mode='wait' THEN n WHEN mode='count' THEN n+1 ELSE 0 END,
+    CASE WHEN mode='wait' THEN run WHEN mode='count' AND high AND NOT due THEN run+1 ELSE 0 END,
+    CASE mode WHEN 'forget' THEN 0 WHEN 'begin' THEN -{TICKS["credit"]} WHEN 'wait' THEN bal ELSE CASE WHEN high AND due THEN 0 ELSE b END END, b, mode='count' AND high AND due
+ FROM (SELECT *, b>{TICKS["lead"]} AS high, n+1>=5 AND ns-first_ns>={TICKS["least"]} AND run+1>=2 AND ns-over1>={TICKS["sustain"]} AS due
+  FROM (SELECT *, least({100 * TICKS["cost"]}, greatest(-{TICKS["credit"]}, bal-CASE WHEN started IS NULL THEN 0 ELSE ns-last_ns END)+{TICKS["cost"]}) AS b, coalesce(over,ns) AS over1,
+     CASE WHEN mode='count' THEN coalesce(started,ns) ELSE started END AS first_ns
+   FROM (SELECT r.session, r.rn, r.ordinal, r.ns, r.packet, w.last_ns, w.ready, w.started, w.over, w.n, w.run, w.bal,
+      CASE WHEN NOT r.usable OR r.packet<=w.last_packet THEN 'forget' WHEN w.last_ns IS NULL OR r.ns<w.last_ns OR r.ns-w.last_ns>={TICKS["gap"]} THEN 'begin'
+        WHEN r.ns<w.ready THEN 'wait' ELSE 'count' END AS mode
+     FROM walk w JOIN rows_in r ON r.session=w.session AND r.rn=w.rn+1))))
+SELECT session, ordinal, ns, paid/1e6::DOUBLE AS lead_ms, n AS counted, (ns-started)/1e6::DOUBLE AS elapsed_ms FROM walk WHERE alert"""
+
+
+@query("timer_budget", BUDGET_SQL)
 def q_budget(spark, sf):
-    return X.timer_budget(D.obs_events(spark, sf), credit_ms=3e7, lead_ms=3e7, sustain_ms=1000, warmup_ms=1000, gap_ms=3.0 * DAY_MS,
-                          cost_ms=6e7, least_packets=5, least_ms=1000, least_over=2)
+    return timer_budget(D.obs_events(spark, sf), credit_ms=3e7, lead_ms=3e7, sustain_ms=1000, warmup_ms=1000, gap_ms=3.0 * DAY_MS,
+                        cost_ms=6e7, least_packets=5, least_ms=1000, least_over=2)
 
 
 @query("velocity_samples")

@@ -23,11 +23,11 @@ from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from .. import schemas as S
+from ..operators.budget import BUDGET
 from ..operators.checks import BOUNDS, FINDING, Check, admitted, registry, samples
 from ..operators.detectors import AutoClicker, DetectorConfig
 from ..operators.folds import BudgetFold
 from ..operators.scan import cut
-from ..operators.timer import BUDGET
 
 
 class InOrder(StatefulProcessor):

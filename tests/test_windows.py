@@ -7,7 +7,8 @@ from sessionlab.operators.features import attack_features, dataset_windows
 from sessionlab.operators.models import tail_rank
 from sessionlab.operators.segments import segment_obs
 from sessionlab.operators.stress import batch_receive, perturb_moves
-from sessionlab.operators.timer import assess_episodes, score_episodes, timer_budget, timer_episodes
+from sessionlab.operators.budget import timer_budget
+from sessionlab.operators.timer import assess_episodes, score_episodes, timer_episodes
 from sessionlab.operators.windows import behavior_windows
 from sessionlab.streaming.stream import LiveWindows
 
