@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .scan import carry, carry_here, cut, ordinal_slab, prev_row, running_sum, slabs, sql, step
+from .scan import carry, carry_here, cut, ordinal_slab, prev_row, running_sum, settle, slabs, sql, step
 
 #: The budget's settings.
 BUDGET = {"credit_ms": 250, "lead_ms": 250, "sustain_ms": 500, "warmup_ms": 1000, "gap_ms": 750, "cost_ms": 50, "least_packets": 40, "least_ms": 2000, "least_over": 8}
@@ -43,9 +43,9 @@ def timer_budget(obs: DataFrame, queue_ms: float = 100, rows: int = 65536, **set
 
     A unit may be as long as a session, so it is dealt in slabs of ``rows`` moves. Clamped sums compose: what a slab does
     to a balance is one (add, low, high), and composing these gives the balance every slab starts with while there is no
-    alert. An alert restarts the balance, so each slab also tells what it ends with, and slabs that were started with
-    something else are done again until all agree. The ends agree again as soon as a clamp or an alert of both ways
-    coincides; a unit of n slabs needs n rounds at worst. Rows with nothing to count give no alert.
+    alert. An alert restarts the balance, so slabs that were started with something else than the one before ended with are
+    done again (``scan.settle``); both ways meet as soon as a clamp or an alert coincides. Rows with nothing to count give
+    no alert.
     """
     s = BUDGET | settings
     ns = {k: int(round(v * 1e6)) for k, v in s.items() if k.endswith("_ms")}
@@ -55,24 +55,11 @@ def timer_budget(obs: DataFrame, queue_ms: float = 100, rows: int = 65536, **set
     packs = cut(units.withColumn("slab", F.floor(F.col("at") / rows).cast("long")).groupBy(*key)
                 .agg(F.array_sort(F.collect_list(F.struct("at", "ordinal", "ns", "passed"))).alias("moves")))
     pay, clip = f"{ns['cost_ms']}L - x.passed", f"least({high}L, greatest({low}L, {{}}))"
-    ends = cut(_settled(packs, _starts(packs, pay, clip, ns["credit_ms"]), pay, clip, ns, s))
-    while True:
-        wrong = cut(sql("""
-          SELECT b.session, b.unit, b.slab, b.first_at, b.begun, a.ends AS starts
-          FROM {ends} a JOIN {ends} b ON a.session <=> b.session AND a.unit = b.unit AND a.slab + 1 = b.slab
-          WHERE NOT a.ends <=> b.starts""", ends=ends))
-        if not wrong.limit(1).count():
-            break
-        again = _settled(packs, wrong, pay, clip, ns, s)
-        ends = cut(ends.join(wrong.select(*key), _same(ends, wrong), "left_anti").unionByName(again))
+    ends = settle(_starts(packs, pay, clip, ns["credit_ms"]), ["session", "unit"], lambda starts: _done(packs, starts, pay, clip, ns, s))
     return (ends.select("session", "begun", F.explode("alerts").alias("a"))
             .selectExpr("session", "a.ordinal", "a.ns", "a.lead / 1e6D AS lead_ms", "a.counted", "(a.ns - begun) / 1e6D AS elapsed_ms"))
 
 
-def _same(a: DataFrame, b: DataFrame):
-    return a["session"].eqNullSafe(b["session"]) & (a["unit"] == b["unit"]) & (a["slab"] == b["slab"])
-
-
 def _starts(packs: DataFrame, pay: str, clip: str, credit: int) -> DataFrame:
     """What each slab starts with if nothing alerts before it."""
     maps = packs.selectExpr("session", "unit", "slab", "moves[0].at AS at", "moves[0].ns AS ns", f"""
@@ -89,7 +76,7 @@ def _starts(packs: DataFrame, pay: str, clip: str, credit: int) -> DataFrame:
       FROM composed LATERAL VIEW explode(starts) t AS e""", maps=maps)
 
 
-def _settled(packs: DataFrame, starts: DataFrame, pay: str, clip: str, ns: dict[str, int], s: dict) -> DataFrame:
+def _done(packs: DataFrame, starts: DataFrame, pay: str, clip: str, ns: dict[str, int], s: dict) -> DataFrame:
     """Slabs with their alerts and what they end with: balance, when it got over the lead, and for how many rows (as far as that counts)."""
     balance = clip.format(f"s.balance + {pay}")
     over, run, count = "coalesce(s.over, x.ns)", f"least(s.run + 1L, {s['least_over']}L)", "x.at - first_at + 1"

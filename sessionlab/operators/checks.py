@@ -60,11 +60,11 @@ def registry(cfg: DetectorConfig) -> dict[str, Check]:
     early = lambda o: fastbreak_verdicts(o, fast, resets=True).filter("verdict <> 'finish_without_start'").selectExpr("session", "ordinal", "ns", "verdict = 'early' AS suspicious")
     checks = {
         "fastbreak": Check(NAMES["fastbreak"], MESSAGES["fastbreak"], (*BOUNDS, S.TICK, S.DIG, S.MINING, S.TELEPORT), int(fast.maximum_expected_ms) * MS, early, fast.sample_window_ms, fast.alert_after, "sliding"),
-        "reach": Check(NAMES["reach"], MESSAGES["reach"], (*BOUNDS, S.ATTACK, S.COMBAT, S.TELEPORT, S.CORRECTION), reach.history_ms * MS + int((reach.maximum_frame_gap_ms + reach.maximum_queue_ms) * MS),
+        "reach": Check(NAMES["reach"], MESSAGES["reach"], (*BOUNDS, S.ATTACK, S.COMBAT, S.TELEPORT), reach.history_ms * MS + int((reach.maximum_frame_gap_ms + reach.maximum_queue_ms) * MS),
                        lambda o: own(reach_verdicts(o, reach)), reach.sample_window_ms, reach.alert_after),
         "autoclicker": Check(NAMES["autoclicker"], MESSAGES["autoclicker"], (*BOUNDS, S.TICK, S.ATTACK, S.TELEPORT, S.CORRECTION), int(click.maximum_gap_ms * MS),
                              lambda o: autoclicker_steps(o, click).selectExpr("session", "ordinal", "ns", "joined AS suspicious", "dt AS value"), click.sample_window_ms, click.alert_after, "cadence"),
-        "hitboxes": Check(NAMES["hitboxes"], MESSAGES["hitboxes"], (S.ATTACK, S.COMBAT), (hit.history_ms + hit.slack_ms + hit.frame_gap_ms) * MS + hit.maximum_queue_ms * MS,
+        "hitboxes": Check(NAMES["hitboxes"], MESSAGES["hitboxes"], (*BOUNDS, S.TICK, S.ATTACK, S.COMBAT, S.TELEPORT, S.CORRECTION), (hit.history_ms + hit.slack_ms + hit.frame_gap_ms) * MS + hit.maximum_queue_ms * MS,
                           lambda o: own(hitbox_verdicts(o, hit)), 10_000, hit.alert_after, ahead_ns=(hit.expire_ms + hit.maximum_queue_ms) * MS),
         "velocity": Check(NAMES["velocity"], MESSAGES["velocity"], (*MOVED, S.IMPULSE_ACK), ImpulseFold.LIMIT_NS + ImpulseFold.MOVES * ImpulseFold.STEP_NS, lambda o: own(velocity_samples(o, push)), 15_000, push.alert_after),
         "timer": Check(NAMES["timer"], MESSAGES["timer"], (*BOUNDS, S.TELEPORT, S.MOVE, S.CORRECTION), 0, lambda o: budget_moves(o).selectExpr("session", "ordinal", "ns", "usable AS suspicious", "packet"), memory="budget"),

@@ -9,11 +9,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import columns as C
 from .folds import ImpulseFold, fold_sorted
-from .scan import carry_here, cut, halo, ordinal_slab, running_max, running_sum, slabs, sql, step
+from .scan import SLAB, carry_here, cut, halo, ordinal_slab, running_max, running_sum, settle, slabs, sql, step
 from .streaks import sliding_streak
 
 MS = 1_000_000
@@ -205,11 +205,11 @@ def reach_verdicts(obs: DataFrame, cfg: Reach = Reach()) -> DataFrame:
     usable = (f"coalesce(available AND world <> '' AND target <> '' AND ping BETWEEN 0 AND {cfg.maximum_ping_ms} AND {_finite(box, 32000000)}"
               " AND high_x > low_x AND high_y > low_y AND high_z > low_z"
               " AND sqrt(pow(high_x - low_x, 2) + pow(high_y - low_y, 2) + pow(high_z - low_z, 2)) < 128, false)")
-    # the packet number must exceed every earlier attack's since the last reset
-    base = obs.filter("kind IN (1,2,3,7,8,10,14)").withColumn("_cut", F.expr("CASE WHEN kind IN (1,2,3,14) THEN ordinal END"))
-    since = step(slabs(base, ordinal_slab()), ["session"], ["ordinal"], _since=carry_here(F.col("_cut")))
-    seen = step(since.withColumn("_since", F.coalesce("_since", F.lit(-1))), ["session", "_since"], ["ordinal"],
-                _packets=running_max(F.expr("CASE WHEN kind = 7 THEN packet END"))).drop("_slab", "_cut")
+    # the packet number must exceed every earlier attack's of the session; a teleport forgets frames and batches, not packets
+    base = obs.filter("kind IN (1,2,3,7,8,10)")
+    since = step(slabs(base, ordinal_slab()), ["session"], ["ordinal"], _edge=carry_here(F.expr("CASE WHEN kind IN (1,2,3) THEN ordinal END")),
+                 _since=carry_here(F.expr("CASE WHEN kind IN (1,2,3,10) THEN ordinal END")))
+    seen = step(since.fillna(-1, ["_edge", "_since"]), ["session", "_edge"], ["ordinal"], _packets=running_max(F.expr("CASE WHEN kind = 7 THEN packet END"))).drop("_slab", "_edge")
     need = halo(seen, ["session"], "ns", cfg.slab_ms * MS, back=history + frame_gap + int(cfg.maximum_queue_ms * MS))
     names = box.split()
     pick = ", ".join(names)
@@ -219,7 +219,7 @@ def reach_verdicts(obs: DataFrame, cfg: Reach = Reach()) -> DataFrame:
     verdicts = sql(f"""
       WITH marked AS (SELECT *, {usable} AS usable, kind = 7 AND coalesce(packet <= _packets, false) AS stale,
           sampled_ns - ns BETWEEN 0 AND {int(cfg.maximum_queue_ms * MS)} AS timely FROM {{need}}),
-      cleared AS (SELECT *, max(CASE WHEN kind IN (1,2,3,10,14) OR (kind = 7 AND NOT stale AND NOT timely) THEN ordinal END) OVER
+      cleared AS (SELECT *, max(CASE WHEN kind IN (1,2,3,10) OR (kind = 7 AND NOT stale AND NOT timely) THEN ordinal END) OVER
           (PARTITION BY session, _slab ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS wiped FROM marked),
       frames AS (SELECT *, (kind = 8 OR (NOT stale AND timely)) AND usable AS frame,
           lag(struct(sampled_ns, world, target_id, usable, ordinal)) OVER
@@ -370,53 +370,83 @@ def movement_steps(obs: DataFrame, cfg: Movement = Movement()) -> DataFrame:
       FROM bounded""", need=need)
 
 
-def hitbox_verdicts(obs: DataFrame, cfg: HitBoxes = HitBoxes()) -> DataFrame:
-    """Attacks judged by the target frames around them: did any stable line of sight meet the box?"""
+def taken_attacks(timely: DataFrame, rows: int = 65536) -> DataFrame:
+    """(session, ordinal) of the attacks whose packet and batch both exceed those of the last one taken in the epoch.
+
+    An attack that is not taken leaves no trace, so this is no running maximum; slabs are settled in order.
+    """
+    packs = cut(timely.groupBy("session", "epoch", F.floor(F.col("ordinal") / rows).cast("long").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("ordinal", "packet", "batch"))).alias("attacks")))
+    packs = cut(packs.withColumn("slab", F.row_number().over(W.partitionBy("session", "epoch").orderBy("part")).cast("long")))
+
+    def fold(starts: DataFrame) -> DataFrame:
+        return sql("""
+          SELECT session, epoch, slab, starts, named_struct('packet', done.packet, 'batch', done.batch) AS ends, done.taken FROM (
+            SELECT s.*, aggregate(p.attacks, named_struct('packet', s.starts.packet, 'batch', s.starts.batch, 'taken', CAST(array() AS array<bigint>)),
+              (s, x) -> CASE WHEN x.packet > s.packet AND x.batch > s.batch THEN named_struct('packet', x.packet, 'batch', x.batch, 'taken', array_append(s.taken, x.ordinal)) ELSE s END) AS done
+            FROM {starts} s JOIN {packs} p ON s.session = p.session AND s.epoch = p.epoch AND s.slab = p.slab)""", starts=starts, packs=packs)
+
+    starts = packs.selectExpr("session", "epoch", "slab", "named_struct('packet', 0L, 'batch', 0L) AS starts")
+    return settle(starts, ["session", "epoch"], fold).select("session", F.explode("taken").alias("ordinal"))
+
+
+def hitbox_verdicts(obs: DataFrame, cfg: HitBoxes = HitBoxes(), rows: int = 65536) -> DataFrame:
+    """Attacks judged by the target frames around them: did any stable line of sight meet the box?
+
+    The first tick or frame that comes wait_ms to expire_ms after an attack decides, on the frames of the target so far: an
+    unbroken run back from the last one, which must be wait_ms later than the attack itself, and whose oldest kept one must
+    be history_ms earlier. A run keeps history_ms + slack_ms, one frame before that, and most_frames at most. Session edges,
+    teleports and corrections forget everything. Receive times are taken not to step back.
+    """
     vec = "eye_x, eye_y, eye_z, low_x, low_y, low_z, high_x, high_y, high_z, yaw, pitch"
     box = _finite("eye_x eye_z low_x low_z high_x high_z", 3e7) + " AND " + _finite("eye_y low_y high_y", 2048)
     valid = (f"coalesce(available AND rotation AND world <> '' AND target <> '' AND ping BETWEEN 0 AND {cfg.maximum_ping_ms} AND {box}"
              " AND high_x > low_x AND high_y > low_y AND high_z > low_z AND abs(pitch) <= 90 AND abs(yaw) < 1e300"
              " AND sqrt(pow(high_x - low_x, 2) + pow(high_y - low_y, 2) + pow(high_z - low_z, 2)) < 4, false)")
-    reach_back, reach_on = (cfg.history_ms + cfg.slack_ms) * MS, cfg.expire_ms * MS
-    queue = cfg.maximum_queue_ms * MS
-    base = obs.filter(f"kind = 8 OR (kind = 7 AND sampled_ns - ns BETWEEN 0 AND {queue})").selectExpr(
-        "session", "ordinal", "ns", "sampled_ns", "kind", "target", "world", "target_id", f"{valid} AS valid", *vec.split(", "))
-    need = halo(base, ["session"], "sampled_ns", cfg.slab_ms * MS, back=reach_back + cfg.frame_gap_ms * MS, ahead=reach_on + queue)
+    history, keep, gap, queue = cfg.history_ms * MS, (cfg.history_ms + cfg.slack_ms) * MS, cfg.frame_gap_ms * MS, cfg.maximum_queue_ms * MS
+    wait, expire = cfg.wait_ms * MS, cfg.expire_ms * MS
+    base = obs.filter("kind IN (1,2,3,4,7,8,10,14)").selectExpr(
+        "session", "ordinal", "ns", "sampled_ns", "kind", "packet", "batch", "target", "world", "target_id", f"{valid} AS valid", *vec.split(", "),
+        f"kind = 7 AND coalesce(sampled_ns - ns BETWEEN 0 AND {queue}, false) AS timely")
+    since = step(slabs(base, ordinal_slab(rows=rows)), ["session"], ["ordinal"], epoch=carry_here(F.expr("CASE WHEN kind IN (1,2,3,10,14) THEN ordinal END")))
+    epochs = cut(since.withColumn("epoch", F.coalesce("epoch", F.lit(-1))).drop(SLAB))
+    taken = taken_attacks(epochs.filter("timely").select("session", "epoch", "ordinal", "packet", "batch"), rows)
+    seen = epochs.join(taken.withColumn("taken", F.lit(True)), ["session", "ordinal"], "left").filter("kind IN (4,8) OR taken")
+    need = halo(seen.withColumn("at", F.expr("CASE WHEN kind = 4 THEN ns ELSE sampled_ns END")), ["session"], "at", cfg.slab_ms * MS, back=keep + gap + queue, ahead=expire + queue)
     pad = cfg.padding
     frames = cut(sql(f"""
-      WITH chained AS (SELECT *, lag(struct(sampled_ns, world, target_id, valid)) OVER
-          (PARTITION BY session, _slab, target ORDER BY ordinal) AS b FROM {{need}}),
-      marked AS (SELECT *, CASE WHEN valid AND coalesce(b.valid AND sampled_ns - b.sampled_ns BETWEEN 0 AND {cfg.frame_gap_ms * MS}
+      WITH timed AS (SELECT *, min(CASE WHEN kind IN (4,8) THEN ordinal END) OVER
+          (PARTITION BY session, _slab, epoch ORDER BY ns RANGE BETWEEN {wait} FOLLOWING AND {expire} FOLLOWING) AS decider FROM {{need}}),
+      chained AS (SELECT *, lag(struct(sampled_ns, world, target_id, valid)) OVER run AS b, lead(sampled_ns) OVER run AS next_ns
+        FROM timed WHERE kind IN (7,8) WINDOW run AS (PARTITION BY session, _slab, epoch, target ORDER BY ordinal)),
+      marked AS (SELECT *, CASE WHEN valid AND coalesce(b.valid AND sampled_ns - b.sampled_ns BETWEEN 0 AND {gap}
           AND b.world = world AND b.target_id = target_id, false) THEN 0 ELSE 1 END AS fresh FROM chained)
-      SELECT *, sum(fresh) OVER (PARTITION BY session, _slab, target ORDER BY ordinal) AS island,
-        lead(sampled_ns) OVER (PARTITION BY session, _slab, target ORDER BY ordinal) AS next_ns FROM marked""", need=need))
+      SELECT *, sum(fresh) OVER (PARTITION BY session, _slab, epoch, target ORDER BY ordinal) AS island FROM marked""", need=need))
     nearest = " + ".join(f"pow(eye_{a} - least(greatest(eye_{a}, low_{a} - {pad}), high_{a} + {pad}), 2)" for a in "xyz")
-    attacks = frames.filter("_own AND kind = 7 AND valid").filter(f"sqrt({nearest}) <= 3.05")
-    # the first frame or tick at least ``wait`` later decides; here it is the next frame of the same target run
+    attacks = frames.filter("_own AND kind = 7 AND valid AND decider IS NOT NULL").filter(f"sqrt({nearest}) <= 3.05")
     pairs = sql(f"""
-      SELECT a.session, a.ordinal, a.ns, a.target, f.sampled_ns AS frame_ns,
-        {", ".join(f"a.{v} AS a_{v}, f.{v} AS f_{v}" for v in vec.split(", "))}
-      FROM {{attacks}} a JOIN {{frames}} f
-        ON a.session = f.session AND a._slab = f._slab AND a.target = f.target AND a.island = f.island
-       AND f.valid AND f.sampled_ns BETWEEN a.ns - {reach_back} AND a.ns + {cfg.wait_ms * MS + cfg.frame_gap_ms * MS}""",
-                attacks=attacks, frames=frames)
+      WITH met AS (SELECT a.session, a.ordinal, a.ns, a.target, f.ordinal AS frame, f.sampled_ns AS frame_ns, f.next_ns, f.island, f.valid,
+          f.world = a.world AND f.target_id = a.target_id AS same, {", ".join(f"a.{v} AS a_{v}, f.{v} AS f_{v}" for v in vec.split(", "))}
+        FROM {{attacks}} a JOIN {{frames}} f
+          ON a.session = f.session AND a._slab = f._slab AND a.epoch = f.epoch AND a.target = f.target AND f.ordinal <= a.decider
+         AND f.sampled_ns BETWEEN a.ns - {keep + gap} AND a.ns + {expire + queue}),
+      ended AS (SELECT *, max(struct(frame, frame_ns, island, valid)) OVER (PARTITION BY session, ordinal) AS last FROM met),
+      kept AS (SELECT *, row_number() OVER (PARTITION BY session, ordinal ORDER BY frame DESC) AS age FROM ended
+        WHERE last.valid AND island = last.island AND (frame = last.frame OR last.frame_ns - next_ns <= {keep}))
+      SELECT * FROM kept WHERE age <= {cfg.most_frames}""", attacks=attacks, frames=frames)
     wide = pad + 3.05 * math.sin(math.radians(cfg.angle_grace)) + 0.03
     triple = lambda p: [F.col(f"{p}_{a}") for a in "xyz"]
     look_a, look_f = C.look_vector(F.col("a_yaw"), F.col("a_pitch")), C.look_vector(F.col("f_yaw"), F.col("f_pitch"))
     apart = lambda u, v: C.length3(*[a - b for a, b in zip(u, v)])
-    pairs = pairs.withColumn("stable", (apart(triple("a_eye"), triple("f_eye")) <= 0.03) & (apart(triple("a_low"), triple("f_low")) <= 0.03)
+    pairs = pairs.withColumn("stable", F.col("same") & (apart(triple("a_eye"), triple("f_eye")) <= 0.03) & (apart(triple("a_low"), triple("f_low")) <= 0.03)
                              & (apart(triple("a_high"), triple("f_high")) <= 0.03)
                              & (apart(look_a, look_f) <= 2 * math.sin(math.radians(0.5))))
     pairs = pairs.withColumn("hit", C.ray_hits_box(triple("f_eye"), look_f, triple("f_low"), triple("f_high"), wide))
-    # frames after the deciding one do not exist yet when the attack is judged
-    decided = f"min(CASE WHEN frame_ns >= ns + {cfg.wait_ms * MS} THEN frame_ns END)"
     return sql(f"""
-      WITH timed AS (SELECT *, {decided} OVER (PARTITION BY session, ordinal) AS decided_ns FROM {{pairs}}),
-      judged AS (SELECT session, ordinal, min(ns) AS ns, min(target) AS target, count(*) AS frames, min(frame_ns) AS first_ns, max(decided_ns) AS decided_ns,
-          bool_and(stable) AS stable, bool_or(hit) AS hit FROM timed WHERE frame_ns <= decided_ns GROUP BY session, ordinal)
-      SELECT session, ordinal, ns, target, frames, stable, CASE WHEN stable THEN hit END AS hit,
-        CASE WHEN stable THEN NOT hit END AS suspicious
-      FROM judged WHERE first_ns <= ns - {cfg.history_ms * MS} AND decided_ns - ns <= {cfg.expire_ms * MS} AND frames <= {cfg.most_frames}""", pairs=pairs)
+      WITH judged AS (SELECT session, ordinal, min(ns) AS ns, min(target) AS target, count(*) AS frames, min(frame_ns) AS first_ns, max(last.frame_ns) AS last_ns,
+          bool_and(stable) AS stable, bool_or(hit) AS hit FROM {{pairs}} GROUP BY session, ordinal)
+      SELECT session, ordinal, ns, target, frames, stable, CASE WHEN stable THEN hit END AS hit, CASE WHEN stable THEN NOT hit END AS suspicious
+      FROM judged WHERE first_ns <= ns - {history} AND last_ns >= ns + {wait}""", pairs=pairs)
 
 
 def velocity_samples(obs: DataFrame, cfg: Velocity = Velocity(), rows: int = 65536) -> DataFrame:

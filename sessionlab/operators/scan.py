@@ -14,6 +14,7 @@ columns, the lineage stays short, and a lost executor costs nothing but its own
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -276,6 +277,26 @@ def chain(df: DataFrame, keys: list[str], at: str, hop: str, rows: int = 65536)
     return by_group(entered.select(*df.columns, SLAB, "_entry"), marks, at, mark, StructType([*df.schema.fields, StructField("_on", BooleanType())]))
 
 
+def settle(starts: DataFrame, keys: list[str], fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Slabs of a state that must be followed in order, each started with a guess and done again until all guesses hold.
+
+    ``starts`` has the keys, the slab number (``slab``), what ``fold`` needs besides, and ``starts``: the guessed state
+    before the slab. ``fold`` returns the same columns with ``ends``, the state after it, and what the slab yields. Where a
+    slab did not start with what the one before ended with, it is done again. States that meet stay together, so a wrong
+    guess is mended in the slabs up to there; a key of n slabs needs n rounds at worst.
+    """
+    kept = starts.columns
+    ends = cut(fold(starts))
+    while True:
+        links = " AND ".join(f"a.{k} <=> b.{k}" for k in keys)
+        wrong = cut(sql(f"""SELECT {", ".join("a.ends AS starts" if c == "starts" else f"b.{c}" for c in kept)}
+          FROM {{ends}} a JOIN {{ends}} b ON {links} AND a.slab + 1 = b.slab WHERE NOT a.ends <=> b.starts""", ends=ends))
+        if not wrong.limit(1).count():
+            return ends
+        right = sql(f"SELECT * FROM {{ends}} a LEFT ANTI JOIN {{wrong}} b ON {links} AND a.slab = b.slab", ends=ends, wrong=wrong)
+        ends = cut(right.unionByName(fold(wrong)))
+
+
 def sql(text: str, **frames: DataFrame) -> DataFrame:
     """SQL over DataFrames named as ``{name}`` in the text."""
     return next(iter(frames.values())).sparkSession.sql(text, **frames)

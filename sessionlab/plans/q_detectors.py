@@ -84,7 +84,8 @@ v AS (SELECT b.session, b.ordinal, b.ns, b.target, b.batch, CASE WHEN stale THEN
     sqrt(pow(greatest(0,low_x_lo-0.13125-eye_x_hi,eye_x_lo-(high_x_hi+0.13125)),2)+pow(greatest(0,low_y_lo-0.13125-eye_y_hi,eye_y_lo-(high_y_hi+0.13125)),2)
       +pow(greatest(0,low_z_lo-0.13125-eye_z_hi,eye_z_lo-(high_z_hi+0.13125)),2)) AS distance
   FROM b LEFT JOIN j USING (session, ordinal) WHERE b.kind=7),
-rv AS (SELECT *, skip IS NULL AND coalesce(batch<=max(CASE WHEN skip IS NULL THEN batch END) OVER (PARTITION BY session ORDER BY ordinal {EARLIER}),false) AS late FROM v)
+ve AS (SELECT v.*, (SELECT count(*) FROM combat t WHERE t.session=v.session AND t.kind=10 AND t.ordinal<v.ordinal) AS hops FROM v),
+rv AS (SELECT *, skip IS NULL AND coalesce(batch<=max(CASE WHEN skip IS NULL THEN batch END) OVER (PARTITION BY session,hops ORDER BY ordinal {EARLIER}),false) AS late FROM ve)
 """
 
 
@@ -161,23 +162,34 @@ for _kind in RULES:
     _movement(_kind)
 
 WIDE = 0.13125 + 3.05 * 0.052335956242943835 + 0.03
+# From the rules: which attacks count is walked one by one; the run of frames is found by its last break before the decision.
 HIT_SQL = D.view_sql("combat") + f""",
-a AS (SELECT *, available AND ping<=90 AS valid, lag({{'n':sampled_ns,'v':available AND ping<=90}}) OVER (PARTITION BY session,target ORDER BY ordinal) AS b
-  FROM combat WHERE kind=8 OR (kind=7 AND sampled_ns-ns<=100000000)),
-f AS (SELECT *, sum(CASE WHEN coalesce(valid AND b.v AND sampled_ns-b.n BETWEEN 0 AND {2 * D.DAY},false) THEN 0 ELSE 1 END) OVER (PARTITION BY session,target ORDER BY ordinal) AS isl FROM a),
-p AS (SELECT x.session, x.ordinal, x.ns, x.target, g.sampled_ns AS fn, sqrt(pow(x.eye_x-g.eye_x,2))<=0.03
+ep AS (SELECT *, available AND ping<=90 AS valid, coalesce(max(CASE WHEN kind IN (1,2,3,10,14) THEN ordinal END) OVER (PARTITION BY session ORDER BY ordinal),-1) AS epoch FROM combat),
+tm AS (SELECT session, epoch, ordinal, packet, batch, row_number() OVER (PARTITION BY session,epoch ORDER BY ordinal) AS rn FROM ep WHERE kind=7 AND sampled_ns-ns BETWEEN 0 AND 100000000),
+wk AS (SELECT session, epoch, ordinal, rn, CASE WHEN packet>0 AND batch>0 THEN packet ELSE 0 END AS p, CASE WHEN packet>0 AND batch>0 THEN batch ELSE 0 END AS b, packet>0 AND batch>0 AS took FROM tm WHERE rn=1
+ UNION ALL SELECT m.session, m.epoch, m.ordinal, m.rn, CASE WHEN m.packet>w.p AND m.batch>w.b THEN m.packet ELSE w.p END, CASE WHEN m.packet>w.p AND m.batch>w.b THEN m.batch ELSE w.b END,
+   m.packet>w.p AND m.batch>w.b FROM wk w JOIN tm m ON m.session=w.session AND m.epoch=w.epoch AND m.rn=w.rn+1),
+fr AS (SELECT *, lag({{'n':sampled_ns,'v':valid}}) OVER (PARTITION BY session,epoch,target ORDER BY ordinal) AS q
+  FROM ep WHERE kind=8 OR (session,ordinal) IN (SELECT session,ordinal FROM wk WHERE took)),
+bk AS (SELECT *, NOT coalesce(valid AND q.v AND sampled_ns-q.n BETWEEN 0 AND {2 * D.DAY},false) AS breaks FROM fr),
+pn AS (SELECT f.*, (SELECT min(e.ordinal) FROM ep e WHERE e.session=f.session AND e.epoch=f.epoch AND e.kind IN (4,8) AND e.ordinal>f.ordinal AND e.ns>=f.ns+{D.DAY // 4}) AS de
+  FROM fr f WHERE f.kind=7 AND f.valid AND greatest(0,f.low_x-0.13125-f.eye_x)<=3.05),
+dc AS (SELECT a.*, (SELECT max(g.ordinal) FROM fr g WHERE g.session=a.session AND g.epoch=a.epoch AND g.target=a.target AND g.ordinal<=a.de) AS lo,
+    (SELECT max(g.ordinal) FROM bk g WHERE g.session=a.session AND g.epoch=a.epoch AND g.target=a.target AND g.ordinal<=a.de AND g.breaks) AS st
+  FROM pn a JOIN ep e ON e.session=a.session AND e.ordinal=a.de WHERE e.ns-a.ns<={3 * D.DAY}),
+p AS (SELECT x.session, x.ordinal, x.ns, x.target, g.ordinal AS fo, g.sampled_ns AS fn, l.sampled_ns AS ln, lead(g.sampled_ns) OVER (PARTITION BY x.session,x.ordinal ORDER BY g.ordinal) AS nx,
+    row_number() OVER (PARTITION BY x.session,x.ordinal ORDER BY g.ordinal DESC) AS age, sqrt(pow(x.eye_x-g.eye_x,2))<=0.03
       AND sqrt(pow(sin(radians(x.yaw))-sin(radians(g.yaw)),2)+pow(cos(radians(x.yaw))-cos(radians(g.yaw)),2))<=2*0.008726535498373935 AS stable,
     (CASE WHEN -sin(radians(g.yaw))>0 THEN (g.low_x-{WIDE}-g.eye_x)<=3.05*-sin(radians(g.yaw)) ELSE false END) AS hit
-  FROM f x JOIN f g ON x.session=g.session AND x.target=g.target AND x.isl=g.isl AND g.valid AND g.sampled_ns BETWEEN x.ns-{3 * D.DAY} AND x.ns+{2 * D.DAY + D.DAY // 4}
-  WHERE x.kind=7 AND x.valid AND greatest(0,x.low_x-0.13125-x.eye_x)<=3.05),
-t AS (SELECT *, min(CASE WHEN fn>=ns+{D.DAY // 4} THEN fn END) OVER (PARTITION BY session,ordinal) AS dn FROM p)
+  FROM dc x JOIN fr l ON l.session=x.session AND l.ordinal=x.lo AND l.valid
+  JOIN fr g ON x.session=g.session AND x.epoch=g.epoch AND x.target=g.target AND g.ordinal BETWEEN coalesce(x.st,-1) AND x.lo)
 SELECT session, ordinal, min(ns) AS ns, min(target) AS target, count(*) AS frames, bool_and(stable) AS stable,
   CASE WHEN bool_and(stable) THEN bool_or(hit) END AS hit, CASE WHEN bool_and(stable) THEN NOT bool_or(hit) END AS suspicious
-FROM t WHERE fn<=dn GROUP BY session, ordinal HAVING min(fn)<=min(ns)-{2 * D.DAY} AND max(dn)-min(ns)<={3 * D.DAY} AND count(*)<=48
+FROM p WHERE age<=48 AND (nx IS NULL OR ln-nx<={3 * D.DAY}) GROUP BY session, ordinal HAVING min(fn)<=min(ns)-{2 * D.DAY} AND max(ln)>=min(ns)+{D.DAY // 4}
 """
 
 
-@query("hitbox_verdicts", f"WITH {HIT_SQL}")
+@query("hitbox_verdicts", f"WITH RECURSIVE {HIT_SQL}")
 def q_hitbox(spark, sf):
     return X.hitbox_verdicts(D.view(spark, sf, "combat"), HIT)
 
