@@ -15,7 +15,7 @@ def f(spark, sf, text, **given):
     return D.frame(spark, sf, text, **given)
 
 
-EDGES = "SELECT concat('u', cast(user_id AS string)) AS a, concat('s', cast(event_id % 97 AS string), event_type) AS b FROM {events} WHERE value > 250"
+EDGES = "SELECT concat('u', cast(user_id AS string)) AS a, concat('s', cast(event_id % 97 AS string), event_type) AS b FROM {events}"
 
 
 @query("components", "WITH RECURSIVE " + D.duck(f"""e AS ({EDGES}), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS node, a AS c FROM b UNION SELECT b.b, r.c FROM r JOIN b ON b.a=r.node)
@@ -127,11 +127,11 @@ def q_calibrate(spark, sf):
     return M.calibrate(s, M.build_reference(s).withColumn("score", F.col("score") - 8), 0.0).selectExpr("id", "round(score, 9) AS score", "round(threshold, 9) AS threshold", "candidate")
 
 
-@query("tail_rank", """WITH r AS (SELECT l_extendedprice AS v FROM lineitem WHERE l_discount=0), s AS (SELECT o_orderkey, round(o_totalprice/4,0) AS score FROM orders),
+@query("tail_rank", """WITH r AS (SELECT l_extendedprice AS v FROM lineitem), s AS (SELECT o_orderkey, round(o_totalprice/4,0) AS score FROM orders),
   c AS (SELECT score, (SELECT count(*) FROM r WHERE v>=score) AS ge FROM (SELECT DISTINCT score FROM s)) SELECT o_orderkey, round((1.0+ge)/((SELECT count(*) FROM r)+1),9)::DOUBLE AS tail_p FROM s JOIN c USING (score)""")
 def q_tail(spark, sf):
     s = D.table(spark, sf, "orders").selectExpr("o_orderkey", "round(o_totalprice / 4, 0) AS score")
-    r = D.table(spark, sf, "lineitem").filter("l_discount = 0").selectExpr("l_extendedprice AS score")
+    r = D.table(spark, sf, "lineitem").selectExpr("l_extendedprice AS score")
     return M.tail_rank(s, r).selectExpr("o_orderkey", "round(tail_p, 9) AS tail_p")
 
 

@@ -223,7 +223,7 @@ def q_plan(spark, sf):
 
 
 PHASES = """SELECT o_custkey AS pair, CASE WHEN o_custkey % 2 = 0 THEN 'off' ELSE 'on' END AS condition, l_linenumber AS position, cast(2 + l_linenumber * CASE WHEN l_discount > 0.08 THEN 1 ELSE 0.5 END AS double) AS center,
-  CASE WHEN l_quantity < 3 THEN o_custkey * 100 ELSE o_orderkey * 10 + l_linenumber END AS trial, l_tax < 0.07 AS usable FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE o_orderkey % 10 = 0"""
+  CASE WHEN l_quantity < 3 THEN o_custkey * 100 ELSE o_orderkey * 10 + l_linenumber END AS trial, l_tax < 0.07 AS usable FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey"""
 PLANS = "SELECT c_custkey AS pair FROM {customer}"
 PHASE_SQL = D.duck(f"""WITH ph AS ({PHASES}), u AS (SELECT trial, count(*) AS n FROM ph GROUP BY 1), r AS (SELECT pair, condition, list(center ORDER BY position, center) AS centers, bool_and(usable) AS usable, max(n) AS most, count(DISTINCT trial) AS dt, count(*) AS c
   FROM ph JOIN u USING (trial) GROUP BY ALL)""")
