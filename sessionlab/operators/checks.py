@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 from .. import schemas as S
 from .budget import budget_moves, timer_budget
 from .detectors import (DetectorConfig, autoclicker_steps, autoclicker_windows, fastbreak_verdicts, hitbox_verdicts, movement_rule, movement_steps, MOVEMENT_RULES,
+                        PUSH_MOVES, PUSH_NS, PUSH_STEP_NS,
                         reach_verdicts, velocity_samples)
-from .folds import ImpulseFold
 from .scan import carry_here, cut, ordinal_slab, prev_row, slabs, step
 from .segments import MS, model_gate
 from .streaks import anchored_streaks, sliding_streaks
@@ -66,7 +66,7 @@ def registry(cfg: DetectorConfig) -> dict[str, Check]:
                              lambda o: autoclicker_steps(o, click).selectExpr("session", "ordinal", "ns", "joined AS suspicious", "dt AS value"), click.sample_window_ms, click.alert_after, "cadence"),
         "hitboxes": Check(NAMES["hitboxes"], MESSAGES["hitboxes"], (*BOUNDS, S.TICK, S.ATTACK, S.COMBAT, S.TELEPORT, S.CORRECTION), (hit.history_ms + hit.slack_ms + hit.frame_gap_ms) * MS + hit.maximum_queue_ms * MS,
                           lambda o: own(hitbox_verdicts(o, hit)), 10_000, hit.alert_after, ahead_ns=(hit.expire_ms + hit.maximum_queue_ms) * MS),
-        "velocity": Check(NAMES["velocity"], MESSAGES["velocity"], (*MOVED, S.IMPULSE_ACK), ImpulseFold.LIMIT_NS + ImpulseFold.MOVES * ImpulseFold.STEP_NS, lambda o: own(velocity_samples(o, push)), 15_000, push.alert_after),
+        "velocity": Check(NAMES["velocity"], MESSAGES["velocity"], (*MOVED, S.IMPULSE_ACK), PUSH_NS + PUSH_MOVES * PUSH_STEP_NS, lambda o: own(velocity_samples(o, push)), 15_000, push.alert_after),
         "timer": Check(NAMES["timer"], MESSAGES["timer"], (*BOUNDS, S.TELEPORT, S.MOVE, S.CORRECTION), 0, lambda o: budget_moves(o).selectExpr("session", "ordinal", "ns", "usable AS suspicious", "packet"), memory="budget"),
     }
     for rule in MOVEMENT_RULES:

@@ -12,8 +12,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import columns as C
-from .folds import ImpulseFold, fold_sorted
-from .scan import SLAB, carry_here, cut, halo, ordinal_slab, running_max, running_sum, settle, slabs, sql, step
+from .scan import SLAB, carry, carry_here, cut, halo, ordinal_slab, prev_row, running_max, running_sum, settle, slabs, sql, step
 from .streaks import sliding_streak
 
 MS = 1_000_000
@@ -449,13 +448,97 @@ def hitbox_verdicts(obs: DataFrame, cfg: HitBoxes = HitBoxes(), rows: int = 6553
       FROM judged WHERE first_ns <= ns - {history} AND last_ns >= ns + {wait}""", pairs=pairs)
 
 
+#: An impulse is judged on this many moves and this long; grace and settling count moves after its acknowledgement.
+PUSH_NS, PUSH_STEP_NS, PUSH_MOVES, PUSH_GRACE, PUSH_SETTLED = 2_000_000_000, 150_000_000, 40, 2, 8
+PUSH_BOUNDS = "(1,2,3,7,10,14)"
+
+
+def impulse_rows(obs: DataFrame, cfg: Velocity, rows: int) -> DataFrame:
+    """Moves, impulses, acknowledgements and boundaries with what judging needs: whether a move is sound (usable, placed and
+    newer than the sound one just before it) and smooth, what it and the move before it moved, and the impulse that may
+    still be pending (``imp``, strictly before the row; null past a boundary, an unsound or an unsmooth move).
+
+    A packet that does not grow makes the state forget everything, that packet included: in a run of such rows every other
+    one is unsound.
+    """
+    base = obs.filter(f"kind IN (11,12,13) OR kind IN {PUSH_BOUNDS}").selectExpr(
+        "session", "ordinal", "ns", "kind", "packet", "world", "x", "y", "z", "coalesce(source, false) AS source", "coalesce(destination, false) AS destination",
+        "speed", "jump", "token", "vx", "vy", "vz", "coalesce(additive, false) AS additive", "kind NOT IN (12,13) AS spot",
+        f"kind = 11 AND coalesce(available AND sampled_ns - ns BETWEEN 0 AND {int(cfg.maximum_queue_ms * MS)} AND has_pos AND clear AND packet > 0"
+        f" AND {_finite('x y z', 1e300)}, false) AS usable")
+    seen = step(slabs(base, ordinal_slab(rows=rows)), ["session"], ["ordinal"], p=carry(F.expr("CASE WHEN spot THEN struct(usable, packet, ns, world, x, y, z) END")),
+                at=running_sum(F.expr("int(spot)")), moved=running_sum(F.expr("int(kind = 11)")), pushed=running_sum(F.expr("int(kind = 12)")))
+    seen = seen.withColumn("drops", F.expr("usable AND coalesce(p.usable AND packet <= p.packet, false)"))
+    known = step(seen, ["session"], ["ordinal"], grown=carry(F.expr("CASE WHEN spot AND NOT drops THEN at END")))
+    told = known.selectExpr("*", "usable AND NOT (drops AND (at - grown) % 2 = 1) AS sound", "coalesce(p.usable AND (at - int(spot) - grown) % 2 = 0, false) AS after_sound")
+    told = told.selectExpr("*", "sound AND after_sound AS linked", f"coalesce(sound AND after_sound AND ns - p.ns BETWEEN 0 AND {PUSH_STEP_NS} AND world <=> p.world AND NOT destination, false) AS smooth")
+    delta = ", ".join(f"CASE WHEN linked THEN {a} - p.{a} ELSE 0D END AS d{a}" for a in "xyz").split(", ")
+    told = told.selectExpr("*", *delta, f"""kind = 12 AND after_sound AND coalesce(token <> 0 AND {_finite('vx vy vz', 4.1)} AND sqrt(vx * vx + vz * vz) <= 4 AND abs(vy) <= 4
+      AND (sqrt(vx * vx + vz * vz) >= 0.1D OR abs(vy) >= 0.1D), false) AS opens""")
+    pending = "CASE WHEN kind = 12 THEN struct(opens, ordinal, ns, moved, token, vx, vy, vz, additive) WHEN spot AND NOT smooth THEN struct(false AS opens, -1L AS ordinal, ns, moved, token, vx, vy, vz, additive) END"
+    return step(told.drop("p", "grown", "drops", "at"), ["session"], ["ordinal"], prior=carry(F.expr("CASE WHEN spot THEN struct(dx, dy, dz) END")), imp=carry(F.expr(pending)))
+
+
+def impulse_ends(seen: DataFrame, epsilon: float) -> DataFrame:
+    """Where each impulse ends if it is taken (session, impulse, ordinal, ns, verdict); those that are cut off or still open are missing.
+
+    An impulse may have been applied at any move up to the grace after its acknowledgement and, on the ground, with a jump.
+    Each such way decays in closed form from its move on and dies at the first move it does not explain, so all that
+    counts is when the last way dies: with the grace over and before the impulse is settled, it is unexplained there.
+    A group is one impulse with 41 moves at most.
+    """
+    air, ground, gravity, fall = 0.91, 0.546, 0.08, 0.98
+    rest = gravity * fall / (1 - fall)
+    run = "PARTITION BY session, impulse ORDER BY ordinal"
+    acked = f"kind = 13 AND token = imp.token AND ns - imp.ns BETWEEN 0 AND {PUSH_NS}"
+    near = seen.filter(f"imp.opens AND (kind = 11 AND smooth AND moved - imp.moved <= {PUSH_MOVES + 1} OR {acked})").selectExpr(
+        "session", "imp.ordinal AS impulse", "imp", "ordinal", "ns", "kind = 11 AS move", "moved - imp.moved - 1 AS n", "source", "dx", "dy", "dz", "prior", "jump",
+        f"CASE WHEN source THEN {ground}D ELSE {air}D END AS drag", f"CASE WHEN source THEN speed * 1.3D * 0.16277136D / {ground ** 3!r}D ELSE 0.026D END AS push")
+    moves = sql(f"""
+      WITH first AS (SELECT *, min(CASE WHEN NOT move THEN ordinal END) OVER (PARTITION BY session, impulse) AS acked,
+          move AND NOT coalesce(ns - imp.ns BETWEEN 0 AND {PUSH_NS} AND n < {PUSH_MOVES} AND push BETWEEN 0 AND 0.5D, false) AS expires FROM {{near}}),
+      kept AS (SELECT *, min(CASE WHEN expires THEN n END) OVER (PARTITION BY session, impulse) AS expired FROM first),
+      sized AS (SELECT *, pow({air}D, count_if(NOT source) OVER w) * pow({ground}D, count_if(source) OVER w) AS shrink
+        FROM kept WHERE move AND n <= coalesce(expired, n) WINDOW w AS ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+      slack AS (SELECT *, coalesce(sum(push / shrink) OVER ({run} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0D) AS slack FROM sized)
+      SELECT session, impulse, first(imp) AS imp, first(expired) AS expired, min(CASE WHEN ordinal > acked THEN n END) AS acked,
+        array_sort(collect_list(struct(n, ordinal, ns, dx, dy, dz, prior, source, jump, drag, push, shrink, slack))) AS moves
+      FROM slack GROUP BY session, impulse""", near=near)
+    start = {a: f"imp.v{a} + CASE WHEN imp.additive THEN w.prior.d{a} * w.drag ELSE 0D END" for a in "xz"}
+    rise = f"CASE WHEN imp.additive THEN imp.vy + (w.prior.dy - {gravity}D) * {fall}D ELSE imp.vy END"
+    way = f"named_struct('n', w.n, 'vx', {start['x']}, 'vy', {{}}, 'vz', {start['z']}, 'radius', {{}}D, 'shrink', w.shrink, 'slack', w.slack)"
+    off = "sqrt(pow(x.dx - w.vx * x.shrink / w.shrink, 2) + pow(x.dz - w.vz * x.shrink / w.shrink, 2))"
+    reach = "x.shrink / w.shrink * w.radius + x.shrink * (x.slack - w.slack) + x.push"
+    drop = f"(w.vy + {rest!r}D) * pow({fall}D, x.n - w.n) - {rest!r}D"
+    fits = f"coalesce({off} - ({reach}) <= {epsilon}D AND abs(x.dy - ({drop})) <= {epsilon}D, false)"
+    judged = (moves.withColumn("whole", F.expr("filter(moves, x -> x.n < coalesce(expired, 1000))"))
+              .withColumn("ways", F.expr(f"""CASE WHEN acked + {PUSH_GRACE} < size(whole) THEN flatten(transform(filter(whole, w -> w.n < acked + {PUSH_GRACE}), w -> CASE
+                WHEN w.source THEN array({way.format(rise, 0)}, {way.format('w.jump', 0.2)}) ELSE array({way.format(rise, 0)}) END)) END"""))
+              .withColumn("dies", F.expr(f"array_max(transform(ways, w -> coalesce(array_min(transform(filter(whole, x -> x.n >= w.n AND NOT {fits}), x -> x.n)), size(whole))))"))
+              .withColumn("dies", F.expr(f"greatest(coalesce(dies, 0), acked + {PUSH_GRACE})")))
+    return sql(f"""
+      WITH told AS (SELECT *, CASE WHEN acked IS NULL OR dies >= size(whole) AND acked + {PUSH_SETTLED - 1} >= size(whole) THEN 'expired'
+          WHEN dies < size(whole) AND dies <= acked + {PUSH_SETTLED - 1} THEN 'unexplained' ELSE 'settled' END AS verdict FROM {{judged}}),
+      placed AS (SELECT *, CASE verdict WHEN 'unexplained' THEN dies WHEN 'settled' THEN acked + {PUSH_SETTLED - 1} ELSE expired END AS n FROM told)
+      SELECT session, impulse, moves[int(n)].ordinal AS ordinal, moves[int(n)].ns AS ns, verdict FROM placed WHERE n IS NOT NULL""", judged=judged)
+
+
 def velocity_samples(obs: DataFrame, cfg: Velocity = Velocity(), rows: int = 65536) -> DataFrame:
-    """Impulse responses no application point explains.  Units end at the events that reset the state."""
-    base = obs.filter("kind IN (1,2,3,7,10,11,12,13,14)").selectExpr(
-        "session", "ordinal", "ns", "kind", "packet", "world", "x", "y", "z", "has_pos", "clear", "source", "destination",
-        "speed", "jump", "token", "vx", "vy", "vz", "additive",
-        f"kind = 11 AND coalesce(available AND sampled_ns - ns BETWEEN 0 AND {int(cfg.maximum_queue_ms * MS)}, false) AS usable")
-    resets = "CASE WHEN kind IN (1,2,3,7,10,14) THEN ordinal END"
-    units = step(slabs(base, ordinal_slab(rows=rows)), ["session"], ["ordinal"], unit=carry_here(F.expr(resets)))
-    return fold_sorted(units.withColumn("unit", F.coalesce("unit", F.lit(-1))), ["session", "unit"], ["ordinal"],
-                       lambda: ImpulseFold(cfg.epsilon), "session bigint, ordinal bigint, ns bigint, token bigint, suspicious boolean")
+    """Impulse responses no application point explains, and what forgets the samples: settled or overlapping impulses,
+    boundaries and unsound moves (token null, not suspicious).
+
+    An impulse that comes while another is pending ends that one and is not taken itself. Whether it is pending depends on
+    whether it was taken, so in a run of impulses that would each meet the next one, every other one is taken.
+    """
+    seen = cut(impulse_rows(obs, cfg, rows))
+    ends = cut(impulse_ends(seen, cfg.epsilon))
+    impulses = sql("""SELECT i.session, i.ordinal, i.ns, i.token, i.pushed, i.imp.ordinal AS pending, i.opens AND e.impulse IS NULL AS open, e.ordinal AS end_ordinal, e.ns AS end_ns, e.verdict
+      FROM {seen} i LEFT JOIN {ends} e ON i.session = e.session AND i.ordinal = e.impulse WHERE i.kind = 12""", seen=seen, ends=ends)
+    met = step(slabs(impulses, ordinal_slab("pushed", rows)), ["session"], ["pushed"], before=prev_row(F.struct("ordinal", "open")))
+    met = met.withColumn("meets", F.expr("coalesce(before.open AND pending = before.ordinal, false)"))
+    taken = step(met, ["session"], ["pushed"], fresh=carry_here(F.expr("CASE WHEN NOT meets THEN pushed END"))).withColumn("taken", F.expr("(pushed - fresh) % 2 = 0"))
+    return sql("""
+      SELECT session, CASE WHEN taken THEN end_ordinal ELSE ordinal END AS ordinal, CASE WHEN taken THEN end_ns ELSE ns END AS ns,
+        CASE WHEN taken AND verdict = 'unexplained' THEN token END AS token, taken AND verdict = 'unexplained' AS suspicious
+      FROM {taken} WHERE NOT taken OR verdict IN ('unexplained', 'settled')
+      UNION ALL SELECT session, ordinal, ns, CAST(NULL AS BIGINT), false FROM {seen} WHERE spot AND NOT sound""", taken=taken, seen=seen)

@@ -226,146 +226,3 @@ class BudgetFold:
             out.append({"ordinal": int(ordinal[i]), "ns": int(ns[i]), "lead_ms": float(balance[i]), "counted": self.count, "elapsed_ms": (int(ns[i]) - self.begun) / 1e6})
             self.balance, self.over = 0.0, []
             ns, passed, ordinal = ns[i + 1 :], passed[i + 1 :], ordinal[i + 1 :]
-
-
-def _true(column: pd.Series) -> np.ndarray:
-    """Where a nullable boolean column is true."""
-    return (column == True).to_numpy(bool)  # noqa: E712
-
-
-class ImpulseFold:
-    """Whether the motion after an impulse can be the impulse applied at some move, as one table per impulse.
-
-    Rows of the table are the moves at which it could have been applied (and, on the ground, applied with a jump), columns
-    the moves after it. A way decays by drag and gravity from its own move on, in closed form, and lives as long as it has
-    explained every move. An acknowledged impulse is unexplained at the first move past the grace with no way alive, and
-    settled some moves later. Rows that may still be needed are kept between calls.
-    """
-
-    LIMIT_NS, STEP_NS, MOVES, GRACE, SETTLED = 2_000_000_000, 150_000_000, 40, 2, 8
-    AIR, GROUND, GRAVITY, FALL = 0.91, 0.546, 0.08, 0.98
-
-    def __init__(self, epsilon: float):
-        self.epsilon = epsilon
-        self.held: pd.DataFrame | None = None
-
-    def feed(self, pdf: pd.DataFrame) -> list[dict]:
-        old = 0 if self.held is None else len(self.held)
-        rows = (pdf if self.held is None else pd.concat([self.held, pdf.assign(_valid=False, _linked=False, _smooth=False, dx=0.0, dy=0.0, dz=0.0, _before=-1, _done=False)])).reset_index(drop=True)
-        rows = self._checked(rows, old)
-        kind = rows["kind"].to_numpy()
-        out = {i: None for i in range(old, len(rows)) if kind[i] not in (11, 12, 13) or kind[i] == 11 and not rows["_valid"].iloc[i]}
-        keep = len(rows)
-        self._moved = rows[["dx", "dy", "dz"]].to_numpy(float)
-        free = 0  # the position from which no impulse is pending
-        for p in np.flatnonzero(kind == 12).tolist():
-            if p < free:
-                if p >= old:
-                    out[p] = None
-                continue
-            if rows["_done"].iloc[p]:
-                continue
-            end, token = self._follow(rows, p)
-            if end is None:
-                keep = p
-                free = len(rows)
-                break
-            free = end + 1
-            if token is not False and end >= old:
-                out[end] = token
-        rows["_done"] = np.arange(len(rows)) < min(keep, len(rows))
-        moves = np.flatnonzero(kind[:keep] == 11)
-        first = int(moves[-2]) if len(moves) > 1 else 0
-        self.held = rows.iloc[first:]
-        ns, ordinal = rows["ns"].to_numpy(), rows["ordinal"].to_numpy()
-        return [{"ordinal": int(ordinal[i]), "ns": int(ns[i]), "token": token, "suspicious": token is not None} for i, token in sorted(out.items())]
-
-    def _checked(self, rows: pd.DataFrame, old: int) -> pd.DataFrame:
-        """Which moves are sound, and what each moved since the sound one right before it."""
-        move = (rows["kind"] == 11).to_numpy()
-        place = rows[["x", "y", "z"]].to_numpy(float)
-        sound = move & _true(rows["usable"]) & _true(rows["has_pos"]) & _true(rows["clear"]) & np.isfinite(place).all(axis=1)
-        packet = np.nan_to_num(rows["packet"].to_numpy(float))
-        sound &= packet > 0
-        if old:
-            sound[:old] = rows["_valid"].iloc[:old].to_numpy(bool)
-        spots = np.flatnonzero(move | ~rows["kind"].isin([11, 12, 13]).to_numpy())  # what moves follow on
-        both = sound[spots[1:]] & sound[spots[:-1]]
-        for j in (np.flatnonzero(both & (packet[spots[1:]] <= packet[spots[:-1]])) + 1).tolist():
-            if spots[j] >= old:
-                sound[spots[j]] = not sound[spots[j - 1]]
-        before = np.full(len(rows), -1)
-        before[spots[1:]] = spots[:-1]
-        linked = sound & (before >= 0) & sound[before]
-        delta = np.where(linked[:, None], place - place[before], 0.0)
-        ns, world = rows["ns"].to_numpy(), rows["world"].to_numpy()
-        step = ns - ns[before]
-        smooth = linked & (step >= 0) & (step <= self.STEP_NS) & (world == world[before]) & ~_true(rows["destination"])
-        done = _true(rows["_done"]) if "_done" in rows else np.zeros(len(rows), bool)
-        return rows.assign(_valid=sound, _linked=linked, _smooth=smooth, dx=delta[:, 0], dy=delta[:, 1], dz=delta[:, 2], _before=before, _done=done)
-
-    def _follow(self, rows: pd.DataFrame, p: int) -> tuple[int | None, object]:
-        """(row that ends the impulse at row p, its token, None for a clean end or False for a silent one); a missing row
-        means that later rows are needed."""
-        impulse = rows.iloc[p]
-        v = np.array([impulse["vx"], impulse["vy"], impulse["vz"]], float)
-        flat = float(np.hypot(v[0], v[2]))
-        earlier = np.flatnonzero((rows["kind"].iloc[:p] == 11) | ~rows["kind"].iloc[:p].isin([11, 12, 13]))
-        follows = len(earlier) and bool(rows["_valid"].iloc[earlier[-1]])
-        if not (follows and impulse["token"] and np.isfinite(v).all() and flat <= 4 and abs(v[1]) <= 4 and (flat >= 0.1 or abs(v[1]) >= 0.1)):
-            return p, False
-        later = rows.iloc[p + 1 :]
-        kind, ns = later["kind"].to_numpy(), later["ns"].to_numpy()
-        since = ns - impulse["ns"]
-        move = kind == 11
-        stop = np.flatnonzero((kind == 12) | ~np.isin(kind, (11, 12, 13)) | move & ~later["_valid"].to_numpy() | move & ~later["_smooth"].to_numpy())
-        stop = int(stop[0]) if len(stop) else len(later)
-        acks = np.flatnonzero((kind == 13) & (later["token"] == impulse["token"]).to_numpy() & (since >= 0) & (since <= self.LIMIT_NS))
-        acked_at = int(acks[0]) if len(acks) else len(later)
-        steps = np.flatnonzero(move[:stop])[: self.MOVES + 1]
-        grounded = _true(later["source"])[steps]
-        drag = np.where(grounded, self.GROUND, self.AIR)
-        push = np.where(grounded, later["speed"].to_numpy(float)[steps] * 1.3 * 0.16277136 / self.GROUND**3, 0.026)
-        odd = np.flatnonzero((since[steps] < 0) | (since[steps] > self.LIMIT_NS) | (np.arange(len(steps)) >= self.MOVES) | ~((push >= 0) & (push <= 0.5)))
-        n = int(odd[0]) if len(odd) else len(steps)
-        ended = int(steps[n]) if len(odd) else stop if stop < len(later) else None
-        silent = len(odd) > 0 or ended is not None and move[ended] and bool(later["_valid"].iloc[ended])
-        if n:
-            found = self._explain(later, steps[:n], drag[:n], push[:n], grounded[:n], v, bool(impulse["additive"]), acked_at)
-            if found is not None:
-                return p + 1 + int(steps[found[0]]), impulse["token"] if found[1] else None
-        return (None if ended is None else p + 1 + ended), (False if silent else None)
-
-    def _explain(self, later, steps, drag, push, grounded, v, additive, acked_at) -> tuple[int, bool] | None:
-        n = len(steps)
-        acked = steps > acked_at
-        after = np.cumsum(acked)
-        moved = later[["dx", "dy", "dz"]].to_numpy(float)[steps]
-        prior = self._prior(later, steps)
-        shrink = np.append(1.0, np.cumprod(drag))[:-1]  # from the first step to each
-        slack = np.append(0.0, np.cumsum(push / shrink))[:-1]
-        born = np.flatnonzero(~acked | (after <= self.GRACE))
-        jumps = born[grounded[born]]
-        start = np.append(born, jumps)
-        first = np.tile(v, (len(start), 1))
-        if additive:
-            first[:, [0, 2]] += prior[start][:, [0, 2]] * drag[start, None]
-            first[:, 1] += (prior[start, 1] - self.GRAVITY) * self.FALL
-        first[len(born) :, 1] = later["jump"].to_numpy(float)[steps[jumps]]
-        radius = np.where(np.arange(len(start)) < len(born), 0.0, 0.2)
-        age = np.arange(n)[None, :] - start[:, None]
-        decay = shrink[None, :] / shrink[start, None]
-        reach = decay * radius[:, None] + shrink[None, :] * (slack[None, :] - slack[start, None])
-        rest = self.GRAVITY * self.FALL / (1 - self.FALL)
-        fall = (first[:, 1:2] + rest) * self.FALL ** np.maximum(age, 0) - rest
-        off = np.hypot(moved[None, :, 0] - first[:, 0:1] * decay, moved[None, :, 2] - first[:, 2:3] * decay) - reach - push[None, :]
-        fits = (age < 0) | (off <= self.epsilon) & (np.abs(moved[None, :, 1] - fall) <= self.epsilon)
-        alive = (np.logical_and.accumulate(fits, axis=1) & (age >= 0)).any(axis=0)
-        ends = np.flatnonzero((after > self.GRACE) & ~alive | (after >= self.SETTLED))
-        return (int(ends[0]), not alive[ends[0]]) if len(ends) else None
-
-    def _prior(self, later, steps) -> np.ndarray:
-        """What the move before each step moved."""
-        all_moved = self._moved
-        before = later["_before"].to_numpy()[steps]
-        return np.where(before[:, None] >= 0, all_moved[before], 0.0)

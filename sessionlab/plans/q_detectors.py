@@ -237,9 +237,40 @@ def q_budget(spark, sf):
                         cost_ms=6e7, least_packets=5, least_ms=1000, least_over=2)
 
 
-@query("velocity_samples")
+# Impulse responses from their rules, one row at a time: a move keeps those of the ways so far, and those that begin at it, that explain it.
+WAY = "STRUCT(vx DOUBLE, vy DOUBLE, vz DOUBLE, r DOUBLE)[]"
+PUSH_SQL = f"""WITH RECURSIVE {D.view_sql("pushes")},
+rows_in AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ordinal) AS rn,
+    kind=11 AND coalesce(available AND world<>'' AND sampled_ns-ns BETWEEN 0 AND 100000000 AND has_pos AND clear,false) AS usable FROM pushes WHERE kind IN (1,2,3,7,10,11,12,13,14)),
+walk AS (SELECT session, 0::BIGINT AS rn, 0::BIGINT AS ordinal, 0::BIGINT AS ns, 0::BIGINT AS last_packet, NULL::STRUCT(ns BIGINT, x DOUBLE, y DOUBLE, z DOUBLE, world VARCHAR) AS last,
+    {{'x':0::DOUBLE,'y':0::DOUBLE,'z':0::DOUBLE}} AS moved, NULL::STRUCT(token BIGINT, ns BIGINT, vx DOUBLE, vy DOUBLE, vz DOUBLE, additive BOOLEAN) AS push,
+    NULL::BIGINT AS acked, 0::BIGINT AS n, []::{WAY} AS ways, false AS told, NULL::BIGINT AS token FROM rows_in WHERE rn=1
+ UNION ALL SELECT session, rn, ordinal, ns, CASE mode WHEN 'forget' THEN 0 WHEN 'push' THEN last_packet WHEN 'ack' THEN last_packet ELSE packet END,
+    CASE mode WHEN 'forget' THEN NULL WHEN 'push' THEN last WHEN 'ack' THEN last ELSE {{'ns':ns,'x':x,'y':y,'z':z,'world':world}} END,
+    CASE mode WHEN 'forget' THEN {{'x':0::DOUBLE,'y':0::DOUBLE,'z':0::DOUBLE}} WHEN 'move' THEN step ELSE moved END,
+    CASE WHEN mode='push' AND push IS NULL AND last IS NOT NULL AND token<>0 AND (abs(vy)>=0.1 OR sqrt(vx*vx+vz*vz)>=0.1) AND abs(vy)<=4 AND sqrt(vx*vx+vz*vz)<=4
+        THEN {{'token':token,'ns':ns,'vx':vx,'vy':vy,'vz':vz,'additive':additive}} WHEN mode IN ('ack','first') OR live AND NOT bad AND NOT good THEN push END,
+    CASE WHEN mode='ack' AND token=push.token AND ns-push.ns BETWEEN 0 AND 2000000000 THEN coalesce(acked,0) WHEN mode='ack' THEN acked WHEN live AND NOT bad AND NOT good THEN acked1 END,
+    CASE WHEN mode='ack' THEN n WHEN live THEN n+1 ELSE 0 END,
+    CASE WHEN mode='ack' THEN ways WHEN live THEN list_transform(fit, lambda v: {{'vx':v.vx*drag,'vy':(v.vy-0.08)*0.98::DOUBLE,'vz':v.vz*drag,'r':(v.r+accel)*drag}}) ELSE [] END::{WAY},
+    mode='forget' OR mode='push' AND push IS NOT NULL OR bad OR good, CASE WHEN bad THEN push.token END
+ FROM (SELECT *, live AND coalesce(acked1>2,false) AND len(fit)=0 AS bad, live AND coalesce(acked1>=8,false) AND len(fit)>0 AS good
+  FROM (SELECT *, list_filter(list_concat(ways, CASE WHEN coalesce(acked1,0)>2 THEN [] WHEN source THEN [{{'vx':b_x,'vy':b_y,'vz':b_z,'r':0::DOUBLE}},{{'vx':b_x,'vy':jump,'vz':b_z,'r':0.2::DOUBLE}}]
+       ELSE [{{'vx':b_x,'vy':b_y,'vz':b_z,'r':0::DOUBLE}}] END::{WAY}), lambda v: sqrt(pow(step.x-v.vx,2)+pow(step.z-v.vz,2))-v.r-accel<=0.025 AND abs(step.y-v.vy)<=0.025) AS fit
+   FROM (SELECT *, coalesce(mode='move' AND push IS NOT NULL AND ns-last.ns BETWEEN 0 AND 150000000 AND world=last.world AND NOT destination AND ns-push.ns BETWEEN 0 AND 2000000000
+        AND n<40 AND accel BETWEEN 0 AND 0.5,false) AS live, acked+1 AS acked1,
+       push.vx+CASE WHEN push.additive THEN moved.x*drag ELSE 0 END AS b_x, push.vy+CASE WHEN push.additive THEN (moved.y-0.08)*0.98::DOUBLE ELSE 0 END AS b_y,
+       push.vz+CASE WHEN push.additive THEN moved.z*drag ELSE 0 END AS b_z
+    FROM (SELECT *, {{'x':x-last.x,'y':y-last.y,'z':z-last.z}} AS step, CASE WHEN source THEN 0.546::DOUBLE ELSE 0.91::DOUBLE END AS drag,
+        CASE WHEN source THEN speed*1.3::DOUBLE*0.16277136::DOUBLE/pow(0.546::DOUBLE,3) ELSE 0.026::DOUBLE END AS accel,
+        CASE WHEN kind=12 THEN 'push' WHEN kind=13 THEN 'ack' WHEN NOT usable OR packet<=last_packet THEN 'forget' WHEN last IS NULL THEN 'first' ELSE 'move' END AS mode
+     FROM (SELECT r.*, w.last_packet, w.last, w.moved, w.push, w.acked, w.n, w.ways FROM walk w JOIN rows_in r ON r.session=w.session AND r.rn=w.rn+1))))))
+SELECT session, ordinal, ns, token, token IS NOT NULL AS suspicious FROM walk WHERE told"""
+
+
+@query("velocity_samples", PUSH_SQL)
 def q_velocity(spark, sf):
-    return X.velocity_samples(D.view(spark, sf, "motion"))
+    return X.velocity_samples(D.view(spark, sf, "pushes"))
 
 
 @query("detect_all")
