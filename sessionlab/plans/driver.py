@@ -104,11 +104,11 @@ VIEWS = {
         "session % 2 = 0 AS flat", "session % 2 = 0 AS source", "session % 2 = 0 AS destination", "k < 95 AS clear", "k % 5 < 3 AS item",
         "k % 11 <> 0 AS sprint", "CAST(0.1 AS DOUBLE) AS speed", "CASE WHEN k = 50 THEN CAST(0.8 AS DOUBLE) ELSE CAST(0.6 AS DOUBLE) END AS friction",
         "CAST(0.42 AS DOUBLE) AS jump", "k AS token", "CAST(0.1 AS DOUBLE) * (k % 9) AS vx", "CAST(0.2 AS DOUBLE) AS vy", "CAST(0 AS DOUBLE) AS vz", "k % 2 = 0 AS additive"],
-    # A push every 24 moves, shown in full by two sessions of three, 50 ms a move; a second push too early now and then, acknowledged before it shows.
-    "pushes": ["session", "ordinal", "ordinal * 50000000 AS ns", "k"] + CONTEXT + [
+    # A push every 24 moves, shown in full by two sessions of three, 30 ms a row; a second push too early now and then, acknowledged before it shows.
+    "pushes": ["session", "ordinal", "ordinal * 30000000 AS ns", "k"] + CONTEXT + [
         "CASE WHEN event_type = 'error' AND k >= 97 THEN 14 WHEN event_type = 'purchase' AND k >= 98 THEN 7 WHEN ordinal % 24 = 4 OR (ordinal % 24 = 9 AND k < 10) THEN 12 "
         "WHEN ordinal % 24 = 5 AND k >= 20 OR ordinal % 24 = 6 THEN 13 ELSE 11 END AS kind",
-        "CASE WHEN k = 13 THEN ordinal - 2 ELSE ordinal END AS packet", "ordinal * 50000000 + k * 1000000 AS sampled_ns", "k <> 49 AS has_pos", "k <> 48 AS clear",
+        "CASE WHEN k = 13 THEN ordinal - 2 ELSE ordinal END AS packet", "ordinal * 30000000 + k * 1000000 AS sampled_ns", "k <> 49 AS has_pos", "k <> 48 AS clear",
         "session % 4 = 3 AS source", "false AS destination", "CAST(0.1 AS DOUBLE) AS speed", "CAST(0.42 AS DOUBLE) AS jump",
         "CAST(1 + floor((ordinal - 4) / 24) AS BIGINT) AS token", "CAST(0.8 AS DOUBLE) AS vx", "CAST(0.3 AS DOUBLE) AS vy", "CAST(0 AS DOUBLE) AS vz", "k % 4 = 1 AS additive",
         "CAST(0.004 AS DOUBLE) * (k % 6) + CASE WHEN ordinal % 24 > 6 THEN CAST(0.8 AS DOUBLE) * (CASE WHEN session % 3 = 0 THEN CAST(0.3 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END) "
