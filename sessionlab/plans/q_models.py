@@ -82,10 +82,42 @@ def q_weights(spark, sf):
     return training(spark, sf).groupBy("group").agg(F.count(F.lit(1)).alias("windows"), F.round(F.max("weight"), 9).alias("weight")).withColumn("group", F.expr("substring(`group`, 7)"))
 
 
-@query("fit_logistic")
+def newton_sql(data, key="k"):
+    """Newton's method for two features and a penalised intercept, per key, as a recursive query; the steps are solved by determinants.
+
+    ``data`` gives k, y, w, a, b. Yields fits: k, coefficients ca, cb and the intercept c0.
+    """
+    return f"""nd AS ({data}), ns AS (SELECT k, sum(w*a)/sum(w) AS ma, sum(w*b)/sum(w) AS mb FROM nd GROUP BY k),
+  nv AS (SELECT k, any_value(ma) AS ma, any_value(mb) AS mb, sqrt(sum(w*(a-ma)*(a-ma))/sum(w)) AS ra, sqrt(sum(w*(b-mb)*(b-mb))/sum(w)) AS rb FROM nd JOIN ns USING (k) GROUP BY k),
+  nz AS (SELECT k, y::DOUBLE AS y, w::DOUBLE AS w, (a-ma)/CASE WHEN ra>0 THEN ra ELSE 1 END AS u, (b-mb)/CASE WHEN rb>0 THEN rb ELSE 1 END AS v FROM nd JOIN nv USING (k)),
+  walk AS (SELECT k, 0 AS i, 0::DOUBLE AS p, 0::DOUBLE AS q, 0::DOUBLE AS r FROM nv
+   UNION ALL SELECT k, i+1, p-(g1*(e*f-h*h)-g2*(c*f-d*h)+g3*(c*h-d*e))/det, q-(-g1*(c*f-d*h)+g2*(z*f-d*d)-g3*(z*h-c*d))/det, r-(g1*(c*h-d*e)-g2*(z*h-c*d)+g3*(z*e-c*c))/det
+    FROM (SELECT *, z*(e*f-h*h)-c*(c*f-d*h)+d*(c*h-d*e) AS det FROM (SELECT k, i, p, q, r, sum(m*u)+p AS g1, sum(m*v)+q AS g2, sum(m)+r AS g3,
+        sum(t*u*u)+1 AS z, sum(t*u*v) AS c, sum(t*u) AS d, sum(t*v*v)+1 AS e, sum(t*v) AS h, sum(t)+1 AS f
+      FROM (SELECT *, w*(s-y) AS m, w*s*(1-s) AS t FROM (SELECT nz.*, i, p, q, r, 1/(1+exp(-(p*u+q*v+r))) AS s FROM walk JOIN nz USING (k) WHERE i<25)) GROUP BY k, i, p, q, r))),
+  fits AS (SELECT k, p/CASE WHEN ra>0 THEN ra ELSE 1 END AS ca, q/CASE WHEN rb>0 THEN rb ELSE 1 END AS cb,
+    r-p*ma/CASE WHEN ra>0 THEN ra ELSE 1 END-q*mb/CASE WHEN rb>0 THEN rb ELSE 1 END AS c0 FROM walk JOIN nv USING (k) WHERE i=25)"""
+
+
+WEIGHED_SQL = """wd AS (SELECT route, y, movement_pps, attack_cv FROM sample_windows JOIN sel ON id=sample_id WHERE excluded IS NULL),
+  gw AS (SELECT route, 1.0::DOUBLE*(SELECT count(*) FROM wd)/(SELECT count(DISTINCT route) FROM wd)/count(*) AS w FROM wd GROUP BY route)"""
+
+
+@query("fit_logistic", SELECT_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {WEIGHED_SQL}, {newton_sql("SELECT 1 AS k, y, w, movement_pps AS a, attack_cv AS b FROM wd JOIN gw USING (route)")}
+  SELECT 'movement_pps' AS name, round(ca,6) AS value FROM fits UNION ALL SELECT 'attack_cv', round(cb,6) FROM fits UNION ALL SELECT 'intercept', round(c0,6) FROM fits""")
 def q_fit(spark, sf):
-    m = M.fit_logistic(cut(training(spark, sf)), ["movement_pps", "attack_cv"])
-    return spark.createDataFrame([(n, c) for n, c in zip(m["features"] + ["intercept"], m["coefficients"] + [m["intercept"]])], "name string, value double")
+    fits = M.fit_logistic_all(training(spark, sf), [], {"all": ["movement_pps", "attack_cv"]})
+    return fits.selectExpr("stack(3, 'movement_pps', coefficients[0], 'attack_cv', coefficients[1], 'intercept', intercept) AS (name, value)").withColumn("value", F.round("value", 6))
+
+
+FOLDS_SQL = """fr AS (SELECT t.seed AS k, r.label AS y, 1 AS w, movement_pps AS a, sustained_pps AS b FROM r JOIN (SELECT DISTINCT seed FROM r) t ON r.seed<>t.seed AND r.seed<>(t.seed+1)%9)"""
+
+
+@query("fit_folds", D.duck(f"WITH RECURSIVE r AS ({ROWS}), {FOLDS_SQL}, {newton_sql('SELECT * FROM fr')} SELECT k AS test_seed, round(ca,6) AS first, round(cb,6) AS second, round(c0,6) AS intercept FROM fits"))
+def q_fit_folds(spark, sf):
+    train = M.loso_folds(f(spark, sf, ROWS)).filter("role = 'train'").withColumn("weight", F.lit(1.0))
+    fits = M.fit_logistic_all(train, ["test_seed"], {"rate_only": ["movement_pps", "sustained_pps"]}, "label")
+    return fits.selectExpr("test_seed", "round(coefficients[0], 6) AS first", "round(coefficients[1], 6) AS second", "round(intercept, 6) AS intercept")
 
 
 RULE = {"features": ["movement_pps", "attack_cv"], "coefficients": [0.5, -10.0], "intercept": -1.0}
