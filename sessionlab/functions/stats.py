@@ -3,55 +3,46 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
-def _at_most(k: int, n: int, p: float) -> float:
-    """P(Binomial(n, p) <= k), summed in log space from the largest term down."""
-    if p <= 0:
-        return 1.0
-    if p >= 1:
-        return 1.0 if k >= n else 0.0
-    top = min(k, int((n + 1) * p))
-    log = math.lgamma(n + 1) - math.lgamma(top + 1) - math.lgamma(n - top + 1) + top * math.log(p) + (n - top) * math.log1p(-p)
-    total, term = 0.0, math.exp(log)
-    for i in range(top, -1, -1):
-        total += term
-        if term < total * 1e-17:
-            break
-        term *= i / (n - i + 1) * (1 - p) / p
-    term = math.exp(log)
-    for i in range(top, k):
-        term *= (n - i) / (i + 1) * p / (1 - p)
-        total += term
-        if term < total * 1e-17:
-            break
-    return min(1.0, total)
-
-
-def upper_bound(k: int, n: int, level: float = 0.95) -> float:
-    """One-sided Clopper-Pearson upper bound of a rate with ``k`` failures in ``n``."""
-    if k >= n:
-        return 1.0
-    if k == 0:
-        return 1 - (1 - level) ** (1 / n)
-    low, high = k / n, 1.0
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if _at_most(k, n, mid) > 1 - level else (low, mid)
-    return (low + high) / 2
-
-
-def fpr_upper(k: Column, n: Column) -> Column:
-    """Upper 95 % bound per row: closed form without failures, bisection otherwise."""
-
-    @F.pandas_udf("double")
-    def bisect(ks: pd.Series, ns: pd.Series) -> pd.Series:
-        return pd.Series([upper_bound(int(a), int(b)) for a, b in zip(ks, ns)])
-
-    return F.when(k >= n, F.lit(1.0)).when(k == 0, 1 - F.pow(F.lit(0.05), 1 / n)).otherwise(bisect(k, n))
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function from 1 on: Stirling's series ten places higher."""
+    y = x + 10
+    lower = reduce(lambda p, i: p * (x + i), range(1, 10), x)
+    return (y - 0.5) * F.log(y) - y + math.log(2 * math.pi) / 2 + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5)) - 1 / (1680 * F.pow(y, 7)) - F.log(lower)
+
+
+def fpr_upper(k: Column, n: Column, level: float = 0.95) -> Column:
+    """One-sided Clopper-Pearson upper bound of a rate with ``k`` failures in ``n`` (null without trials).
+
+    The chance of at most k failures is an incomplete beta function of q = 1 - rate, a power times a continued fraction;
+    60 halvings of [0, (n - k) / (n + 1)] find where it is 1 - level (at the right end it is over a third). The fraction is
+    taken to a depth that grows with the square root of n.
+    """
+    n, k = n.cast("double"), k.cast("double")
+    a, b = n - k, k + 1
+    # 1 / (1 + c1 / (1 + c2 / ...)); the coefficients without q, the deepest first
+    depth = (60 + 8 * F.ceil(F.sqrt(n))).cast("int")
+
+    def coefficient(j: Column) -> Column:
+        m = F.floor(j / 2).cast("double")
+        return F.when(j % 2 == 0, m * (b - m) / ((a + 2 * m - 1) * (a + 2 * m))).otherwise(-(a + m) * (a + b + m) / ((a + 2 * m) * (a + 2 * m + 1)))
+
+    known = F.struct(F.transform(F.sequence(depth, F.lit(1), F.lit(-1)), coefficient).alias("c"), (log_gamma(n + 1) - log_gamma(a + 1) - log_gamma(b)).alias("log"))
+
+    def at_most(q: Column, of: Column) -> Column:
+        return F.exp(of["log"] + a * F.log(q) + b * F.log1p(-q)) / F.aggregate(of["c"], F.lit(1.0), lambda below, c: 1 + c * q / below)
+
+    def halve(s: Column, of: Column) -> Column:
+        q = (s["low"] + s["high"]) / 2
+        return F.when(at_most(q, of) < 1 - level, F.struct(q.alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), q.alias("high")))
+
+    span = F.struct(F.lit(0.0).alias("low"), (a / (n + 1)).alias("high"))
+    found = F.transform(F.array(known), lambda of: F.aggregate(F.sequence(F.lit(1), F.lit(60)), span, lambda s, _: halve(s, of), lambda s: 1 - (s["low"] + s["high"]) / 2))[0]
+    return F.when(n <= 0, F.lit(None)).when(k >= n, F.lit(1.0)).when(k == 0, 1 - F.pow(F.lit(1 - level), 1 / n)).otherwise(found)
 
 
 def sign_test_p(wins: str, n: str) -> str:

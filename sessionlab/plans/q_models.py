@@ -192,10 +192,18 @@ def q_upper(spark, sf):
     return g.select("o_custkey", "n", F.round(fpr_upper(F.lit(0), F.col("n")), 9).alias("zero_failures"))
 
 
-@query("fpr_upper_with_failures")
+# The bound by halving on the binomial tail, summed term by term.
+UPPER_SQL = """WITH RECURSIVE g AS (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderstatus='F') AS k FROM orders GROUP BY 1),
+  half AS (SELECT o_custkey, n, k, 0 AS i, 0::DOUBLE AS low, 1::DOUBLE AS high FROM g WHERE k<n
+   UNION ALL SELECT o_custkey, n, k, i+1, CASE WHEN tail>0.05 THEN p ELSE low END, CASE WHEN tail>0.05 THEN high ELSE p END FROM (
+    SELECT *, list_sum(list_transform(range(0,k+1), lambda j: exp(lgamma(n+1)-lgamma(j+1)-lgamma(n-j+1)+j*ln(p)+(n-j)*ln(1-p)))) AS tail FROM (SELECT *, (low+high)/2 AS p FROM half WHERE i<50)))
+  SELECT o_custkey, n, k, round(p,9) AS upper FROM (SELECT o_custkey, n, k, (low+high)/2 AS p FROM half WHERE i=50 UNION ALL SELECT o_custkey, n, k, 1::DOUBLE FROM g WHERE k=n)"""
+
+
+@query("fpr_upper_with_failures", UPPER_SQL)
 def q_upper_failures(spark, sf):
     g = D.table(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("k"))
-    return g.select("o_custkey", "n", "k", fpr_upper(F.col("k"), F.col("n")).alias("upper"))
+    return g.select("o_custkey", "n", "k", F.round(fpr_upper(F.col("k"), F.col("n")), 9).alias("upper"))
 
 
 @query("ranking_metrics", PRED_SQL + """, v AS (SELECT score, count(*) FILTER (label=1) AS a, count(*) FILTER (label=0) AS b FROM p GROUP BY 1),
