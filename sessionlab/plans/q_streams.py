@@ -73,7 +73,7 @@ def q_write(spark, sf):
     decisions = stream.stream_score(live_obs(spark, sf), [MODEL], D.SPAN, D.GUARD, D.GAP, D.QUEUE, PAUSE)
     stream.write_decisions(decisions, base + "/log", base + "/state").awaitTermination()
     # the same rows arriving again change nothing
-    stream.append_new(spark, spark.read.parquet(base + "/log"), base + "/log", ["id"])
+    stream.append_new(spark, spark.read.parquet(base + "/log"), base + "/log", ["id"], "epoch_ms")
     return spark.read.parquet(base + "/log").select("id", "action")
 
 

@@ -141,20 +141,35 @@ def stream_score(obs: DataFrame, models: list[dict], span_ns: int = 30_000_000_0
     return _stateful(obs.select(*NEEDED), lambda: _Scored((span_ns, guard_ns, gap_ns, queue_ns), active, pause_ms), DECISION_DDL, ttl_ms)
 
 
-def append_new(spark, rows: DataFrame, path: str, keys: list[str]) -> None:
-    """Insert-or-ignore into a Parquet log: a replayed trigger adds nothing."""
-    fresh = rows.dropDuplicates(keys)
+DAY_MS = 86_400_000
+
+
+def append_new(spark, rows: DataFrame, path: str, keys: list[str], at: str | None = None) -> None:
+    """Insert-or-ignore into a Parquet log: a replayed trigger adds nothing.
+
+    ``at`` is a time in milliseconds that belongs to the keys: equal keys, equal time. The log then lies in folders of a day,
+    and only those of the days that ``rows`` has are listed and read, so a trigger costs the same however old the log is.
+    Without it (or where it is null) there is one folder. The rows are computed once, as their state may be.
+    """
+    day = F.lit(-1) if at is None else F.coalesce(F.floor(F.col(at) / DAY_MS), F.lit(-1))
+    fresh = rows.drop("day").withColumn("day", day.cast("int")).dropDuplicates(keys).persist()
     try:
-        fresh = fresh.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-    except Exception as e:  # the first trigger finds no log yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh.write.mode("append").parquet(path)
+        folders = [f"{path}/day={d}" for (d,) in fresh.select("day").distinct().orderBy("day").collect()]
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        known = [f for f in folders if (p := jvm.org.apache.hadoop.fs.Path(f)).getFileSystem(conf).exists(p)]
+        if known:
+            log = spark.read.schema(fresh.schema).option("basePath", path).parquet(*known)
+            new = fresh.join(log.select(*keys), keys, "left_anti")
+        else:
+            new = fresh
+        new.write.mode("append").partitionBy("day").parquet(path)
+    finally:
+        fresh.unpersist()
 
 
-def write_decisions(decisions: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("id",), **trigger):
+def write_decisions(decisions: DataFrame, path: str, checkpoint: str, keys: tuple[str, ...] = ("id",), at: str = "epoch_ms", **trigger):
     """Start the decision sink; ``trigger`` goes to ``DataStreamWriter.trigger``."""
-    sink = lambda batch, _: append_new(batch.sparkSession, batch, path, list(keys))
+    sink = lambda batch, _: append_new(batch.sparkSession, batch, path, list(keys), at)
     return decisions.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
 
 

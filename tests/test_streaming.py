@@ -30,6 +30,21 @@ def test_a_replayed_trigger_adds_no_decision(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
 
 
+def test_a_trigger_reads_only_its_days_of_the_log(spark, tmp_path):
+    log, day = tmp_path / "log", 86_400_000
+    def add(*rows):
+        stream.append_new(spark, spark.createDataFrame(list(rows), "id string, t bigint"), str(log), ["id"], "t")
+    add(("a", 5), ("b", day + 5), ("c", None))
+    add(("b", day + 5), ("d", day + 6), ("c", None), ("d", day + 6))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(log)).select("id", "day").collect()) == [("a", 0), ("b", 1), ("c", -1), ("d", 1)]
+    for f in (log / "day=0").glob("*.parquet"):  # nothing of the first day can be read any more
+        f.write_bytes(b"broken")
+    add(("b", day + 5), ("e", day + 7), ("f", 2 * day))
+    add()
+    later = spark.read.option("basePath", str(log)).parquet(str(log / "day=1"), str(log / "day=2"))
+    assert sorted(r.id for r in later.collect()) == ["b", "d", "e", "f"]
+
+
 def test_delivery_order_rules(spark):
     rows = [(1, 1, 1), (1, 2, 2), (1, 4, 3), (1, 4, 4), (1, 3, 5), (1, 5, 6)]
     got = ordinal_guard(spark.createDataFrame(rows, "session bigint, ordinal bigint, arrival bigint"), rows=2).orderBy("arrival").collect()
