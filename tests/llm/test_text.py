@@ -218,3 +218,78 @@ def test_most_rows_without_id(spark):
     key = lambda t: (t[0] is None, t[0] or 0, t[2])
     got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprint_neighbours(df).collect()]
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_fixed_text_is_told_by_its_place_in_the_expression(spark):
+    """One path, two places: the first paragraph is fixed, the one after the list is a slot that may hold the same word."""
+    pages = [f"<div><h2>Open?</h2><p>Yes</p><ul><li>Shop {i}</ul><p>{'Yes' if i % 2 else f'No {i}'}</p></div>" for i in range(6)]
+    assert extracted(spark, pages) == [f"Shop {i}\n\n{'Yes' if i % 2 else f'No {i}'}" for i in range(6)]
+    pages = [page if i else page.replace("<p>Yes</p>", "<table><tr><td>Since 1900</table><p>Yes</p>") for i, page in enumerate(pages)]  # an optional group before the fixed place
+    assert extracted(spark, pages) == ["Since 1900\n\nShop 0\n\nNo 0"] + [f"Shop {i}\n\n{'Yes' if i % 2 else f'No {i}'}" for i in range(1, 6)]
+
+
+def joined(pages):
+    first, *rest = (Wrapper.of(page) for page in pages)
+    for other in rest:
+        first.add(other)
+    return first
+
+
+def test_mismatches_become_options_and_repeats():
+    assert joined(["<h1>a</h1><p>b", "<h1>a</h1><table></table><p>b"]).group.form() == "(h1#(),table()?,p#())"
+    assert joined(["<div><p>a</div><div><ul></ul></div>", "<div><p>a</div><div><ul></ul></div><div><p>c</div>"]).group.form() == "(div(p#()),div(ul()?,p#()?)+)"
+    assert joined(["<h2>a</h2><ul></ul><h2>b</h2><ul></ul><table></table>", "<h2>a</h2><ul></ul><table></table>"]).group.form() == "((h2#()?,ul()?)+,table())"
+
+
+def places(page, expression):
+    found, root = html_extract.blocks(page)
+    html_extract.match(root, expression)
+    return [(b[4].place, b[3]) for b in found]
+
+
+def test_extraction_equals_a_plain_version(spark):
+    """Small hosts of random pages: all trees aligned in order, each page matched, fixed text as what all pages show at a place."""
+    draw = random.Random(8)
+    tree = lambda depth: "".join(f"<{t}>{tree(depth - 1) if t == 'div' and depth else draw.choice('xyz')}</{t}>" for t in draw.choices(["p", "h2", "div", "ul"], k=draw.randrange(1, 4)))
+    hosts = {}
+    for host in "abcd":
+        top, end = tree(1), tree(2)
+        hosts[host] = [f"<div><p>{host}</div>{top}<section>{tree(2)}{i}</section>{end}" for i in range(6)] + [f"{top}<p>z"]
+    rows = [(k, f"http://{host}/", page) for k, (host, page) in enumerate((h, p) for h in hosts for p in hosts[h])]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    k = 0
+    for pages in hosts.values():
+        one = joined(page for _, page in sorted((Wrapper.of(page).packed(), page) for page in pages)).group
+        shown = [places(page, one) for page in pages]
+        fixed = set.intersection(*map(set, shown))
+        assert fixed
+        for found in shown:
+            assert got[k] == "\n\n".join(b[1] for b in found if b not in fixed)
+            k += 1
+
+
+def test_expressions_do_not_depend_on_how_rows_lie(spark, monkeypatch):
+    """All different trees of a host are aligned, here two at a time in several rounds, to one expression that covers them."""
+    monkeypatch.setattr(html_extract, "FAN", 2)
+    tags = ["p", "ul", "table", "h2", "div"]
+    pages = [f"<h1>t</h1><article>{''.join(f'<{t}>x</{t}>' for j, t in enumerate(tags) if i >> j & 1)}</article>" for i in range(32)]
+    rows = spark.createDataFrame([(h, p) for h in (1, 2) for p in pages] + [(3, "<p>a")], "host long, html string")
+    got = [{r.host: r.expression for r in html_extract.expressions(rows.repartition(n)).collect()} for n in (1, 7)]
+    assert got[0] == got[1] and set(got[0]) == {1, 2, 3} and got[0][1] == got[0][2]
+    assert html_extract.expressions(rows.limit(0)).count() == 0
+    (h1, article) = Wrapper.unpacked(got[0][1]).group.groups
+    assert (h1.label, h1.maybe, article.label, article.maybe) == ("h1", False, "article", False)
+    assert set().union(*map(html_extract.labels, article.groups)) == set(tags)
+    for page in pages:
+        _, root = html_extract.blocks(page)
+        assert all(item is not None for _, item in html_extract.assigned(root.groups[1].groups, article.groups))
+
+
+def test_expressions_stay_bounded():
+    """Labels of single pages, depth and width: the expression stays small, and no text is lost."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    pages = [f"<h1>t</h1><div class=list><p class={a}{b}>{a}{b}</p></div>" for a in letters for b in letters] + ["<div>" * 3000 + "deep", "".join(f"<p class={a}{b}>{a}<h2 class={b}{a}>{b}</h2>" for a in letters for b in letters)]
+    one = joined(pages).group
+    assert one.size() <= html_extract.WHOLE
+    for page in pages:
+        assert main_text(page, set(), None, one) == main_text(page)
