@@ -371,18 +371,25 @@ def forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, part, expression) sorted by host and part to one row for each of these: the expression that covers all."""
-    key, held = None, None
-    row = lambda: pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int64()), pa.array([held.packed()], pa.string())], ["host", "expression"])
+    key, held, done = None, None, []
+
+    def rows() -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array([h for h, _ in done], pa.int64()), pa.array([e for _, e in done], pa.string())], ["host", "expression"])
+        done.clear()
+        return batch
+
     for batch in batches:
         for host, part, packed in zip(batch["host"].to_pylist(), batch["part"].to_pylist(), batch["expression"].to_pylist()):
             if (host, part) == key:
                 held.add(Wrapper.unpacked(packed))
                 continue
             if held is not None:
-                yield row()
+                done.append((key[0], held.packed()))
             key, held = (host, part), Wrapper.unpacked(packed)
+        yield rows()
     if held is not None:
-        yield row()
+        done.append((key[0], held.packed()))
+        yield rows()
 
 
 def expressions(pages: DataFrame) -> DataFrame:
