@@ -203,6 +203,6 @@ def q_parse(spark, sf):
     full = F.to_json(F.struct(F.lit("trace").alias("level"), F.lit("reach").alias("check"), F.col("user_id").cast("string").alias("player"), F.lit("s").alias("session"),
                               F.col("event_id").cast("string").alias("event"), F.when(F.col("event_id") % 10 != 1, F.col("event_type")).alias("message")))
     lines = e.select("event_id", F.when(F.col("event_id") % 10 == 0, F.concat(F.lit("oops "), "event_type")).otherwise(full).alias("value"))
-    out = L.parse_findings(lines)
-    return lines.join(out, F.col("value") == F.col("json")).select(F.col("event_id").alias("event"), F.regexp_replace("error", "an_", "").alias("error"),
-                                                                F.when(F.col("error").isNull(), F.col("message")).alias("message")).distinct()
+    out = L.parse_findings(lines, keep=("event_id",)).filter("json IS NOT NULL")
+    return out.select(F.col("event_id").alias("event"), F.regexp_replace("error", "an_", "").alias("error"),
+                      F.when(F.col("error").isNull(), F.col("message")).alias("message")).distinct()

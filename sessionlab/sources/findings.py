@@ -10,9 +10,10 @@ LINE_LIMIT = 65536
 REQUIRED = ("level", "check", "player", "session", "event", "message")
 
 
-def parse_findings(lines: DataFrame, column: str = "value") -> DataFrame:
+def parse_findings(lines: DataFrame, column: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Finding columns, the line itself as ``json`` and ``error``; unknown levels are kept.
 
+    Columns of ``lines`` named in ``keep`` come first, so that no line has to be found again by its text.
     Spark's JSON reader keeps the last of duplicate keys, so these are not refused here.
     """
     f = F.from_json(column, S._fields(S.FINDING_DDL + ", _corrupt string"), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
@@ -23,7 +24,7 @@ def parse_findings(lines: DataFrame, column: str = "value") -> DataFrame:
     error = (F.when(F.octet_length(column) > LINE_LIMIT, "line_too_long").when(F.col("f._corrupt").isNotNull() | ~F.trim(column).startswith("{"), "not_an_object")
              .when(missing, "missing_field"))
     names = [x.name for x in S._fields(S.FINDING_DDL)]
-    return df.select(F.col(column).alias("json"), *[F.col(f"f.{n}").alias(n) for n in names], error.alias("error"))
+    return df.select(*keep, F.col(column).alias("json"), *[F.col(f"f.{n}").alias(n) for n in names], error.alias("error"))
 
 
 def read_findings(spark: SparkSession, path: str) -> DataFrame:

@@ -79,3 +79,21 @@ def test_findings_and_sinks(spark, tmp_path):
     live.awaitTermination()
     assert spark.table("found").count() == 1
     assert "| level |" in L.report_table(rows.groupBy("level").count(), "t")
+
+
+def test_equal_lines_are_parsed_one_by_one(spark, tmp_path):
+    """Equal lines do not meet each other: each keeps its own event, and a repeated event counts once."""
+    import __spark_entry__ as entry
+
+    events = [(i, i % 3, "view" if i != 20 else None) for i in range(60)] + [(4, 1, "view"), (None, 1, "view")]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    out = entry.queries()["parse_findings"](spark, str(tmp_path))
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    want = [(i, {0: "not_object", 1: "missing_field"}.get(i % 10), "view" if i % 10 > 1 else None) for i in range(60) if i != 20] + [(None, "missing_field", None)]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_parsed_findings_keep_named_columns(spark):
+    lines = spark.createDataFrame([(1, "oops"), (2, "oops"), (3, None)], "n int, value string")
+    got = L.parse_findings(lines, keep=("n",)).select("n", "json", "error").collect()
+    assert sorted(map(tuple, got)) == [(1, "oops", "not_an_object"), (2, "oops", "not_an_object"), (3, None, "missing_field")]
