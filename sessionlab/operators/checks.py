@@ -30,7 +30,7 @@ class Check:
     """kinds: what it reads. back_ns, ahead_ns: how far the sample of an event depends on others. samples: from admitted
     observations to (session, ordinal, ns, suspicious, and for some memories a value or packet). memory: what is
     remembered beyond that reach: ``anchored`` or ``sliding`` streaks, ``cadence`` (windows of intervals, then a streak) or
-    ``budget`` (the tick balance itself)."""
+    ``budget`` (the tick balance itself). reads: the columns samples read beyond those of every event; not stated, all."""
 
     name: str
     message: str
@@ -41,6 +41,7 @@ class Check:
     needed: int = 3
     memory: str = "anchored"
     ahead_ns: int = 0
+    reads: tuple[str, ...] = ()
 
 
 BOUNDS = (S.SESSION_START, S.SESSION_END, S.RESET)
@@ -63,7 +64,8 @@ def registry(cfg: DetectorConfig) -> dict[str, Check]:
         "reach": Check(NAMES["reach"], MESSAGES["reach"], (*BOUNDS, S.ATTACK, S.COMBAT, S.TELEPORT), reach.history_ms * MS + int((reach.maximum_frame_gap_ms + reach.maximum_queue_ms) * MS),
                        lambda o: own(reach_verdicts(o, reach)), reach.sample_window_ms, reach.alert_after),
         "autoclicker": Check(NAMES["autoclicker"], MESSAGES["autoclicker"], (*BOUNDS, S.TICK, S.ATTACK, S.TELEPORT, S.CORRECTION), int(click.maximum_gap_ms * MS),
-                             lambda o: autoclicker_steps(o, click).selectExpr("session", "ordinal", "ns", "joined AS suspicious", "dt AS value"), click.sample_window_ms, click.alert_after, "cadence"),
+                             lambda o: autoclicker_steps(o, click).selectExpr("session", "ordinal", "ns", "joined AS suspicious", "dt AS value"), click.sample_window_ms, click.alert_after, "cadence",
+                             reads=("packet", "batch", "sampled_ns", "available", "world")),
         "hitboxes": Check(NAMES["hitboxes"], MESSAGES["hitboxes"], (*BOUNDS, S.TICK, S.ATTACK, S.COMBAT, S.TELEPORT, S.CORRECTION), (hit.history_ms + hit.slack_ms + hit.frame_gap_ms) * MS + hit.maximum_queue_ms * MS,
                           lambda o: own(hitbox_verdicts(o, hit)), 10_000, hit.alert_after, ahead_ns=(hit.expire_ms + hit.maximum_queue_ms) * MS),
         "velocity": Check(NAMES["velocity"], MESSAGES["velocity"], (*MOVED, S.IMPULSE_ACK), PUSH_NS + PUSH_MOVES * PUSH_STEP_NS, lambda o: own(velocity_samples(o, push)), 15_000, push.alert_after),

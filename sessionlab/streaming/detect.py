@@ -14,13 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 from statistics import fmean, median, pstdev
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor
-from pyspark.sql.types import BooleanType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StructField, StructType
 
 from .. import schemas as S
 from ..operators.budget import BUDGET
@@ -31,68 +32,110 @@ from ..operators.scan import cut
 
 
 class InOrder(StatefulProcessor):
-    """Per session: ``held`` events that wait for earlier ones, the ``recent`` ones that checks may still look at, and the
-    ``place`` reached: last ordinal handed on, newest time, and the time up to which events are settled (their samples do
-    not depend on later events any more)."""
+    """Per session: ``held`` events that wait for earlier ones, in blocks of ordinals, the ``recent`` ones that checks may still
+    look at, and the ``place`` reached: last ordinal handed on, newest time, and the time up to which events are settled (their
+    samples do not depend on later events any more). ``due`` is the timer of the earliest held event.
+
+    A call of the state store costs as much as many rows, so blocks and runs go through it, not single events.
+    """
+
+    BLOCK = 256
 
     def __init__(self, schema: StructType, back_ns: int, ahead_ns: int, ttl_ms: int):
         self.schema, self.back, self.ahead, self.ttl = schema, back_ns, ahead_ns, ttl_ms
         self.names = schema.names
+        self.o, self.t, self.e, self.k = (self.names.index(n) for n in ("ordinal", "ns", "epoch_ms", "kind"))
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "ordinal bigint", self.schema)
+        self.held = handle.getMapState("held", "block bigint", StructType([StructField("events", ArrayType(self.schema))]))
         self.recent = handle.getListState("recent", self.schema)
         self.place = handle.getValueState("place", "ordinal bigint, newest bigint, settled bigint, epoch_ms bigint")
+        self.due = handle.getValueState("due", "epoch_ms bigint")
+        self.given, self.taken = Row(*self.names, "fresh", "settles"), None
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         place = self.place.get()
         last = place[0] if place else 0
         new = {}
         for row in rows:
-            if row["ordinal"] > last and row["ordinal"] not in new:
-                new[row["ordinal"]] = tuple(row[n] for n in self.names)
-        ready, waiting = [], bool(place is None or self.held.exists())
+            if self.taken is None:
+                self.taken = itemgetter(*(row.__fields__.index(n) for n in self.names))
+            event = self.taken(row)
+            if event[self.o] > last:
+                new.setdefault(event[self.o], event)
+        blocks, changed, waiting = {}, set(), self.held.exists()
+
+        def block(ordinal: int) -> dict[int, tuple]:
+            n = ordinal // self.BLOCK
+            if n not in blocks:
+                blocks[n] = self._events(self.held.getValue((n,))) if waiting and self.held.containsKey((n,)) else {}
+            return blocks[n]
+
+        ready = []
         while True:
-            if last + 1 in new:
-                last += 1
-                ready.append(new.pop(last))
-            elif waiting and self.held.containsKey((last + 1,)):
-                last += 1
-                ready.append(tuple(self.held.getValue((last,))))
-                self.held.removeKey((last,))
-            else:
+            kept = block(last + 1).pop(last + 1, None)
+            if kept is not None:
+                changed.add((last + 1) // self.BLOCK)
+            event = new.pop(last + 1, None) if kept is None else kept
+            if event is None:
                 break
-        at = self.names.index("epoch_ms")
-        for ordinal, row in new.items():
-            if not (waiting and self.held.containsKey((ordinal,))):
-                self.held.updateValue((ordinal,), row)
-                self.handle.registerTimer(max(row[at], timerValues.getCurrentWatermarkInMs()) + 1)
+            last += 1
+            ready.append(event)
+        late = {o: event for o, event in new.items() if o > last and o not in block(o)}
+        for ordinal, event in late.items():
+            block(ordinal)[ordinal] = event
+            changed.add(ordinal // self.BLOCK)
+        for n in changed:
+            self._hold(n, blocks[n])
+        if late:
+            self._await(min(event[self.e] for event in late.values()), timerValues.getCurrentWatermarkInMs())
         yield from self._hand_on(ready, place, timerValues)
 
+    def _events(self, value: tuple) -> dict[int, tuple]:
+        return {event[self.o]: tuple(event) for event in value[0]}
+
+    def _hold(self, n: int, events: dict[int, tuple]) -> None:
+        if events:
+            self.held.updateValue((n,), (list(events.values()),))
+        else:
+            self.held.removeKey((n,))
+
+    def _await(self, earliest: int, mark: int) -> None:
+        """A timer for the earliest held event is enough: when it ends, the next is set."""
+        at, due = max(earliest, mark) + 1, self.due.get()
+        if not due or due[0] <= mark or at < due[0]:
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The watermark passed a held event: what is missing before it will not come. Or the session has been idle for long."""
         place = self.place.get()
-        mark, at = timerValues.getCurrentWatermarkInMs(), self.names.index("epoch_ms")
-        held = sorted((k[0], tuple(v)) for k, v in self.held.iterator())
-        due = max((o for o, row in held if row[at] < mark), default=0)
-        ready = []
-        for ordinal, row in held:
-            if ordinal > max(due, ready[-1][self.names.index("ordinal")] + 1 if ready else 0):
-                break
-            ready.append(row)
-            self.held.removeKey((ordinal,))
+        mark = timerValues.getCurrentWatermarkInMs()
+        blocks = {k[0]: self._events(value) for k, value in self.held.iterator()}
+        held = {o: event for events in blocks.values() for o, event in events.items()}
+        last = due = max((o for o, event in held.items() if event[self.e] < mark), default=0)
+        while due and last + 1 in held:
+            last += 1
+        ready = [held.pop(o) for o in sorted(held) if o <= last]
+        for n, events in blocks.items():
+            rest = {o: event for o, event in events.items() if o > last}
+            if len(rest) < len(events):
+                self._hold(n, rest)
+        if held:
+            self._await(min(event[self.e] for event in held.values()), mark)
         yield from self._hand_on(ready, place, timerValues)
         if not ready and not held and place and place[3] + self.ttl <= mark:
             yield from self._settle_rest(place)
             self.recent.clear()
             self.place.clear()
+            self.due.clear()
 
     def _hand_on(self, ready: list[tuple], place, timerValues) -> Iterator[Row]:
         if not ready:
             return
-        o, t, e, k = (self.names.index(n) for n in ("ordinal", "ns", "epoch_ms", "kind"))
-        past = [tuple(r) for r in self.recent.get()] if self.recent.exists() else []
+        o, t, e, k = self.o, self.t, self.e, self.k
+        past = [tuple(r) for r in self.recent.get()] if place and self.recent.exists() else []
         newest = max([place[1]] if place else [], default=None)
         newest = max([r[t] for r in ready] + ([] if newest is None else [newest]))
         before = place[2] if place else -(1 << 62)
@@ -111,24 +154,30 @@ class InOrder(StatefulProcessor):
 
     def _settle_rest(self, place) -> Iterator[Row]:
         """An idle session ends: events that waited for what follows them are judged by what there is."""
-        t = self.names.index("ns")
         for row in self.recent.get():
-            yield self._row(tuple(row), False, row[t] > place[2])
+            yield self._row(tuple(row), False, row[self.t] > place[2])
 
     def _row(self, row: tuple, fresh: bool, settles: bool) -> Row:
-        return Row(*self.names, "fresh", "settles")(*row, fresh, settles)
+        return self.given(*row, fresh, settles)
 
     def close(self) -> None:
         pass
 
 
+# What admission and findings read of every event.
+EVENT = ("session", "ordinal", "ns", "epoch_ms", "kind", "protocol", "model", "server_tick", "player")
+
+
 def in_order(obs: DataFrame, checks: dict[str, Check], delay: str = "10 seconds", ttl_ms: int = 3_600_000) -> DataFrame:
     """Observations by session in ordinal order, each trigger's new ones (``fresh``) after the past their checks look at.
 
+    Where every check states the columns it reads, only these go through state.
     ``settles``: from now on nothing can change the event's samples. A missing ordinal is waited for until the watermark
     passes an event behind it.
     """
-    kept = obs.select([c for c in obs.columns if c != "ts"])
+    named = checks and all(c.reads for c in checks.values())
+    read = {*EVENT, *(r for c in checks.values() for r in c.reads)}
+    kept = obs.select([c for c in obs.columns if c != "ts" and (c in read or not named)])
     schema = StructType([StructField(f.name, f.dataType) for f in kept.schema])
     back, ahead = (max((getattr(c, n) for c in checks.values()), default=0) for n in ("back_ns", "ahead_ns"))
     out = StructType([*schema.fields, StructField("fresh", BooleanType()), StructField("settles", BooleanType())])

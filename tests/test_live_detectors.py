@@ -3,6 +3,8 @@
 import random
 
 from build import MS, event, frame
+from pyspark.sql import Row
+from pyspark.sql.types import LongType, StructField, StructType
 from sessionlab import schemas as S
 from sessionlab.operators import checks
 from sessionlab.operators.detectors import DetectorConfig
@@ -78,3 +80,113 @@ def test_gate_and_gaps(spark):
     assert seen.count() == len(session(1, 5)) + sum(e["kind"] in (1, 2, 3) for e in session(1, 5))
     gap = checks.admitted(frame(spark, [e for e in session(1, 5) if e["ordinal"] not in (10, 11)]))
     assert [(r.ordinal, r.kind) for r in gap.filter("ordinal BETWEEN 9 AND 12").orderBy("ordinal").collect()][1:2] == [(11, S.RESET)]
+
+
+class Store:
+    """The states of one key, and how often they are called."""
+
+    def __init__(self):
+        self.calls, self.timers, self.states, self.mark = 0, set(), {}, 0
+
+    def state(self, name, *schema):
+        self.states[name] = {}
+        return State(self, self.states[name])
+
+    getMapState = getListState = getValueState = state
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.mark
+
+
+class State:
+    def __init__(self, store, kept):
+        self.store, self.kept = store, kept
+
+    def __getattribute__(self, name):
+        if name not in ("store", "kept"):
+            self.store.calls += 1
+        return object.__getattribute__(self, name)
+
+    def exists(self):
+        return bool(self.kept)
+
+    def get(self):
+        return self.kept.get("")
+
+    def update(self, value):
+        self.kept[""] = value
+
+    put = update
+
+    def clear(self):
+        self.kept.clear()
+
+    def containsKey(self, key):
+        return key in self.kept
+
+    def getValue(self, key):
+        return self.kept[key]
+
+    def updateValue(self, key, value):
+        self.kept[key] = value
+
+    def removeKey(self, key):
+        self.kept.pop(key, None)
+
+    def iterator(self):
+        return iter(self.kept.items())
+
+
+FIELDS = ("session", "ordinal", "ns", "epoch_ms", "kind")
+
+
+def ordered(store):
+    order = detect.InOrder(StructType([StructField(f, LongType()) for f in FIELDS]), 100, 0, 10_000_000)
+    order.init(store)
+
+    def brought(*ordinals):
+        return [r.ordinal for r in order.handleInputRows((1,), iter([Row("ts", *FIELDS)(None, 1, o, o, 10 * o, S.TICK) for o in ordinals]), store) if r.fresh]
+
+    def passed(mark):
+        store.mark, out = mark, []
+        for at in sorted(t for t in store.timers if t <= mark):
+            out += [r.ordinal for r in order.handleExpiredTimer((1,), store, None) if r.fresh]
+            store.timers.remove(at)
+        return out
+
+    return brought, passed
+
+
+def test_late_events_go_through_state_in_blocks():
+    """Half of a session comes late: the calls of the state store go with blocks and triggers, not with events."""
+    store, draw = Store(), random.Random(3)
+    brought, _ = ordered(store)
+    first = [o for o in range(1, 4001) if draw.random() < 0.5 and o != 1]
+    rest = sorted({*range(1, 4001)} - {*first})
+    draw.shuffle(first)
+    draw.shuffle(rest)
+    assert brought(*first) == [] and brought(*first[:50]) == []
+    assert brought(*rest, *first[50:90]) == [*range(1, 4001)]
+    assert store.calls < 150 and not store.states["held"] and brought(*first[:100]) == []
+
+
+def test_the_watermark_passes_gaps_one_by_one():
+    store = Store()
+    brought, passed = ordered(store)
+    assert brought(*range(700, 1, -1)) == [] and len(store.timers) == 1
+    assert brought(*range(702, 1500), 2) == []
+    assert passed(20) == [] and passed(21) == [*range(2, 701)]
+    assert passed(7_000) == [] and passed(7_021) == [*range(702, 1500)] and not store.states["held"]
+    assert brought(1, 701, 1500) == [1500]
+    assert passed(10_000_000 + 15_000) == [] and not any(store.states.values())
+
+
+def test_only_columns_that_checks_read_go_through_state(spark):
+    live = spark.readStream.format("rate").load().selectExpr("value AS session", "value AS ordinal", "value AS ns", "value AS epoch_ms", "7 AS kind", "value AS packet", "value AS unread", "timestamp AS ts")
+    columns = lambda *names: detect.in_order(live, checks.registry(DetectorConfig(enabled=names))).columns
+    with detect.typed_state(spark):
+        assert "packet" in columns("autoclicker") and "unread" not in columns("autoclicker") and "unread" in columns("autoclicker", "reach")
